@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing, quality, tokenfile
+from . import decontaminate, line_dedup, packing, quality, tokenfile
 
 
 def queries() -> dict:
     return {
         "op2_token_file": tokenfile.op2_token_file,
         "op4_quality": quality.op4_quality,
+        "op7_decontamination": decontaminate.op7_decontamination,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op10_packing": packing.op10_packing,
     }
