@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, packing, quality, tokenfile
+from . import decontaminate, line_dedup, ngram_join, packing, quality, tokenfile
 
 
 def queries() -> dict:
     return {
         "op2_token_file": tokenfile.op2_token_file,
+        "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_quality": quality.op4_quality,
         "op7_decontamination": decontaminate.op7_decontamination,
         "op8_line_dedup": line_dedup.op8_line_dedup,
