@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import read_table, unused
+from .common import read_table, save, unused
 from .textbytes import Words, blocks
 
 FEATURES = (
@@ -122,21 +122,25 @@ class QualityModel:
     good: Gaussian | None
     prior: float
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Scores of rows of FEATURES."""
         if self.bad is None or self.good is None:
-            return np.full(len(texts), 0.5)
-        x = statistics(texts)
+            return np.full(len(x), 0.5)
         difference = self.good.log_density(x) - self.bad.log_density(x) + self.prior
         return 1 / (1 + np.exp(-np.clip(difference, -60, 60)))
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, len(FEATURES))
+
+
 def _sums(batches):
-    """Adds up (class, 1, x, x x') over a partition: one row for each class."""
+    """Adds up (class, 1, x, x x') over a partition of (statistics, class): one row for each class."""
     k = len(FEATURES)
     found: dict[int, np.ndarray] = {}
     for batch in batches:
         label = np.asarray(batch.column(1).to_pylist(), int)
-        x = statistics(batch.column(0).to_pylist())
+        x = _matrix(batch.column(0))
         for c in (0, 1):
             some = x[label == c]
             if len(some):
@@ -146,9 +150,23 @@ def _sums(batches):
         yield pa.RecordBatch.from_pydict({"label": pa.array(list(found), pa.int32()), "sums": pa.array([v.tolist() for v in found.values()], pa.list_(pa.float64()))})
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "quality", shrinkage: float = 0.3, ridge: float = 0.0) -> QualityModel:
+def measure(docs: DataFrame, text: str = "text", out: str = "statistics", columns: list[str] | None = None) -> DataFrame:
+    """``columns`` (all, by default) of ``docs`` with the texts' statistics; no shuffle."""
+    at = docs.columns.index(text)
+    kept = [i for i, c in enumerate(docs.columns) if columns is None or c in columns]
+    schema = T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for batch in batches:
+            x = statistics(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(list(x), pa.list_(pa.float64()))], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def fit(labelled: DataFrame, measured: str = "statistics", label: str = "quality", shrinkage: float = 0.3, ridge: float = 0.0) -> QualityModel:
     """Fits on every labelled row; ``label`` is 1 for good, 0 for bad."""
-    parts = labelled.where(F.col(label).isin(0, 1)).select(F.col(text), F.col(label).cast("int")).mapInArrow(_sums, "label int, sums array<double>")
+    parts = labelled.where(F.col(label).isin(0, 1)).select(F.col(measured), F.col(label).cast("int")).mapInArrow(_sums, "label int, sums array<double>")
     at = F.posexplode("sums").alias("i", "x")
     rows = parts.select("label", at).groupBy("label", "i").agg(F.sum("x").alias("x")).collect()  # 2 x (1 + k + k * k) rows
     k = len(FEATURES)
@@ -167,40 +185,43 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def score(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "score", columns: list[str] | None = None) -> DataFrame:
-    """``columns`` (all, by default) of ``docs`` with a column ``out``; no shuffle."""
-    at = docs.columns.index(text)
-    kept = [i for i, c in enumerate(docs.columns) if columns is None or c in columns]
+def score(docs: DataFrame, model: QualityModel, measured: str = "statistics", out: str = "score") -> DataFrame:
+    """``docs`` with a column ``out`` in place of their statistics; no shuffle."""
+    at = docs.columns.index(measured)
+    kept = [i for i in range(len(docs.columns)) if i != at]
     schema = T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField(out, T.DoubleType())])
 
-    def scored(batches):
+    def run(batches):
         for batch in batches:
-            found = pa.array(model.score(batch.column(at).to_pylist()), pa.float64())
+            found = pa.array(model.score(_matrix(batch.column(at))), pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), found], names=schema.names)
 
-    return docs.mapInArrow(scored, schema)
+    return docs.mapInArrow(run, schema)
+
 
+def train(measured: DataFrame, labels: DataFrame) -> QualityModel:
+    """Learns from the labelled rows of (doc_id, statistics) outside the held-out fold.
 
-def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
-    """Learns from the labelled documents outside the held-out fold."""
+    The statistics travel to the labels, not the texts.
+    """
     known = labels.where(~held_out(F.col("doc_id"))).select("doc_id", "quality").where("quality is not null")
-    return fit(docs.select("doc_id", "text").join(known, "doc_id"))
+    return fit(measured.where(~held_out(F.col("doc_id"))).join(known, "doc_id"))
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train(docs, read_table(spark, sf_dir, "labels"))
-    name = unused(docs, "score")
-    return score(docs, model, out=name, columns=["doc_id"]).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(name).alias("score"), (F.col(name) >= 0.5).cast("int").alias("predicted")
-    )
+    measured = save(measure(docs, columns=["doc_id"]), "statistics")
+    model = train(measured, read_table(spark, sf_dir, "labels"))
+    return score(measured, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str, keep: float = 0.5) -> DataFrame:
     """Pipeline stage: documents that the classifier rejects go."""
-    model = train(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    name = unused(docs, "quality_score")
-    return score(docs, model, out=name).where(F.col(name) >= keep).drop(name)
+    labels = read_table(spark, sf_dir, "labels")
+    known = read_table(spark, sf_dir, "documents").select("doc_id", "text").where(~held_out(F.col("doc_id")))
+    model = train(measure(known, columns=["doc_id"]), labels)
+    numbers, name = unused(docs, "_statistics"), unused(docs, "_score")
+    return score(measure(docs, out=numbers), model, numbers, name).where(F.col(name) >= keep).drop(name)
 
 
 def crc_mod_3(doc_id: int) -> int:
