@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .bpe import encoder
+from .bpe import encoder, forget
 from .common import read_table, save
 
 LENGTH = 2048
@@ -165,14 +165,13 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def rows(batches):
         enc = encoder(tokenizer)
         narrow = max(enc.vocab_size, end_id + 1) <= 1 << 16
-        end = end_id.to_bytes(4, "little")
+        end = np.array([end_id], "<u4")
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 some = batch.slice(first, 256)
-                ids = [x + end for x in enc.encode(some.column(2).to_pylist())]
-                n = [len(x) // 4 for x in ids]
-                if narrow:
-                    ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
+                flat, at = enc.encode(some.column(2).to_pylist())
+                ids = [np.append(flat[a:b], end).astype("<u2" if narrow else "<u4").tobytes() for a, b in zip(at, at[1:], strict=False)]
+                n = np.diff(at) + 1
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "n", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(rows, "doc_id long, source string, n long, ids binary")
@@ -206,6 +205,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH,
 
     def pieces(batches):
         """Cuts each document's ids at the group's ends: (group, queue, first token, bytes)."""
+        forget()
         for batch in batches:
             out = []
             for d, source, n, ids, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -222,6 +222,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH,
 
     def packed(batches):
         """Rows come by group, queue and place; a group's queues lie in memory (``span x length`` ids)."""
+        forget()
         rows: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):

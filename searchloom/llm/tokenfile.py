@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .bpe import encoder
+from .bpe import encoder, forget
 from .common import fresh_dir, read_table, save
 from .files import Reader, write_new
 
@@ -67,7 +67,8 @@ class ShardWriter:
     def __init__(self, bits: int):
         self.bits, self.total = bits, 0
         self.blocks: list[bytes] = []
-        self.rest = np.zeros(0, np.uint32)
+        self.rest: list[np.ndarray] = []
+        self.held = 0
         self.starts: list[int] = []
         self.doc_ids: list[int | None] = []
 
@@ -75,17 +76,20 @@ class ShardWriter:
         self.doc_ids.append(doc_id)
         self.starts.append(self.total)
         self.total += len(ids)
-        self.rest = np.concatenate((self.rest, ids))
-        if len(self.rest) >= BLOCK:
-            full = len(self.rest) // BLOCK * BLOCK
+        self.rest.append(ids)
+        self.held += len(ids)
+        if self.held >= 16 * BLOCK:
+            some = np.concatenate(self.rest)
+            full = len(some) // BLOCK * BLOCK
             for i in range(0, full, BLOCK):
-                self.blocks.append(pack(self.rest[i : i + BLOCK], self.bits))
-            self.rest = self.rest[full:]
+                self.blocks.append(pack(some[i : i + BLOCK], self.bits))
+            self.rest, self.held = [some[full:]], len(some) - full
 
     def chunks(self) -> Iterator[bytes]:
-        if len(self.rest):
-            self.blocks.append(pack(self.rest, self.bits))
-            self.rest = self.rest[:0]
+        some = np.concatenate(self.rest) if self.rest else np.zeros(0, np.uint32)
+        for i in range(0, len(some), BLOCK):
+            self.blocks.append(pack(some[i : i + BLOCK], self.bits))
+        self.rest, self.held = [], 0
         yield HEADER.pack(MAGIC, self.bits, BLOCK, self.total, len(self.blocks), len(self.doc_ids))
         yield from self.blocks
         sizes = np.array([len(b) for b in self.blocks], np.uint64)
@@ -149,8 +153,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 some = batch.slice(first, 256)
-                for d, ids in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist()), strict=True):
-                    writer.add(d, np.concatenate((np.frombuffer(ids, "<u4"), end)))
+                ids, at = enc.encode(some.column(1).to_pylist())
+                for i, d in enumerate(some.column(0).to_pylist()):
+                    writer.add(d, np.concatenate((ids[at[i] : at[i + 1]], end)))
         if writer.doc_ids:
             n_docs, n_ids = len(writer.doc_ids), writer.total
             path = write_new(folder, ".tok", writer.chunks())
@@ -169,6 +174,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, ids) of every document, from the files: start counts the ids of all documents before."""
 
     def rows(batches):
+        forget()
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 out: list[tuple] = []
@@ -201,6 +207,7 @@ def op2_token_file(spark, sf_dir: str) -> DataFrame:
     manifest = write_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
     def digests(batches):
+        forget()
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows = [(d, base + start, len(ids), zlib.crc32(ids.tobytes())) for d, start, ids in ShardReader(path).documents()]
