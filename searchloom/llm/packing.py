@@ -1,6 +1,6 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Every source is a queue of its documents' tokens in doc_id order.  A sequence of
+Every source is a queue of its documents' tokens, in the order of the input's rows.  A sequence of
 ``length`` tokens takes from each source its share, the source's part of all
 tokens: a source is credited ``length x share`` each sequence, sends the whole
 tokens of its credit, and keeps the rest as a deficit; slots left by rounding go
@@ -16,17 +16,18 @@ The last tokens, fewer than ``length``, fill sequences whose lengths are powers
 of two, which need no padding.  So no sequence is padded at all.
 
 Defined cases: null and empty texts are the end id alone; a null source is a
-queue of its own; documents of one doc_id keep an order by text; an empty table
+queue of its own; rows of one doc_id are packed apart; an empty table
 gives no rows; a source of any size is spread over all groups.
 """
 
 from __future__ import annotations
 
 import bisect
-import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import encoder, forget
@@ -160,21 +161,30 @@ def group_schedule(start: np.ndarray, end: np.ndarray, deficit: np.ndarray, shar
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, source, n, ids) of whole documents with the end id; ids little-endian, 2 or 4 bytes each."""
+    """Whole documents' ids with the end id, little-endian, 2 or 4 bytes each.
+
+    ``part`` is the task, ``local`` how many tokens of the source it had before the document.
+    """
 
     def rows(batches):
         enc = encoder(tokenizer)
         narrow = max(enc.vocab_size, end_id + 1) <= 1 << 16
         end = np.array([end_id], "<u4")
+        part, sent = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 some = batch.slice(first, 256)
                 flat, at = enc.encode(some.column(2).to_pylist())
                 ids = [np.append(flat[a:b], end).astype("<u2" if narrow else "<u4").tobytes() for a, b in zip(at, at[1:], strict=False)]
                 n = np.diff(at) + 1
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "n", "ids"])
+                local = []
+                for source, m in zip(some.column(1).to_pylist(), n.tolist(), strict=True):
+                    local.append(sent[source])
+                    sent[source] += m
+                arrays = [some.column(0), some.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array([part] * len(ids), pa.int64()), pa.array(local, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "source", "n", "ids", "part", "local"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(rows, "doc_id long, source string, n long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(rows, "doc_id long, source string, n long, ids binary, part long, local long")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH, span: int = SPAN, mixture: dict | None = None) -> DataFrame:
@@ -184,19 +194,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH,
     that runs dry leaves its slots to the others.
     """
     spark = docs.sparkSession
-    tokens = save(tokenize(docs, tokenizer, end_id).withColumn("row", F.monotonically_increasing_id()), "packing-tokens")
-    # The queues' positions: ranges of (source, doc_id) keep a running sum each, and start where the ranges before end.
-    order = [F.col("source").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("row")]
-    keys = save(
-        tokens.select("source", "doc_id", F.xxhash64("ids").alias("h"), "row", "n")
-        .repartitionByRange(*order)
-        .select("*", F.spark_partition_id().alias("part")),
-        "packing-keys",
-    )
-    by_part = keys.groupBy("source", "part").agg(F.sum("n").alias("n"))
-    base = by_part.select("source", "part", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    within = F.sum("n").over(Window.partitionBy("source", "part").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    starts = keys.select("source", "part", "row", within.alias("at")).join(base.select(F.col("source").alias("s"), F.col("part").alias("p"), "base"), F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select("row", (F.col("at") + F.col("base")).alias("at"))
+    tokens = save(tokenize(docs, tokenizer, end_id), "packing-tokens")
+    # The queues' positions: every task kept running sums, and starts where the tasks before it end.
+    by_part = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # A row a task and source: small against the ids, so that Spark may broadcast it, or else sorts both sides.
+    base = save(by_part.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "packing-bases")
 
     totals = sorted(((r.source, r.n) for r in by_part.groupBy("source").agg(F.sum("n").alias("n")).collect()), key=lambda x: (x[0] is not None, x[0] or ""))  # a row a source
     names = [s for s, _ in totals]
@@ -261,7 +264,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH,
         """How many ids row i holds: up to the next row's first, or the group's end."""
         return int((own[i + 1][2] if i + 1 < len(own) else end) - own[i][2])
 
-    numbered = tokens.join(starts, "row").select("doc_id", "source", "n", "ids", "at")
+    numbered = tokens.join(base, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select("doc_id", "source", "n", "ids", (F.col("local") + F.col("base")).alias("at"))
     cut = numbered.mapInArrow(pieces, "g long, queue int, at long, doc_id long, start long, n long, ids binary")
     grouped = cut.repartition("g").sortWithinPartitions("g", "queue", "at")
     return grouped.mapInArrow(packed, "doc_id long, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
