@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, ngram_join, packing, quality, tokenfile
+from . import decontaminate, line_dedup, ngram_join, packing, quality, tokenfile, warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc": warc.op1_warc,
         "op2_token_file": tokenfile.op2_token_file,
         "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_quality": quality.op4_quality,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": line_dedup.OP8_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op8_line_dedup": line_dedup.OP8_SQL}
