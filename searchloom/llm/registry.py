@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, line_dedup, ngram_join, packing, quality, tokenfile, warc
+from . import ann, chat, decontaminate, line_dedup, ngram_join, packing, quality, tokenfile, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_token_file": tokenfile.op2_token_file,
         "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_quality": quality.op4_quality,
+        "op5_nearest": ann.op5_nearest,
         "op6_chat": chat.op6_chat,
         "op7_decontamination": decontaminate.op7_decontamination,
         "op8_line_dedup": line_dedup.op8_line_dedup,
