@@ -9,12 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from searchloom.llm.common import read_table, save
+from searchloom.llm.decontaminate import decontamination_stage
 from searchloom.llm.line_dedup import line_dedup_stage
+from searchloom.llm.ngram_join import near_duplicate_stage
+from searchloom.llm.packing import packing_stage
 from searchloom.llm.quality import quality_stage
 
 STAGES = [
     ("quality classifier", quality_stage),
     ("line dedup", line_dedup_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("packing", packing_stage),
 ]
 
 #: The stages run numpy and tokenizers code, which SQL can't express.

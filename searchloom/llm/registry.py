@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontaminate, line_dedup, ngram_join, packing, quality, tokenfile, warc
+from . import ann, chat, decontaminate, line_dedup, ngram_join, packing, quality, suffix_dedup, tokenfile, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_chat": chat.op6_chat,
         "op7_decontamination": decontaminate.op7_decontamination,
         "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_packing": packing.op10_packing,
     }
 
