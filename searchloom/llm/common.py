@@ -1,31 +1,10 @@
-"""Session helpers: tables written to the shared folder, and Arrow plumbing."""
+"""Tables written to the shared folder, input tables, and names that don't clash."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-@lru_cache(maxsize=1)
-def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="searchloom-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session leaves it unset (tests, one machine) is a folder of
-    our own used.
-    """
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, not yet created."""
-    return f"{shared_dir(spark)}/searchloom/{name}-{uuid.uuid4().hex}"
+from ..session import fresh_dir
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
