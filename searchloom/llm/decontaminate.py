@@ -26,13 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .bpe import forget
 from .common import read_table, unused
 from .textbytes import Words, blocks
 
 WINDOW = 13
 BLOCK_BYTES = 16_000_000
 #: Bytes of text under one suffix array.
-SHARD = 4_000_000
+SHARD = 2_000_000
 
 
 @dataclass
@@ -210,10 +211,11 @@ def judge(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int
         """One pass with one block of the benchmark; matches of earlier ones come in the last column."""
 
         def run(batches):
+            forget()
             for batch in batches:
                 found = [[] for _ in range(batch.num_rows)] if first else batch.column(batch.num_columns - 1).to_pylist()
                 count = [0] * batch.num_rows
-                for start, end, raw in blocks(batch.column(at).to_pylist(), SHARD):
+                for start, end, raw in blocks(batch.column(at), SHARD):
                     w = Words(raw)
                     count[start:end] = w.count.tolist()
                     for row, item, d, i, n in longest_matches(w, bench, *occurrences(w, bench, window)):

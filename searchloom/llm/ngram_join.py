@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .bpe import forget
 from .common import read_table, save
 from .components import components
 from .textbytes import Words, blocks, mix, prefix_hash, shingles, span_hash
@@ -87,9 +88,10 @@ def _identity(w: Words) -> list[bytes]:
 
 def _signed(depth: int):
     def run(batches):
+        forget()
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for first, end, raw in blocks(batch.column(1).to_pylist()):
+            for first, end, raw in blocks(batch.column(1)):
                 w = Words(raw)
                 n = end - first
                 doc, hashes = shingles(w, WIDTH)
@@ -194,7 +196,7 @@ def _near(batches):
 def _shingled(batches):
     """(identity, words, sorted shingle hashes) of texts."""
     for batch in batches:
-        for first, end, raw in blocks(batch.column(0).to_pylist()):
+        for first, end, raw in blocks(batch.column(0)):
             w = Words(raw)
             doc, hashes = shingles(w, WIDTH)
             at = np.searchsorted(doc, np.arange(end - first + 1))

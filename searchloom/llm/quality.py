@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .bpe import forget
 from .common import read_table, save, unused
 from .textbytes import Words, blocks
 
@@ -60,7 +61,7 @@ def _runs(doc: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return distinct, most
 
 
-def statistics(texts: list[str | None]) -> np.ndarray:
+def statistics(texts: pa.Array | list) -> np.ndarray:
     """A row of FEATURES for every text; whole texts are read."""
     out = np.zeros((len(texts), len(FEATURES)))
     for first, end, raw in blocks(texts):
@@ -157,8 +158,9 @@ def measure(docs: DataFrame, text: str = "text", out: str = "statistics", column
     schema = T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField(out, T.ArrayType(T.DoubleType()))])
 
     def run(batches):
+        forget()
         for batch in batches:
-            x = statistics(batch.column(at).to_pylist())
+            x = statistics(batch.column(at))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(list(x), pa.list_(pa.float64()))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
@@ -185,16 +187,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def score(docs: DataFrame, model: QualityModel, measured: str = "statistics", out: str = "score") -> DataFrame:
-    """``docs`` with a column ``out`` in place of their statistics; no shuffle."""
-    at = docs.columns.index(measured)
-    kept = [i for i in range(len(docs.columns)) if i != at]
+def score(docs: DataFrame, model: QualityModel, text: str | None = None, measured: str = "statistics", out: str = "score") -> DataFrame:
+    """``docs`` with a column ``out``; no shuffle.
+
+    The statistics are those in the column ``measured``, which goes, or with
+    ``text`` they are taken from that column, which stays.
+    """
+    at = docs.columns.index(text or measured)
+    kept = [i for i in range(len(docs.columns)) if text or i != at]
     schema = T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField(out, T.DoubleType())])
 
     def run(batches):
+        forget()
         for batch in batches:
-            found = pa.array(model.score(_matrix(batch.column(at))), pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), found], names=schema.names)
+            x = statistics(batch.column(at)) if text else _matrix(batch.column(at))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(model.score(x), pa.float64())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -220,8 +227,8 @@ def quality_stage(spark, docs: DataFrame, sf_dir: str, keep: float = 0.5) -> Dat
     labels = read_table(spark, sf_dir, "labels")
     known = read_table(spark, sf_dir, "documents").select("doc_id", "text").where(~held_out(F.col("doc_id")))
     model = train(measure(known, columns=["doc_id"]), labels)
-    numbers, name = unused(docs, "_statistics"), unused(docs, "_score")
-    return score(measure(docs, out=numbers), model, numbers, name).where(F.col(name) >= keep).drop(name)
+    name = unused(docs, "_score")
+    return score(docs, model, "text", out=name).where(F.col(name) >= keep).drop(name)
 
 
 def crc_mod_3(doc_id: int) -> int:

@@ -6,9 +6,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 #: Texts are worked on in blocks of about so many bytes (a longer text is a block).
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -43,7 +44,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of the base modulo 2**64, and of its inverse."""
-    up, down = _powers(1 << max(21, (max(n, 2) - 1).bit_length()))
+    up, down = _powers(1 << max(20, (max(n, 2) - 1).bit_length()))
     return up[:n], down[:n]
 
 
@@ -59,10 +60,19 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * powers(len(prefix))[1][starts] + (ends - starts).astype(np.uint64))
 
 
-def blocks(texts: list[str | None], size: int = BLOCK) -> Iterator[tuple[int, int, list[bytes]]]:
+def few_at_a_time(column: pa.Array | list, rows: int = 256) -> Iterator[str | None]:
+    """The texts of an Arrow column, of which only some are Python strings at a time."""
+    if isinstance(column, list):
+        yield from column
+        return
+    for first in range(0, len(column), rows):
+        yield from column.slice(first, rows).to_pylist()
+
+
+def blocks(texts: pa.Array | list, size: int = BLOCK) -> Iterator[tuple[int, int, list[bytes]]]:
     """(first row, end row, their UTF-8 texts) for runs of rows of about ``size`` bytes."""
     first, total, some = 0, 0, []
-    for i, text in enumerate(texts):
+    for i, text in enumerate(few_at_a_time(texts)):
         raw = (text or "").encode("utf-8", "surrogatepass")
         if some and total + len(raw) > size:
             yield first, i, some
