@@ -62,7 +62,7 @@ def url_key_column(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record: a response, or a revisit without the payload."""
     revisit = refers_to is not None
     name = "null" if page_id is None else str(page_id)
@@ -71,7 +71,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, size: int, dige
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{name}>", f"WARC-Date: {_DATE}",
         *([f"WARC-Target-URI: {''.join(url.split())}"] if url else []),
         "WARC-Payload-Digest: sha1:" + base64.b32encode(bytes.fromhex(digest)).decode(),
-        f"X-Payload-Length: {size}",
+        f"X-Payload-Length: {len(payload)}",
         *([f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if revisit else []),
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}",
     ]
@@ -91,15 +91,17 @@ def _page(name: str) -> int | None:
     return None if name == "null" else int(name)
 
 
-def responses(pages: DataFrame) -> DataFrame:
-    """``pages`` (page_id, url, html, digest) with refers_to, from the digests that several pages share.
+def revisits(pages: DataFrame) -> DataFrame:
+    """(page_id, url, digest, refers_to) of the pages of (page_id, url, digest, size) that revisit another.
 
-    Counts are summed before they are sent; a digest of any number of pages
-    meets its one row in a sorted join that adaptive execution splits.
+    No payload travels: counts are summed before they are sent, and a digest of
+    any number of pages meets its one row in a sorted join that adaptive
+    execution splits.
     """
-    shared = pages.where(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
-    kept = F.when((F.octet_length("html") >= REVISIT_BYTES) & (F.col("page_id").isNull() | (F.col("page_id") != F.col("keeper"))), F.col("keeper"))
-    return pages.join(shared.select("digest", "keeper"), "digest", "left").withColumn("refers_to", kept).drop("keeper")
+    large = pages.where(F.col("size") >= REVISIT_BYTES)
+    shared = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    other = F.col("page_id").isNull() | (F.col("page_id") != F.col("refers_to"))
+    return large.join(shared, "digest").where(other).select("page_id", "url", "digest", "refers_to")
 
 
 def write_archives(pages: DataFrame) -> DataFrame:
@@ -110,20 +112,26 @@ def write_archives(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     folder = fresh_dir(spark, "warc")
     typed = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    marked = responses(typed.withColumn("digest", F.sha1(F.col("html").cast("binary"))))
-    # A revisit's payload isn't stored, so only its length travels on.
-    slim = marked.select("page_id", "url", "digest", "refers_to", F.octet_length("html").alias("size"), F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), url_key_column(F.col("url")).alias("key"))
-    ordered = slim.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    hashed = typed.select("page_id", "url", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("size"), "html")
+    # A note on each revisit goes the way of its page and lies just before it, so the payloads move once.
+    notes = revisits(hashed.drop("html")).select("page_id", "url", "digest", "refers_to", F.lit(None).cast("string").alias("html"))
+    rows = notes.unionByName(hashed.select("page_id", "url", "digest", F.lit(None).cast("long").alias("refers_to"), "html"))
+    order = [url_key_column(F.col("url")), F.col("page_id"), F.col("digest")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, F.col("html").isNotNull())
 
     def write(batches):
         lines: list[tuple[str, str]] = []
 
         def archive():
-            offset = 0
+            offset, note = 0, None
             for batch in batches:
                 for first in range(0, batch.num_rows, 500):
-                    for page, url, digest, refers, size, html in zip(*(c.to_pylist() for c in batch.slice(first, 500).columns[:6]), strict=True):
-                        raw = record(page, url, (html or "").encode(), size, digest, refers)
+                    for page, url, digest, refers, html in zip(*(c.to_pylist() for c in batch.slice(first, 500).columns), strict=True):
+                        if html is None:
+                            note = (page, digest, refers)
+                            continue
+                        refers = note[2] if note and note[:2] == (page, digest) else None
+                        raw = record(page, url, html.encode(), digest, refers)
                         z = zlib.compressobj(4, zlib.DEFLATED, 31)
                         packed = z.compress(raw) + z.flush()
                         line = json.dumps({"url": url, "digest": digest, "offset": offset, "length": len(packed)}, ensure_ascii=True)
