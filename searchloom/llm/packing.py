@@ -23,6 +23,7 @@ gives no rows; a source of any size is spread over all groups.
 from __future__ import annotations
 
 import bisect
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -187,8 +188,8 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(rows, "doc_id long, source string, n long, ids binary, part long, local long")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH, span: int = SPAN, mixture: dict | None = None) -> DataFrame:
-    """One row a piece: doc_id, source, start, length, ids, doc_tokens, sequence_id, offset.
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH, span: int = SPAN, mixture: dict | None = None, digest: bool = False) -> DataFrame:
+    """One row a piece: doc_id, source, start, length, ids (their CRC-32, ids_crc32, if ``digest``), doc_tokens, sequence_id, offset.
 
     ``mixture``: weights by source in place of the sources' own sizes; a queue
     that runs dry leaves its slots to the others.
@@ -223,6 +224,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH,
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["g", "queue", "at", "doc_id", "start", "n", "ids"])
 
+    ids_name, ids_type = ("ids_crc32", "long") if digest else ("ids", "binary")
+
     def packed(batches):
         """Rows come by group, queue and place; a group's queues lie in memory (``span x length`` ids)."""
         forget()
@@ -252,13 +255,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH,
                 width = len(ids) // (m := _count(own, i, hi[queue]))
                 take = min(count, first + m - at)
                 raw = np.frombuffer(ids, f"<u{width}", take, (at - first) * width).astype("<u4").tobytes()
-                out.append((d, names[queue], start + at - first, take, raw, n, first_sequence + w, offset))
+                out.append((d, names[queue], start + at - first, take, zlib.crc32(raw) if digest else raw, n, first_sequence + w, offset))
                 at, offset, count = at + take, offset + take, count - take
                 if at == first + m:
                     i += 1
             cursor[queue] = i
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64() if digest else pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "source", "start", "length", ids_name, "doc_tokens", "sequence_id", "offset"])
 
     def _count(own, i, end):
         """How many ids row i holds: up to the next row's first, or the group's end."""
@@ -267,22 +270,17 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH,
     numbered = tokens.join(base, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select("doc_id", "source", "n", "ids", (F.col("local") + F.col("base")).alias("at"))
     cut = numbered.mapInArrow(pieces, "g long, queue int, at long, doc_id long, start long, n long, ids binary")
     grouped = cut.repartition("g").sortWithinPartitions("g", "queue", "at")
-    return grouped.mapInArrow(packed, "doc_id long, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
-
-
-def crc32(pieces: DataFrame) -> DataFrame:
-    """``pieces`` with ids_crc32 in place of the ids."""
-    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return grouped.mapInArrow(packed, f"doc_id long, source string, start long, length long, {ids_name} {ids_type}, doc_tokens long, sequence_id long, offset long")
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return crc32(pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))).drop("source")
+    return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digest=True).drop("source")
 
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents' pieces, packed into sequences."""
     import public_tokenizers
 
-    return crc32(pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), digest=True)
