@@ -45,7 +45,7 @@ from .textbytes import _BYTE, mix, prefix_hash, span_hash
 
 LENGTH = 200
 #: Suffix bytes a run holds in memory.
-RUN_BYTES = 64_000_000
+RUN_BYTES = 24_000_000
 
 
 def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -109,22 +109,19 @@ def _table(columns: dict, schema: list[tuple[str, pa.DataType]]) -> pa.RecordBat
 
 
 def _all_anchors(length: int):
-    schema = [("row", pa.int64()), ("h", pa.int64())]
+    schema = [("row", pa.int64()), ("h", pa.int64()), ("times", pa.int32())]
 
     def run(batches):
-        rows, hashes, size = [], [], 0
+        held, size = [], 0
         for row, text, _ in _texts(batches, length):
-            h, count = np.unique(Anchors(text, length).hash, return_counts=True)
-            # An anchor that comes again in the text is said twice, which makes it a repeated one.
-            h = np.repeat(h, np.minimum(count, 2))
-            rows.append(np.full(len(h), row))
-            hashes.append(h.view(np.int64))
+            h, times = np.unique(Anchors(text, length).hash, return_counts=True)
+            held.append((np.full(len(h), row), h.view(np.int64), times.astype(np.int32)))
             size += len(h)
-            if size > 200_000:
-                yield _table({"row": np.concatenate(rows), "h": np.concatenate(hashes)}, schema)
-                rows, hashes, size = [], [], 0
-        if rows:
-            yield _table({"row": np.concatenate(rows), "h": np.concatenate(hashes)}, schema)
+            if size > 100_000:
+                yield _table(dict(zip(("row", "h", "times"), map(np.concatenate, zip(*held, strict=True)), strict=True)), schema)
+                held, size = [], 0
+        if held:
+            yield _table(dict(zip(("row", "h", "times"), map(np.concatenate, zip(*held, strict=True)), strict=True)), schema)
 
     return run
 
@@ -345,7 +342,7 @@ def _class_windows(length: int):
             n = anchors.hi[which] - anchors.lo[which] + 1
             held.append((key.view(np.int64), np.repeat(anchors.hash[which].view(np.int64), n), np.full(len(place), row), place, np.repeat(is_open[which], n)))
             size += len(place)
-            if size > 1_000_000:
+            if size > 400_000:
                 for kind, out in enumerate(flush(held)):
                     yield pa.RecordBatch.from_arrays([pa.array([kind] * out.num_rows, pa.int32()), *out.columns], names=[n for n, _ in schema])
                 held, size = [], 0
@@ -406,10 +403,9 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> tuple[
     texts = bucketed(docs.select(F.monotonically_increasing_id().alias("row"), *columns, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")), "row", "texts")
     own = texts.select("row", "text")
 
-    anchors = own.mapInArrow(_all_anchors(length), "row long, h long")
-    anchors = save(anchors, "anchors")
-    repeated = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    of_row = save(anchors.join(repeated, "h").distinct(), "repeated-anchors")
+    anchors = save(own.mapInArrow(_all_anchors(length), "row long, h long, times int"), "anchors")
+    repeated = anchors.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h")
+    of_row = save(anchors.select("row", "h").join(repeated, "h"), "repeated-anchors")
     known = save(_packed(of_row, "h", "known"), "known")
 
     splitters = _splitters(own, known, length, parts)
