@@ -8,6 +8,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
 from .index import latest
@@ -52,14 +53,15 @@ class VectorTable:
         spark = self.rows.sparkSession
         rows = self.rows.select("doc_id", F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
         asked = iter(queries.select("query_id", F.col("embedding").cast("array<double>").alias("v")).where("v is not null").toLocalIterator())
-        kinds = (queries.schema["query_id"].dataType.simpleString(), self.rows.schema["doc_id"].dataType.simpleString())
-        schema = f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"
+        kinds = (queries.schema["query_id"].dataType, self.rows.schema["doc_id"].dataType)
+        schema = f"query_id {kinds[0].simpleString()}, doc_id {kinds[1].simpleString()}, score double"
+        arrow = tuple(to_arrow_type(k) for k in kinds)
         out = spark.createDataFrame([], schema)
         while block := list(islice(asked, QUERY_BLOCK)):
             ids = [r.query_id for r in block]
             matrix = np.array([r.v for r in block])
             matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-            out = out.union(rows.mapInArrow(_best(ids, matrix, k), schema))
+            out = out.union(rows.mapInArrow(_best(ids, matrix, k, arrow), schema))
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
         return out.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
@@ -67,7 +69,7 @@ class VectorTable:
         """The search's hits with rank, score and the metadata a result shows; a missing url is the doc_id."""
         found = self.search(queries, k).join(self.rows.drop("embedding"), "doc_id")
         shown = [c for c in ("title", "url", "source", "date", "tags", "category") if c in found.columns]
-        return found.select("query_id", "rank", "doc_id", "score", *(F.coalesce("url", "doc_id").alias("url") if c == "url" else F.col(c) for c in shown))
+        return found.select("query_id", "rank", "doc_id", "score", *(F.coalesce("url", F.col("doc_id").cast("string")).alias("url") if c == "url" else F.col(c) for c in shown))
 
     def stats(self) -> DataFrame:
         return self.rows.agg(F.count("*").alias("vectors"))
@@ -80,7 +82,7 @@ class VectorTable:
         return cls(spark.read.parquet(path))
 
 
-def _best(ids: list, matrix: np.ndarray, k: int):
+def _best(ids: list, matrix: np.ndarray, k: int, kinds: tuple[pa.DataType, pa.DataType]):
     """The k best of each batch for every query of a block."""
 
     def run(batches):
@@ -97,8 +99,8 @@ def _best(ids: list, matrix: np.ndarray, k: int):
             top = np.argsort(-score, axis=1, kind="stable")[:, :k]
             n = top.shape[1]
             yield pa.RecordBatch.from_pydict({
-                "query_id": pa.array([q for q in ids for _ in range(n)]),
-                "doc_id": pa.array(docs[top].ravel().tolist()),
+                "query_id": pa.array([q for q in ids for _ in range(n)], kinds[0]),
+                "doc_id": pa.array(docs[top].ravel().tolist(), kinds[1]),
                 "score": pa.array(np.take_along_axis(score, top, axis=1).ravel(), pa.float64()),
             })
 

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.detect import brand, operating_system, pc_subcategory
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: An opening tag of these ends an open one of the same kind.
-_SIBLINGS = frozenset(("p", "li"))
+#: Opening tags that end an open paragraph, and what an end of one can't reach out of.
+_BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+_WALLS = {"p": frozenset("article body div li section td".split()), "li": frozenset(("ul", "ol"))}
 _RAW = frozenset(("script", "style"))
 
 
@@ -70,10 +71,10 @@ class _Builder(HTMLParser):
         self.root = self.at = Node("", {})
 
     def handle_starttag(self, tag, attrs):
-        if tag in _SIBLINGS:
+        for ended in ("p",) * (tag in _BLOCKS) + ("li",) * (tag == "li"):
             node = self.at
-            while node.parent is not None and node.tag not in ("ul", "ol", "div", "article", "section"):
-                if node.tag == tag:
+            while node.parent is not None and node.tag not in _WALLS[ended]:
+                if node.tag == ended:
                     self.at = node.parent
                     break
                 node = node.parent
