@@ -177,7 +177,7 @@ class Encoder:
         if self._used + len(start) > self.entries:
             self._forget()
         if len(start) > self.entries:
-            self.entries = len(start)
+            self.entries = 1 << (len(start) - 1).bit_length()
             self._forget()
         entry = self._entries(joined, start, end)
         n = self._count[entry]

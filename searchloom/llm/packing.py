@@ -122,7 +122,7 @@ class Plan:
     def bound(self, s: int, group: int) -> int:
         """The first token of queue ``s`` that belongs to ``group`` or a later one."""
         if group >= self.groups:
-            return self.phases[-1][2][s] + self.phases[-1][3][s]
+            return self.phases[-1][2][s] + self.phases[-1][3][s] if self.phases else 0
         g0, _, first, take, _ = self._phase(group)
         return first[s] + self._sent(take, (group - g0) * self.width, s)
 
