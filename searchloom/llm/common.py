@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import fresh_dir
@@ -17,7 +20,38 @@ def save(df: DataFrame, name: str) -> DataFrame:
     path = fresh_dir(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*saved: DataFrame) -> None:
+    """Delete tables that ``save`` wrote and nothing reads any more."""
+    for df in saved:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans now; it does so when the driver's garbage goes."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+#: Rows of an Arrow batch: whole texts are large, and a batch lies in memory several times.
+BATCH_ROWS = 1000
+
+
+def batched(function):
+    """Of a function of a session: sets the session's Arrow batches to BATCH_ROWS first."""
+
+    @wraps(function)
+    def run(spark: SparkSession, *args, **kwargs):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return function(spark, *args, **kwargs)
+
+    return run
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

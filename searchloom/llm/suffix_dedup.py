@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fresh_dir, read_table, save
+from .common import batched, discard, fresh_dir, read_table, release, save
 from .merge import decode, front_code, merge
 from .textbytes import _BYTE, mix, prefix_hash, span_hash
 
@@ -54,6 +54,7 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"searchloom_{name}_{uuid.uuid4().hex}"
     df.repartition(n, key).write.format("parquet").option("path", fresh_dir(spark, name)).bucketBy(n, key).sortBy(key).saveAsTable(table)
+    release(spark)
     return spark.table(table)
 
 
@@ -406,6 +407,9 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> tuple[
     anchors = save(own.mapInArrow(_all_anchors(length), "row long, h long, times int"), "anchors")
     repeated = anchors.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h")
     of_row = save(anchors.select("row", "h").join(repeated, "h"), "repeated-anchors")
+    del repeated
+    discard(anchors)
+    release(spark)
     known = save(_packed(of_row, "h", "known"), "known")
 
     splitters = _splitters(own, known, length, parts)
@@ -413,17 +417,27 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> tuple[
     merged = runs.where("kind = 0").repartition(parts, "part").sortWithinPartitions("part", "run").mapInArrow(_merged(length), "row long, place long")
     within = runs.where("kind = 1").select("row", "place").mapInArrow(_unpacked, "row long, place long")
     found = save(merged.union(within), "suffixes")
+    del merged, within
+    discard(runs)
+    release(spark)
     starts = save(_packed(found, "place", "repeats"), "starts")
 
     state = own.join(known, "row").join(starts, "row", "left").select("row", "text", "known", "repeats")
     open_ = save(state.mapInArrow(_open_classes(length), "h long").distinct(), "open-classes")
     classes = save(_packed(of_row.join(open_, "h"), "h", "classes"), "classes")
+    discard(of_row, open_)
+    del state
+    release(spark)
     asked = own.join(known, "row").join(starts, "row", "left").join(classes, "row").select("row", "text", "known", "repeats", "classes")
     windows = save(asked.mapInArrow(_class_windows(length), "kind int, key long, anchor long, row long, place int, ask boolean"), "windows")
     sent = windows.where("kind = 1").drop("kind").repartition(parts, "key").sortWithinPartitions("key", "anchor")
     # One entry of a run that holds the window several times tells the other runs of it, but asks nothing itself.
     edges = sent.mapInArrow(_met, "row long, place long").union(windows.where("kind = 0").select("row", F.col("place").cast("long")))
-    return texts, _packed(found.union(edges), "place", "places")
+    places = save(_packed(found.union(edges), "place", "places"), "places")
+    del asked, sent, edges
+    discard(found, known, starts, classes, windows)
+    release(spark)
+    return texts, places
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, digest: bool = False) -> DataFrame:
@@ -457,5 +471,6 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, di
     return joined.mapInArrow(cut, fields)
 
 
+@batched
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
