@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import read_table
+from .common import batched, read_table
 
 DIMENSIONS, CONFIDENCE, SHARD, QUERIES, LEAF, SEED = 8, 0.8, 8_192, 2_000, 128, 7
 
@@ -188,6 +188,7 @@ def _grouped(batches):
         yield pa.Table.from_batches(held)
 
 
+@batched
 def op5_nearest(spark, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)

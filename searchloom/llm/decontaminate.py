@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .bpe import forget
-from .common import read_table, unused
+from .common import batched, read_table, unused
 from .textbytes import Words, blocks
 
 WINDOW = 13
@@ -240,11 +240,13 @@ def judge(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int
     return docs
 
 
+@batched
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return judge(docs, read_table(spark, sf_dir, "benchmark"), columns=["doc_id"])
 
 
+@batched
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: contaminated documents go."""
     names = tuple(unused(docs, f"_{n}") for n in VERDICT)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import forget
-from .common import read_table, save
+from .common import batched, read_table, save
 from .components import components
 from .textbytes import Words, blocks, mix, prefix_hash, shingles, span_hash
 
@@ -328,10 +328,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return with_class.union(alone)
 
 
+@batched
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+@batched
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of every group of near duplicates the least doc_id stays."""
     found = near_duplicates(docs).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))

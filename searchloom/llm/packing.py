@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import encoder, forget
-from .common import read_table, save
+from .common import batched, read_table, save
 
 LENGTH = 2048
 #: Sequences packed by one group: 512 x 2048 tokens are 4 MB.
@@ -273,12 +273,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH,
     return grouped.mapInArrow(packed, f"doc_id long, source string, start long, length long, {ids_name} {ids_type}, doc_tokens long, sequence_id long, offset long")
 
 
+@batched
 def op10_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digest=True).drop("source")
 
 
+@batched
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents' pieces, packed into sequences."""
     import public_tokenizers

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .bpe import forget
-from .common import read_table, save, unused
+from .common import batched, read_table, save, unused
 from .textbytes import Words, blocks
 
 FEATURES = (
@@ -215,6 +215,7 @@ def train(measured: DataFrame, labels: DataFrame) -> QualityModel:
     return fit(measured.where(~held_out(F.col("doc_id"))).join(known, "doc_id"))
 
 
+@batched
 def op4_quality(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     measured = save(measure(docs, columns=["doc_id"]), "statistics")
@@ -222,6 +223,7 @@ def op4_quality(spark, sf_dir: str) -> DataFrame:
     return score(measured, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@batched
 def quality_stage(spark, docs: DataFrame, sf_dir: str, keep: float = 0.5) -> DataFrame:
     """Pipeline stage: documents that the classifier rejects go."""
     labels = read_table(spark, sf_dir, "labels")

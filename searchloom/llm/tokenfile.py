@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import encoder, forget
-from .common import fresh_dir, read_table, save
+from .common import batched, fresh_dir, read_table, save
 from .files import Reader, write_new
 
 MAGIC = b"SLTOKEN1"
@@ -201,6 +201,7 @@ def _one_a_task(manifest: DataFrame) -> DataFrame:
     return manifest.select("file", "base").repartition(n)
 
 
+@batched
 def op2_token_file(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -32,7 +32,7 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import fresh_dir, read_table, save
+from .common import batched, fresh_dir, read_table, save
 from .files import Reader, write_new
 
 REVISIT_BYTES = 1000
@@ -224,6 +224,7 @@ def lookup(directory: DataFrame, url: str) -> list[tuple]:
     return [row for row in out if row[1] == url]
 
 
+@batched
 def op1_warc(spark, sf_dir: str) -> DataFrame:
     directory = write_archives(read_table(spark, sf_dir, "pages"))
     return read_archives(directory).drop("url")
