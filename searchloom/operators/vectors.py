@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
+from ..session import ship
 from .index import latest
 
 DIGITS = 6
@@ -51,6 +52,7 @@ class VectorTable:
         of its batches, so what is sent and shuffled is bounded by k.
         """
         spark = self.rows.sparkSession
+        ship(spark)
         rows = self.rows.select("doc_id", F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
         asked = iter(queries.select("query_id", F.col("embedding").cast("array<double>").alias("v")).where("v is not null").toLocalIterator())
         kinds = (queries.schema["query_id"].dataType, self.rows.schema["doc_id"].dataType)

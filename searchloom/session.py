@@ -1,10 +1,12 @@
-"""The folder that driver and executors share."""
+"""What driver and executors share: a folder, and this package."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -22,3 +24,22 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, not yet created."""
     return f"{shared_dir(spark)}/searchloom/{name}-{uuid.uuid4().hex}"
+
+
+@lru_cache(maxsize=1)
+def _package() -> str:
+    """This package as a zip file."""
+    root = Path(__file__).resolve().parent
+    out = Path(tempfile.mkdtemp(prefix="searchloom-")) / "searchloom.zip"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    return str(out)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors' Python, once a context, so that it need not be installed there."""
+    context = spark.sparkContext
+    if not getattr(context, "_searchloom_shipped", False):
+        context.addPyFile(_package())
+        context._searchloom_shipped = True

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.detect import brand, operating_system, pc_subcategory
+from ..session import ship
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Opening tags that end an open paragraph, and what an end of one can't reach out of.
@@ -159,6 +160,7 @@ def article(html: str | None, profile: Profile) -> dict:
 
 def extract(pages: DataFrame, profile: Profile = NEWS, html: str = "html") -> DataFrame:
     """``pages`` without their HTML, and with the fields of ARTICLE; batch by batch, no shuffle."""
+    ship(pages.sparkSession)
     kept = [c for c in pages.columns if c != html]
     types = {f.name: f.dataType.simpleString() for f in pages.schema}
     fields = [x.split()[0] for x in ARTICLE.split(", ")]

@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.index import latest
 from ..schema import CATEGORIES, CRAWL_ITEM, DOCUMENT
+from ..session import ship
 
 #: Stands for no tags.
 NO_TAGS = "Unknowns"
@@ -60,6 +61,7 @@ def python_id(raw: pd.Series) -> pd.Series:
 
 def canonical(items: DataFrame) -> DataFrame:
     """Canonical documents of parsed items, with the columns of their place."""
+    ship(items.sparkSession)
     raw_id = F.pandas_udf(python_id, "string")
     i = lambda name: F.col(f"item.{name}")
     text = lambda c: F.coalesce(c, F.lit(""))
