@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import fresh_dir
+from ..session import fresh_dir, ship
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -44,11 +44,12 @@ BATCH_ROWS = 1000
 
 
 def batched(function):
-    """Of a function of a session: sets the session's Arrow batches to BATCH_ROWS first."""
+    """Of a function of a session: first sets the session's Arrow batches to BATCH_ROWS, and sends the package to the executors."""
 
     @wraps(function)
     def run(spark: SparkSession, *args, **kwargs):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        ship(spark)
         return function(spark, *args, **kwargs)
 
     return run
