@@ -306,11 +306,17 @@ def _open_classes(length: int):
     return run
 
 
-_WINDOW_SCHEMA = [("key", pa.int64()), ("anchor", pa.int64()), ("row", pa.int64()), ("place", pa.int32()), ("ask", pa.bool_())]
+_WINDOW_SCHEMA = [("key", pa.int64()), ("anchor", pa.int64()), ("row", pa.int64()), ("place", pa.int32()), ("ask", pa.bool_()), ("sure", pa.bool_())]
+_WINDOWS = "key long, anchor long, row long, place int, ask boolean, sure boolean"
 
 
 def _class_windows(length: int):
-    """The windows of anchors in open classes, each once a run; those that come more than once in it, or belong to an open anchor, carry their places."""
+    """The windows of anchors in open classes, each once a run.
+
+    ``ask``: the window belongs to an open anchor, which waits for the answer
+    whether another run has it.  Those that come again in the run itself are
+    ``sure``; they are sent under keys of their own, so that none is hot.
+    """
 
     def flush(held):
         key, anchor, row, place, ask = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -320,23 +326,32 @@ def _class_windows(length: int):
         new[1:] = (key[1:] != key[:-1]) | (anchor[1:] != anchor[:-1])
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(key)))
-        # Known in the run: both this place and another.
-        inside = np.repeat(count > 1, count) & ask
-        known = _table({"key": key[inside], "anchor": anchor[inside], "row": row[inside], "place": place[inside], "ask": np.zeros(int(inside.sum()), bool)}, _WINDOW_SCHEMA)
-        ask_one = ask[first] & (count == 1)
-        sent = _table({"key": key[first], "anchor": anchor[first], "row": row[first], "place": np.where(count > 1, -2, np.where(ask_one, place[first], -1)), "ask": ask_one}, _WINDOW_SCHEMA)
-        return known, sent
-
-    schema = [("kind", pa.int32()), *_WINDOW_SCHEMA]
+        again = np.repeat(count > 1, count) & ask
+        own = mix(row[again].astype(np.uint64) * np.uint64(1 << 32) + place[again].astype(np.uint64)).view(np.int64)
+        no, yes = np.zeros(len(first), bool), np.ones(len(own), bool)
+        columns = zip(
+            (key[first], anchor[first], row[first], place[first], ask[first] & (count == 1), no),
+            (own, own, row[again], place[again], ~yes, yes),
+            strict=True,
+        )
+        return _table(dict(zip((n for n, _ in _WINDOW_SCHEMA), map(np.concatenate, columns), strict=True)), _WINDOW_SCHEMA)
 
     def run(batches):
-        held, size = [], 0
+        held, size, seen = [], 0, set()
         for row, text, (known, repeats, classes) in _texts(batches, length):
             if not classes:
                 continue
             anchors = Anchors(text, length)
             _, is_open = _state(anchors, _longs(known), _longs(repeats), length)
             which = np.flatnonzero(np.isin(anchors.hash.view(np.int64), _longs(classes)))
+            # Settled anchors with equal surroundings have equal windows, which one of them can tell.
+            around = span_hash(anchors.prefix, anchors.lo[which], anchors.hi[which] + length).tolist()
+            fresh = []
+            for h, waits in zip(around, is_open[which].tolist(), strict=True):
+                fresh.append(waits or h not in seen)
+                if not waits:
+                    seen.add(h)
+            which = which[np.array(fresh, bool)]
             if not len(which):
                 continue
             place, key = anchors.windows(which, length)
@@ -344,18 +359,16 @@ def _class_windows(length: int):
             held.append((key.view(np.int64), np.repeat(anchors.hash[which].view(np.int64), n), np.full(len(place), row), place, np.repeat(is_open[which], n)))
             size += len(place)
             if size > 400_000:
-                for kind, out in enumerate(flush(held)):
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * out.num_rows, pa.int32()), *out.columns], names=[n for n, _ in schema])
+                yield flush(held)
                 held, size = [], 0
         if held:
-            for kind, out in enumerate(flush(held)):
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * out.num_rows, pa.int32()), *out.columns], names=[n for n, _ in schema])
+            yield flush(held)
 
     return run
 
 
 def _met(batches):
-    """(row, place) asked for of windows that another run has too; rows come by key and anchor."""
+    """(row, place) of windows that are sure, or asked for and in another run too; rows come by key and anchor."""
     held = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -365,15 +378,15 @@ def _met(batches):
             continue
         new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (anchor[1:] != anchor[:-1]))))
         held = table.slice(int(new[-1]))
-        yield _asked(table.slice(0, int(new[-1])), new[:-1])
+        yield _answered(table.slice(0, int(new[-1])), new[:-1])
     if held is not None and held.num_rows:
-        yield _asked(held, np.zeros(1, np.int64))
+        yield _answered(held, np.zeros(1, np.int64))
 
 
-def _asked(table: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+def _answered(table: pa.Table, first: np.ndarray) -> pa.RecordBatch:
     count = np.diff(np.append(first, table.num_rows))
-    ask = table.column(4).to_numpy() & np.repeat(count > 1, count)
-    return _table({"row": table.column(2).to_numpy()[ask], "place": table.column(3).to_numpy()[ask].astype(np.int64)}, _PLACE_SCHEMA)
+    found = table.column(5).to_numpy() | (table.column(4).to_numpy() & np.repeat(count > 1, count))
+    return _table({"row": table.column(2).to_numpy()[found], "place": table.column(3).to_numpy()[found].astype(np.int64)}, _PLACE_SCHEMA)
 
 
 def _splitters(texts: DataFrame, known: DataFrame, length: int, parts: int) -> list[bytes]:
@@ -429,13 +442,12 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> tuple[
     del state
     release(spark)
     asked = own.join(known, "row").join(starts, "row", "left").join(classes, "row").select("row", "text", "known", "repeats", "classes")
-    windows = save(asked.mapInArrow(_class_windows(length), "kind int, key long, anchor long, row long, place int, ask boolean"), "windows")
-    sent = windows.where("kind = 1").drop("kind").repartition(parts, "key").sortWithinPartitions("key", "anchor")
-    # One entry of a run that holds the window several times tells the other runs of it, but asks nothing itself.
-    edges = sent.mapInArrow(_met, "row long, place long").union(windows.where("kind = 0").select("row", F.col("place").cast("long")))
+    sent = asked.mapInArrow(_class_windows(length), _WINDOWS).repartition(parts, "key").sortWithinPartitions("key", "anchor")
+    edges = save(sent.mapInArrow(_met, "row long, place long"), "edges")
+    del asked, sent
+    release(spark)
     places = save(_packed(found.union(edges), "place", "places"), "places")
-    del asked, sent, edges
-    discard(found, known, starts, classes, windows)
+    discard(found, known, starts, classes, edges)
     release(spark)
     return texts, places
 
