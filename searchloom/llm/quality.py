@@ -166,7 +166,7 @@ def measure(docs: DataFrame, text: str = "text", out: str = "statistics", column
     return docs.mapInArrow(run, schema)
 
 
-def fit(labelled: DataFrame, measured: str = "statistics", label: str = "quality", shrinkage: float = 0.3, ridge: float = 0.0) -> QualityModel:
+def fit(labelled: DataFrame, measured: str = "statistics", label: str = "quality", shrinkage: float = 0.5, ridge: float = 0.0) -> QualityModel:
     """Fits on every labelled row; ``label`` is 1 for good, 0 for bad."""
     parts = labelled.where(F.col(label).isin(0, 1)).select(F.col(measured), F.col(label).cast("int")).mapInArrow(_sums, "label int, sums array<double>")
     at = F.posexplode("sums").alias("i", "x")
