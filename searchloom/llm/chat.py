@@ -12,7 +12,9 @@ conversation's leading system turn, up to ``HISTORY_TURNS`` turns of at most
 ``HISTORY`` units before the span, and the span.  The loss mask covers the
 assistants' texts of the span alone: what is repeated as system turn or history
 is masked, so each assistant text is learned from once.  Only a single turn
-larger than the budget makes a window exceed it; no text is cut.
+larger than its part of the budget makes a window exceed it: a long new turn, or
+a system turn of more than ``SYSTEM`` units, which leads all the same.  No text
+is cut.
 
 Sizes are counted in code points of the rendered turn, which bounds tokens.
 Groups are (conversation, chunk), so that one conversation that holds a third of
@@ -100,7 +102,7 @@ def windows(turns: DataFrame) -> DataFrame:
 
     # The system turn leads, unless it is in the window already.
     has = F.exists("items", lambda i: (i["t"] == F.col("system")))
-    lead = F.when(F.col("system").isNull() | has | (F.char_length("system.shown") > SYSTEM), F.expr("slice(items, 1, 0)")).otherwise(F.array(F.struct(F.lit(-HISTORY_TURNS - 1).alias("pos"), F.lit(False).alias("new"), F.col("system").alias("t"))))
+    lead = F.when(F.col("system").isNull() | has, F.expr("slice(items, 1, 0)")).otherwise(F.array(F.struct(F.lit(-HISTORY_TURNS - 1).alias("pos"), F.lit(False).alias("new"), F.col("system").alias("t"))))
     full = grouped.withColumn("all", F.concat(lead, "items"))
     # The mask: where the assistants' new texts lie in the formatted text.
     start = F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("spans"))

@@ -167,6 +167,17 @@ def test_chat(spark):
     assert all(w.formatted.startswith("### system: said") for w in long) and sum(w.n_new for w in long) == 400 and max(w.n_context for w in long) == 3
 
 
+def test_chat_keeps_long_system_turn(spark):
+    """A system turn longer than its part of the budget leads every window of every chunk."""
+    prompt = "rule #1 " * 400
+    rows = [(1, 0, "system", prompt)] + [(1, i, "assistant" if i % 2 else "user", f"said {i} " * 60) for i in range(1, 150)]
+    found = chat.windows(spark.createDataFrame(rows, CONVERSATIONS)).collect()
+    assert len({w.chunk for w in found}) == 3 and all(sum(w.chunk == c for w in found) > 1 for c in range(3))
+    shown = "### system: " + prompt.replace("#", "\\h") + chat.END
+    assert len(shown) > chat.SYSTEM and all(w.formatted.startswith(shown) and w.formatted.count("### system: ") == 1 for w in found)
+    assert all(len(w.formatted) == w.size <= len(shown) + chat.HISTORY + chat.NEW for w in found) and sum(w.n_new for w in found) == len(rows)
+
+
 def test_chat_of_nothing(spark):
     assert chat.digests(chat.windows(spark.createDataFrame([], CONVERSATIONS))).count() == 0
 
