@@ -11,6 +11,12 @@ Shuffles: one of 8-byte chunk hashes (summed before it is sent), one of the
 chunks whose hash repeats, one of the texts, to cut them.  Hot chunks meet in
 sorted joins, which adaptive execution splits; no group is collected.
 
+A chunk meets its copy only if both begin and end at the same lines, so most
+repeated passages of few lines stay (figures in the README).  op8's SQL and the
+pipeline's test fix this rule.  ``remove_repeated_passages`` isn't bound to it: it
+nominates every pair of neighbouring lines, so that no repeated run of two lines
+or more is missed, wherever it begins; no query uses it yet.
+
 Defined cases: a null text stays null and has no lines; an empty text is one
 empty line; lines end at line feeds only and carriage returns belong to them;
 identical documents keep their repeated chunks once in the table, so a copy may
@@ -66,12 +72,21 @@ def chunks(text: Column) -> Column:
     return let(F.split(text, "\n", -1), cut)
 
 
+def _later(parts: DataFrame) -> DataFrame:
+    """The rows of ``parts`` (d, r, p, body, h) whose body comes before, by (d, r, p)."""
+    repeated = parts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    nominated = save(parts.join(repeated, "h"), "repeated-chunks")
+    place_of = F.struct(F.col("d"), F.col("r"), F.col("p"))
+    firsts = nominated.groupBy("h", "body").agg(F.min(place_of).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return nominated.join(firsts, ["h", "body"]).where(~place_of.eqNullSafe(F.col("first")))
+
+
 def remove_repeated_chunks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", removed: str | None = None) -> DataFrame:
     """``docs`` with repeated multi-line chunks cut out of ``text``.
 
     ``removed``: the name of a further column with how many lines went.
     """
-    row, place, hashed, found, first, cut = (unused(docs, f"_{x}") for x in ("row", "place", "hash", "chunk", "first", "cut"))
+    row, found, cut = (unused(docs, f"_{x}") for x in ("row", "chunk", "cut"))
     # A row's number is its place in the input's files, the same whenever the scan is run again.
     base = docs.select("*", F.monotonically_increasing_id().alias(row))
     parts = (
@@ -80,12 +95,7 @@ def remove_repeated_chunks(docs: DataFrame, text: str = "text", doc_id: str = "d
         .where("c.n_lines >= 2")
         .select("d", "r", "p", F.col("c.body").alias("body"), F.xxhash64("c.body").alias("h"))
     )
-    repeated = parts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    nominated = save(parts.join(repeated, "h"), "repeated-chunks")
-    place_of = F.struct(F.col("d"), F.col("r"), F.col("p"))
-    firsts = nominated.groupBy("h", "body").agg(F.min(place_of).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = nominated.join(firsts, ["h", "body"]).where(~place_of.eqNullSafe(F.col("first")))
-    cuts = later.groupBy(F.col("r").alias(row)).agg(F.collect_set("p").alias(cut))  # a row's own chunks only
+    cuts = _later(parts).groupBy(F.col("r").alias(row)).agg(F.collect_set("p").alias(cut))  # a row's own chunks only
     marked = base.join(cuts, row, "left")
 
     def kept(parts: Column) -> Column:
@@ -98,6 +108,44 @@ def remove_repeated_chunks(docs: DataFrame, text: str = "text", doc_id: str = "d
     return result.select(*columns, *([F.coalesce(F.col(found)["n"], F.lit(0)).alias(removed)] if removed else []))
 
 
+def line_pairs(text: Column) -> Column:
+    """array<string> of each line with the next, of a text that isn't null; lines hold no line feed, so a pair is read in one way."""
+
+    def cut(lines: Column) -> Column:
+        return F.transform(F.slice(lines, F.lit(1), F.size(lines) - 1), lambda line, i: F.concat(line, F.lit("\n"), F.element_at(lines, i + 2)))
+
+    return let(F.split(text, "\n", -1), cut)
+
+
+def remove_repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", removed: str | None = None) -> DataFrame:
+    """``docs`` without any run of at least two lines that comes before in the table.
+
+    A run comes before if each pair of its neighbouring lines does, so the lines
+    that go are all those of all maximal shared runs but their first
+    occurrences.  A line that goes is left at an earlier place.
+
+    ``removed``: the name of a further column with how many lines went.
+    """
+    row, found, cut = (unused(docs, f"_{x}") for x in ("row", "passage", "cut"))
+    base = docs.select("*", F.monotonically_increasing_id().alias(row))
+    parts = (
+        base.where(F.col(text).isNotNull())
+        .select(F.col(doc_id).alias("d"), F.col(row).alias("r"), F.posexplode(line_pairs(F.col(text))).alias("p", "body"))
+        .select("d", "r", "p", "body", F.xxhash64("body").alias("h"))
+    )
+    cuts = _later(parts).groupBy(F.col("r").alias(row)).agg(F.collect_set("p").alias(cut))  # a row's own pairs only
+    marked = base.join(cuts, row, "left")
+
+    def kept(lines: Column) -> Column:
+        gone = F.concat(F.col(cut), F.transform(F.col(cut), lambda p: p + 1))
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return let(left, lambda i: F.struct(F.array_join(F.transform(i, lambda k: F.element_at(lines, k + 1)), "\n").alias("text"), (F.size(lines) - F.size(i)).alias("n")))
+
+    result = marked.withColumn(found, F.when(F.col(cut).isNotNull(), let(F.split(F.col(text), "\n", -1), kept)))
+    columns = [F.when(F.col(cut).isNull(), F.col(text)).otherwise(F.col(found)["text"]).alias(text) if c == text else F.col(c) for c in docs.columns]
+    return result.select(*columns, *([F.coalesce(F.col(found)["n"], F.lit(0)).alias(removed)] if removed else []))
+
+
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeated_chunks(docs, removed="lines_removed")

@@ -71,6 +71,43 @@ def test_line_dedup_is_native(docs):
     assert "Python" not in line_dedup.remove_repeated_chunks(docs)._jdf.queryExecution().executedPlan().toString()
 
 
+def passages(docs):
+    """[(doc_id, text, lines removed)] without the lines of pairs that come before."""
+    seen, out = set(), []
+    for d, t in docs:
+        lines = [] if t is None else t.split("\n")
+        gone = set()
+        for i, pair in enumerate(zip(lines, lines[1:], strict=False)):
+            if pair in seen:
+                gone |= {i, i + 1}
+            seen.add(pair)
+        out.append((d, None if t is None else "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)))
+    return out
+
+
+def test_repeated_passages(spark, docs, texts):
+    """Shared passages of 2 to 8 lines go whole, whatever lines are before and after them."""
+    rng = random.Random(9)
+    fresh = lambda n: [prose(rng, 9) for _ in range(n)]
+    rows, own = [], {}
+    for size in range(2, 9):
+        for k in range(6):
+            shared = fresh(size)
+            for copy in range(3):
+                d = 1000 * copy + 10 * size + k
+                before, after = fresh(rng.randrange(4)), fresh(rng.randrange(4))
+                rows.append((d, "\n".join(before + shared + after)))
+                own[d] = "\n".join(before + (shared if not copy else []) + after)
+    found = line_dedup.remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), removed="gone")
+    assert {r.doc_id: r.text for r in found.collect()} == own and "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    assert dict(x[:2] for x in brute.line_dedup(sorted(rows))) != own
+    found = line_dedup.remove_repeated_passages(docs, removed="gone")
+    assert found.columns == [*docs.columns, "gone"]
+    expected = passages(sorted(texts, key=lambda x: x[0]))
+    assert sorted(((r.doc_id, r.text, r.gone) for r in found.collect()), key=repr) == sorted(expected, key=repr) and sum(n for _, _, n in expected) > 0
+    assert line_dedup.remove_repeated_passages(docs.limit(0)).count() == 0
+
+
 def test_near_duplicates(spark, docs, texts):
     found = ngram_join.near_duplicates(docs)
     expected = brute.near_duplicates(texts)
