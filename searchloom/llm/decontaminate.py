@@ -14,7 +14,9 @@ pass over the documents a block, so what is sent to a task has a fixed bound.
 Defined cases: a null text has no words, is hit by nothing and is not
 contaminated; items without words (or null) match nothing; an item of fewer
 words than the window is one window; equal windows of several items count for
-each; rows of the same id are judged apart; other columns pass through.
+each; an item whose id is null hits words as any other, but is no item of
+n_items and items_sha256; rows of the same id are judged apart; other columns
+pass through.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ SHARD = 2_000_000
 class Benchmark:
     """The distinct windows of a block of items."""
 
-    ids: list[int]
+    ids: list[int | None]
     words: np.ndarray  # (windows, window) word hashes, 0 after a short one
     size: np.ndarray  # words of each window
     raw: list[bytes]  # the words of each window, lower-cased, a blank between
@@ -50,7 +52,7 @@ class Benchmark:
     at: np.ndarray
 
     @classmethod
-    def of(cls, items: list[tuple[int, str | None]], window: int) -> Benchmark:
+    def of(cls, items: list[tuple[int | None, str | None]], window: int) -> Benchmark:
         w = Words([(text or "").encode("utf-8", "surrogatepass") for _, text in items]) if items else Words([b""])
         raw_words = [w.raw[s:e].tobytes() for s, e in zip(w.start, w.end, strict=True)]
         known: dict[bytes, int] = {}
@@ -167,7 +169,7 @@ def _benchmark_blocks(benchmark: DataFrame, window: int):
     """Blocks of items of bounded size; the items come one partition at a time."""
     items, total = [], 0
     for r in benchmark.select(F.col("item_id").cast("long").alias("i"), "text").toLocalIterator():
-        if not r.text or r.i is None:
+        if not r.text:
             continue
         size = len(r.text.encode("utf-8", "surrogatepass"))
         if items and total + size > BLOCK_BYTES:
@@ -186,12 +188,12 @@ _VERDICT = (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BooleanT
 
 
 def verdict(n_words: int, matches: list[dict]) -> tuple[int, int, int, str, bool]:
-    """Words, words inside any match, items, their digest, and whether at least a twentieth of the words is hit."""
+    """Words, words inside any match, items with an id, their digest, and whether at least a twentieth of the words is hit."""
     hit, reached = 0, 0
     for start, end in sorted((m["doc_word"], m["doc_word"] + m["n_words"]) for m in matches):
         hit += max(0, end - max(start, reached))
         reached = max(reached, end)
-    items = sorted({str(m["item_id"]) for m in matches})
+    items = sorted({str(m["item_id"]) for m in matches if m["item_id"] is not None})
     return n_words, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0 and 20 * hit >= n_words
 
 

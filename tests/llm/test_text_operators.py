@@ -175,6 +175,21 @@ def test_decontamination(spark, docs, texts, monkeypatch, block_bytes):
     assert max(m.n_words for m in long.places) >= len(item) - 2
 
 
+@pytest.mark.parametrize("block_bytes", [16_000_000, 300])
+def test_decontamination_by_items_without_id(spark, docs, texts, monkeypatch, block_bytes):
+    """They hit and contaminate as any other; only ids that aren't null are counted and digested."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+    items = [(None, texts[2][1][:200]), (None, texts[0][1][:200]), (11, texts[0][1][:120]), (12, texts[5][1][:120]), (None, texts[-1][1][5000:5400])]
+    found = decontaminate.judge(docs.select("doc_id", "text"), spark.createDataFrame(items, "item_id long, text string"), matches="places").collect()
+    named = [(-i - 1 if d is None else d, t) for i, (d, t) in enumerate(items)]
+    hit = sorted((texts[i][0], (x[0], x[1], x[4])) for i, x in brute.contamination(texts, named).items())
+    ids = sorted((texts[i][0], x[2:4]) for i, x in brute.contamination(texts, [x for x in items if x[0] is not None]).items())
+    assert sorted((r.doc_id, (r.n_words, r.n_hit, r.contaminated)) for r in found) == hit
+    assert sorted((r.doc_id, (r.n_items, r.items_sha256)) for r in found) == ids
+    alone = next(r for r in found if r.doc_id == 2)
+    assert alone.contaminated and alone.n_items == 0 and {m.item_id for m in alone.places} == {None}
+
+
 def test_decontamination_without_items(spark, docs):
     found = decontaminate.judge(docs.select("doc_id", "text"), spark.createDataFrame([], "item_id long, text string"))
     assert found.where("contaminated").count() == 0 and found.count() == docs.count()
