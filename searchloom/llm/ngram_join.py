@@ -1,11 +1,13 @@
-"""N-gram Jaccard join: a MinHash LSH forest and exact verification.
+"""N-gram Jaccard join: MinHash LSH in fixed bands and exact verification.
 
 1. Documents with one sequence of words form a class, and only one
    representative of a class is compared.
 2. A representative's shingles (five words) give a signature of ``TREES`` labels
-   of ``LEVELS`` min-hashes.  Each tree is a sorted prefix trie of its labels:
-   the matched prefix is shortened, from all levels, just until pairs at the
-   threshold are met with the target recall (``depth_for``).
+   of ``LEVELS`` min-hashes.  This is no LSH forest: no trie is sorted and no
+   prefix is shortened by the data.  One threshold is asked for, so one prefix
+   length, the longest that meets pairs at it with the target recall, does for
+   all documents (``depth_for``: 5 levels); it is hashed to one key a tree.  The
+   sixth level is only in the signatures that step 3 compares.
 3. Representatives under one prefix of a tree are compared by their signatures,
    and those that may be similar linked: a group of any size is salted into
    bounded blocks, and only groups that still hold several components after all
@@ -280,7 +282,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     reps = save(least.select("same", "n_words", F.monotonically_increasing_id().alias("rep"), F.col("m.doc_id").alias("first"), "copies", "m.sig", "m.keys"), "classes")
     classes = reps.select("same", "n_words", "rep", "first", "copies")
 
-    # The forest's groups: prefixes that at least two representatives share.
+    # The bands' groups: prefixes that at least two representatives share.
     prefixes = reps.select("rep", F.explode("keys").alias("prefix"))
     sizes = prefixes.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1")
     met = save(prefixes.join(sizes, "prefix").select("prefix", "rep", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")), "prefixes")
