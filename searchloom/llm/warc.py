@@ -7,9 +7,11 @@ read by its range.  The same task writes the index beside the archive:
 * blocks: ``BLOCK`` lines "key <tab> archive offset, length, ..." compressed;
 * directory: a row a block with its first and last key and where it lies.
 
-A lookup binary-searches the directory for a key, decompresses the one or few
-blocks that can hold it, binary-searches their lines and reads the records'
-ranges.  As archives have the index's order, a block's records are neighbours.
+A lookup binary-searches the directory's sorted keys, file by file, for a key.
+Executors decompress the blocks that can hold it, binary-search their lines and
+read the records' ranges, so a key of many blocks doesn't pass through the
+driver.  As archives have the index's order, a block's records are neighbours.
+op1 asks for every record and so reads all blocks without a search.
 
 Records with equal payloads of at least ``REVISIT_BYTES`` are stored once: the
 one with the largest page_id is the response, the others are revisits of it.
@@ -206,22 +208,61 @@ def read_archives(directory: DataFrame) -> DataFrame:
     return directory.select("file", "start", "length").repartition(n).mapInArrow(read, _SCHEMA)
 
 
-def lookup(directory: DataFrame, url: str) -> list[tuple]:
-    """The records of one URL: binary search in the directory, then in its blocks, then range reads."""
-    key = url_key(url)
-    # Blocks of one file lie in order, and files hold ranges of keys: the directory's sorted first keys are searched by the scan's statistics.
-    rows = directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("first_key").collect()  # the blocks of one key
-    out = []
-    for r in rows:
-        with Reader(r.file) as blocks:
-            archive, lines = _block(blocks.read(r.start, r.length))
-        i = bisect.bisect_left(lines, key + "\t")
-        with Reader(archive) as file:
-            while i < len(lines) and lines[i].startswith(key + "\t"):
-                entry = json.loads(lines[i].partition("\t")[2])
-                out.append(_result(file.read(entry["offset"], entry["length"]), entry))
-                i += 1
-    return [row for row in out if row[1] == url]
+def _sorted_keys(directory: DataFrame) -> list[tuple[list[str], list[str], list[tuple[str, int, int]]]]:
+    """The directory as sorted arrays, those of each file of blocks: first keys, last keys, where the blocks lie.
+
+    Files may hold overlapping ranges of keys, a file's blocks are in order.  A
+    row stands for BLOCK records, so the driver reads the directory once and
+    keeps it.
+    """
+    if getattr(directory, "_sorted_keys", None) is None:
+        files: dict[str, list] = {}
+        for r in directory.toLocalIterator():
+            files.setdefault(r.file, []).append((r.start, r.length, r.first_key, r.last_key))
+        arrays = []
+        for file, rows in sorted(files.items()):
+            rows.sort()  # by place, which is the order of the keys
+            arrays.append(([x[2] for x in rows], [x[3] for x in rows], [(file, *x[:2]) for x in rows]))
+        directory._sorted_keys = arrays
+    return directory._sorted_keys
+
+
+def blocks_of(directory: DataFrame, key: str) -> list[tuple[str, int, int]]:
+    """(file, start, length) of the blocks that can hold ``key``, bisected in the sorted directory."""
+    found = []
+    for first, last, where in _sorted_keys(directory):
+        found += where[bisect.bisect_left(last, key) : bisect.bisect_right(first, key)]
+    return found
+
+
+def read_url(directory: DataFrame, url: str | None) -> DataFrame:
+    """The records of one URL (null: those without), read by range on the executors, a task for some of its blocks."""
+    key, spark = url_key(url), directory.sparkSession
+
+    def read(batches):
+        for batch in batches:
+            for path, start, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with Reader(path) as blocks:
+                    archive, lines = _block(blocks.read(start, length))
+                out = []
+                i = bisect.bisect_left(lines, key, key=lambda line: line.partition("\t")[0])
+                with Reader(archive) as file:
+                    while i < len(lines) and lines[i].startswith(key + "\t"):
+                        entry = json.loads(lines[i].partition("\t")[2])
+                        i += 1
+                        if entry["url"] == url:
+                            out.append(_result(file.read(entry["offset"], entry["length"]), entry))
+                if out:
+                    yield _rows(out)
+
+    found = blocks_of(directory, key)
+    n = max(1, min(len(found), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return spark.createDataFrame(found, "file string, start long, length long").repartition(n).mapInArrow(read, _SCHEMA)
+
+
+def lookup(directory: DataFrame, url: str | None) -> list[tuple]:
+    """``read_url``'s records, collected."""
+    return [tuple(r) for r in read_url(directory, url).collect()]
 
 
 @batched

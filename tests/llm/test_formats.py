@@ -96,6 +96,24 @@ def test_warc(spark):
     assert warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
 
 
+def test_warc_lookup_bisects(spark, monkeypatch):
+    """Blocks are found in sorted keys that are read once; a key of many blocks is read on the executors."""
+    monkeypatch.setattr(warc, "BLOCK", 4)
+    rows = [(i, None if i % 3 == 0 else f"http://host{i % 11}.net/p{i % 50}", f"{i}" * 9) for i in range(300)]
+    directory = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    lines = directory.collect()
+    keys = {warc.url_key(u) for _, u, _ in rows} | {"net", "net,host5)/p7x", "zz"}
+    for key in keys:
+        assert sorted(warc.blocks_of(directory, key)) == sorted((r.file, r.start, r.length) for r in lines if r.first_key <= key <= r.last_key)
+    monkeypatch.setattr(directory, "where", None)
+    monkeypatch.setattr(directory, "toLocalIterator", None)
+    assert len(warc.blocks_of(directory, "")) >= 25
+    without = warc.read_url(directory, None)
+    assert without.rdd.getNumPartitions() > 1 and sorted(r.page_id for r in without.collect()) == [i for i, u, _ in rows if u is None]
+    for url in (rows[1][1], rows[200][1], "http://host5.net/p7x"):
+        assert sorted(x[0] for x in warc.lookup(directory, url)) == [i for i, u, _ in rows if u == url]
+
+
 def test_warc_keys():
     assert warc.url_key("https://www.Example.org:443/a?b") == "org,example,www)/a?b"
     assert warc.url_key("http://x.org:81") == "org,x:81)/" and warc.url_key(None) == "" and warc.url_key("http://[bad") == "http://[bad"
