@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import zipfile
 from functools import lru_cache
-from pathlib import Path
 
-import pyspark
 from pyspark.sql import Column, functions as F
 
 #: Fixed patterns: a URL up to the next white space, and what is neither letter, digit, underscore nor white space.
@@ -15,14 +12,39 @@ NON_WORD = r"[^\p{L}\p{N}_\s]"
 #: Any white space, Unicode included.
 WHITE = r"[\s\p{Z}\x{85}]+"
 
+# The Spanish stop words of the Snowball project that aren't forms of a verb.
+FUNCTION_WORDS = """
+de la que el en y a los del se las por un para con no una su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre
+también me hasta hay donde quien desde todo nos durante todos uno les ni contra otros ese eso ante ellos e esto mí antes algunos qué unos yo
+otro otras otra él tanto esa estos mucho quienes nada muchos cual poco ella estar estas algunas algo nosotros mi mis tú te ti tu tus ellas
+nosotras vosostros vosostras os mío mía míos mías tuyo tuya tuyos tuyas suyo suya suyos suyas nuestro nuestra nuestros nuestras vuestro
+vuestra vuestros vuestras esos esas
+"""
+# The forms of estar, haber, ser, sentir and tener that follow no rule below.
+VERB_FORMS = """
+estoy estás está estamos estáis están esté estés estemos estéis estén estando estado estada estados estadas estad
+he has ha hemos habéis han haya hayas hayamos hayáis hayan habiendo habido habida habidos habidas
+soy eres es somos sois son sea seas seamos seáis sean era eras éramos erais eran fui fuiste fue fuimos fuisteis fueron
+sintiendo sentido sentida sentidos sentidas siente sentid
+tengo tienes tiene tenemos tenéis tienen tenga tengas tengamos tengáis tengan teniendo tenido tenida tenidos tenidas tened
+"""
+# Stems, and the endings that each of them takes.
+CONJUGATIONS = (
+    ("estar habr ser tendr", "é ás á emos éis án ía ías íamos íais ían"),
+    ("hab ten", "ía ías íamos íais ían"),
+    ("est", "aba abas ábamos abais aban"),
+    ("estuv hub tuv", "e iste o imos isteis ieron iera ieras iéramos ierais ieran iese ieses iésemos ieseis iesen"),
+    ("fu", "era eras éramos erais eran ese eses ésemos eseis esen"),
+)
+
 
 @lru_cache(maxsize=4)
 def stop_words(language: str = "spanish") -> tuple[str, ...]:
-    """Spark ML's list for a language, read from the library that ships it."""
-    jar = next((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as z:
-        text = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode()
-    return tuple(sorted({w.strip() for w in text.splitlines() if w.strip()}))
+    """The stop words of a language; only Spanish has some."""
+    if language != "spanish":
+        raise ValueError(f"no stop words for {language}")
+    conjugated = (stem + ending for stems, endings in CONJUGATIONS for stem in stems.split() for ending in endings.split())
+    return tuple(sorted({*FUNCTION_WORDS.split(), *VERB_FORMS.split(), *conjugated}))
 
 
 def normalize(text: Column, language: str = "spanish", contractions: bool = False) -> Column:

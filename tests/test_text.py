@@ -1,9 +1,11 @@
 import re
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from searchloom.functions import detect, queries, text
+from searchloom.plans import oracle
 
 
 def one(spark, column, value):
@@ -15,6 +17,19 @@ def test_stop_words():
     assert len(words) == 313 and "de" in words and "la" in words
 
 
+def test_stop_words_equal_the_library(spark):
+    """Spark ML ships the same list; nothing but this test reads it."""
+    feature = pytest.importorskip("pyspark.ml.feature")
+    assert set(text.stop_words()) == set(feature.StopWordsRemover.loadDefaultStopWords("spanish"))
+
+
+def test_sql_needs_no_file_of_spark(monkeypatch, tmp_path):
+    """The SQL is made of the package alone, wherever Spark's own files lie."""
+    monkeypatch.setattr("pyspark.__file__", str(tmp_path / "pyspark" / "__init__.py"))
+    text.stop_words.cache_clear()
+    assert "'vosostros'" in oracle.sql_map()["collection_model"]
+
+
 def test_normalize(spark):
     assert one(spark, text.normalize, None) == []
     assert one(spark, text.normalize, "") == []
