@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,22 +32,19 @@ def discard(*saved: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished plans now; it does so when the driver's garbage goes."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-#: Rows of an Arrow batch: whole texts are large, and a batch lies in memory several times.
-BATCH_ROWS = 1000
+#: Bytes of an Arrow batch of whole texts, which lies in memory several times; a longer text is a batch.
+BATCH_BYTES = 4_000_000
 
 
 def batched(function):
-    """Of a function of a session: first sets the session's Arrow batches to BATCH_ROWS, and sends the package to the executors."""
+    """Of a function of a session: bounds the session's Arrow batches to BATCH_BYTES, and sends the package to the executors.
+
+    Plans are lazy, so the bound stays; it changes no result, only how many rows Python gets at once.
+    """
 
     @wraps(function)
     def run(spark: SparkSession, *args, **kwargs):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         ship(spark)
         return function(spark, *args, **kwargs)
 
@@ -68,3 +64,9 @@ def unused(df_or_names, stem: str) -> str:
         i += 1
         name = f"{stem}{i}"
     return name
+
+
+def besides(df: DataFrame, new: tuple[str, ...], drop: str | None = None) -> list[int]:
+    """Places of ``df``'s columns but ``drop`` and those with the name of one in ``new``, whatever its case: a new column takes the old one's place."""
+    taken = {n.lower() for n in new}
+    return [i for i, c in enumerate(df.columns) if c != drop and c.lower() not in taken]
