@@ -14,10 +14,12 @@ library whole.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 from .textbytes import blocks, mix
 
@@ -201,6 +203,22 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+@lru_cache(maxsize=1)
+def _libc():
+    """The C library, told to give large arrays back to the system when they are freed; None where it has no such calls."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: bytes from which an array is a mapping of its own
+        libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+        libc.malloc_trim
+    except (OSError, AttributeError):
+        return None
+    return libc
+
+
 def forget() -> None:
-    """Gives up the worker's table, for stages that encode nothing."""
+    """Gives up the worker's table and what memory it no longer uses: workers outlive tasks, and lie beside each other."""
     encoder.cache_clear()
+    pa.default_memory_pool().release_unused()
+    if libc := _libc():
+        libc.malloc_trim(0)

@@ -7,35 +7,40 @@ binary-searched in it together; the range found for one holds every place where
 it occurs.  Places whose words the hashes call equal are compared byte for byte.
 Consecutive windows at consecutive places join into the longest verbatim matches.
 
-There is no shuffle: a document meets the whole benchmark where it is read.  The
-benchmark goes to the tasks in blocks of at most ``BLOCK_BYTES`` of text, one
-pass over the documents a block, so what is sent to a task has a fixed bound.
+There is no shuffle of documents: a document meets the whole benchmark where it is
+read.  Executors cut the benchmark into blocks of at most ``BLOCK_BYTES`` of text
+and write each with its windows to the shared folder; the driver holds a path a
+block.  A task searches its shard's suffix array for one block after another, so
+what it holds has a fixed bound.
 
 Defined cases: a null text has no words, is hit by nothing and is not
 contaminated; items without words (or null) match nothing; an item of fewer
 words than the window is one window; equal windows of several items count for
 each; an item whose id is null hits words as any other, but is no item of
 n_items and items_sha256; rows of the same id are judged apart; other columns
-pass through.
+pass through, but for those with the name of a new one, which it replaces.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .bpe import forget
-from .common import batched, read_table, unused
+from .common import batched, besides, fresh_dir, read_table, save, unused
+from .files import Reader, write_new
 from .textbytes import Words, blocks
 
 WINDOW = 13
 BLOCK_BYTES = 16_000_000
 #: Bytes of text under one suffix array.
-SHARD = 2_000_000
+SHARD = 1_000_000
 
 
 @dataclass
@@ -122,24 +127,32 @@ def search(words: np.ndarray, order: np.ndarray, patterns: np.ndarray, size: np.
     return bound(False), bound(True)
 
 
-def occurrences(w: Words, bench: Benchmark, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window number, word position in ``w``) of every verbatim occurrence."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+class Shard:
+    """The words of a block of documents under a suffix array."""
+
+    def __init__(self, w: Words, window: int):
+        self.w = w
+        # A 0 after every document keeps windows inside it.
+        at = np.arange(len(w.hash)) + w.doc
+        self.words = np.zeros(len(w.hash) + len(w.count), np.uint64)
+        self.words[at] = w.hash
+        self.back = np.zeros(len(self.words), np.int64)
+        self.back[at] = np.arange(len(w.hash))
+        self.order, _ = suffix_array(self.words, window)
+        self.raw = w.raw.tobytes()
+
+
+def occurrences(shard: Shard, bench: Benchmark) -> tuple[np.ndarray, np.ndarray]:
+    """(window number, word position in the shard) of every verbatim occurrence."""
+    w, back, raw = shard.w, shard.back, shard.raw
     if not len(w.hash) or not len(bench.raw):
-        return none
-    # A 0 after every document keeps windows inside it.
-    at = np.arange(len(w.hash)) + w.doc
-    words = np.zeros(len(w.hash) + len(w.count), np.uint64)
-    words[at] = w.hash
-    back = np.zeros(len(words), np.int64)
-    back[at] = np.arange(len(w.hash))
-    order, _ = suffix_array(words, window)
-    lo, hi = search(words, order, bench.words, bench.size)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = shard.order
+    lo, hi = search(shard.words, order, bench.words, bench.size)
     many = hi - lo
     which = np.repeat(np.arange(len(lo)), many)
     spots = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
     place = back[order[spots]]
-    raw = w.raw.tobytes()
     same = [
         b" ".join(raw[w.start[j] : w.end[j]] for j in range(p, p + bench.size[k])) == bench.raw[k]
         for k, p in zip(which.tolist(), place.tolist(), strict=True)
@@ -165,19 +178,35 @@ def longest_matches(w: Words, bench: Benchmark, which: np.ndarray, place: np.nda
     return [(row, item, diagonal + first, first, size) for row, item, diagonal, first, size in out]
 
 
-def _benchmark_blocks(benchmark: DataFrame, window: int):
-    """Blocks of items of bounded size; the items come one partition at a time."""
-    items, total = [], 0
-    for r in benchmark.select(F.col("item_id").cast("long").alias("i"), "text").toLocalIterator():
-        if not r.text:
-            continue
-        size = len(r.text.encode("utf-8", "surrogatepass"))
-        if items and total + size > BLOCK_BYTES:
-            yield Benchmark.of(items, window)
-            items, total = [], 0
-        items.append((r.i, r.text))
-        total += size
-    yield Benchmark.of(items, window)
+def write_benchmark(benchmark: DataFrame, window: int) -> list[str]:
+    """Writes the items' windows in blocks of bounded size; the blocks' paths (a row a block)."""
+    folder, limit = fresh_dir(benchmark.sparkSession, "benchmark"), BLOCK_BYTES
+
+    def write(batches):
+        items, total = [], 0
+
+        def flush():
+            return pa.RecordBatch.from_pydict({"path": [write_new(folder, ".windows", pickle.dumps(Benchmark.of(items, window)))]})
+
+        for batch in batches:
+            for i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                size = len(text.encode("utf-8", "surrogatepass"))
+                if items and total + size > limit:
+                    yield flush()
+                    items, total = [], 0
+                items.append((i, text))
+                total += size
+        if items:
+            yield flush()
+
+    texts = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("t <> ''")
+    return sorted(r.path for r in save(texts.mapInArrow(write, "path string"), "benchmark-blocks").collect())
+
+
+@lru_cache(maxsize=2)
+def _block(path: str) -> Benchmark:
+    with Reader(path) as file:
+        return pickle.loads(file.read(0, file.size))
 
 
 MATCH = "array<struct<item_id: bigint, doc_word: int, item_word: int, n_words: int>>"
@@ -203,43 +232,36 @@ def judge(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int
     ``matches``: the name of a further column with the longest verbatim matches
     of at least a window (or a whole short item): item, places, words.
     """
-    at = docs.columns.index(text)
-    kept = [i for i, c in enumerate(docs.columns) if columns is None or c in columns]
-    fields = [docs.schema.fields[i] for i in kept]
-    found_name = matches or unused([*docs.columns, *names], "_matches")
-    found_field = T.StructField(found_name, T.DataType.fromDDL(MATCH))
-
-    def scan(bench: Benchmark, first: bool, last: bool, schema: T.StructType):
-        """One pass with one block of the benchmark; matches of earlier ones come in the last column."""
-
-        def run(batches):
-            forget()
-            for batch in batches:
-                found = [[] for _ in range(batch.num_rows)] if first else batch.column(batch.num_columns - 1).to_pylist()
-                count = [0] * batch.num_rows
-                for start, end, raw in blocks(batch.column(at), SHARD):
-                    w = Words(raw)
-                    count[start:end] = w.count.tolist()
-                    for row, item, d, i, n in longest_matches(w, bench, *occurrences(w, bench, window)):
-                        found[start + row].append({"item_id": bench.ids[item], "doc_word": d, "item_word": i, "n_words": n})
-                if not last:
-                    own = batch.columns if first else batch.columns[:-1]
-                    yield pa.RecordBatch.from_arrays([*own, pa.array(found, _MATCH)], names=schema.names)
-                    continue
-                judged = list(zip(*map(verdict, count, found), strict=True)) or [[]] * len(VERDICT)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-                arrays = [*(batch.column(i) for i in kept), *(pa.array(c, k) for c, k in zip(judged, kinds, strict=True))]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(found, _MATCH)][: len(schema.names)], names=schema.names)
-
-        return run
-
-    end = T.StructType([*fields, *(T.StructField(n, k) for n, k in zip(names, _VERDICT, strict=True)), *([found_field] if matches else [])])
-    between = T.StructType([*docs.schema.fields, found_field])
-    parts = list(_benchmark_blocks(benchmark, window))
-    for i, bench in enumerate(parts):
-        last = i + 1 == len(parts)
-        docs = docs.mapInArrow(scan(bench, i == 0, last, schema := end if last else between), schema)
-    return docs
+    new = (*names, *((matches,) if matches else ()))
+    kept = [i for i in besides(docs, new) if columns is None or docs.columns[i] in columns]
+    place = {i: k for k, i in enumerate(kept)}
+    at = place.get(docs.columns.index(text), len(kept))
+    end = T.StructType([
+        *(T.StructField(docs.columns[i], docs.schema[i].dataType) for i in kept), *(T.StructField(n, k) for n, k in zip(names, _VERDICT, strict=True)),
+        *([T.StructField(matches, T.DataType.fromDDL(MATCH))] if matches else []),
+    ])
+    paths = write_benchmark(benchmark, window)
+
+    def run(batches):
+        forget()
+        for batch in batches:
+            count, found = [0] * batch.num_rows, [[] for _ in range(batch.num_rows)]
+            for first, last, raw in blocks(batch.column(at), SHARD):
+                shard = Shard(Words(raw), window)
+                count[first:last] = shard.w.count.tolist()
+                for path in paths:
+                    bench = _block(path)
+                    for row, item, d, i, n in longest_matches(shard.w, bench, *occurrences(shard, bench)):
+                        found[first + row].append({"item_id": bench.ids[item], "doc_word": d, "item_word": i, "n_words": n})
+            judged = list(zip(*map(verdict, count, found), strict=True)) or [[]] * len(VERDICT)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+            arrays = [*(batch.column(i) for i in range(len(kept))), *(pa.array(c, k) for c, k in zip(judged, kinds, strict=True)), pa.array(found, _MATCH)]
+            yield pa.RecordBatch.from_arrays(arrays[: len(end.names)], names=end.names)
+        _block.cache_clear()
+        forget()
+
+    read = docs.select(*(F.col(f"`{docs.columns[i]}`").alias(f"c{i}") for i in kept), *([F.col(f"`{text}`").cast("string").alias("text")] if at == len(kept) else []))
+    return read.mapInArrow(run, end)
 
 
 @batched
@@ -253,4 +275,3 @@ def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: contaminated documents go."""
     names = tuple(unused(docs, f"_{n}") for n in VERDICT)
     return judge(docs, read_table(spark, sf_dir, "benchmark"), names=names).where(~F.col(names[-1])).drop(*names)
-

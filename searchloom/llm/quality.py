@@ -12,7 +12,8 @@ driver.  Labels, language, source and ids are no inputs of a score.
 Defined cases: a null text counts as empty and an empty text has a score like
 any other; labels that are null are left out; a table without labelled rows of
 both classes gives a score of 0.5 everywhere; a document that is in ``labels``
-twice counts twice; other columns pass through.
+twice counts twice; an empty table gives no rows; other columns pass through, but
+for one with the name of the new column, which replaces it.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .bpe import forget
-from .common import batched, read_table, save, unused
+from .common import batched, besides, read_table, save, unused
 from .textbytes import Words, blocks
 
 FEATURES = (
@@ -153,17 +154,26 @@ def _sums(batches):
 
 def measure(docs: DataFrame, text: str = "text", out: str = "statistics", columns: list[str] | None = None) -> DataFrame:
     """``columns`` (all, by default) of ``docs`` with the texts' statistics; no shuffle."""
-    at = docs.columns.index(text)
-    kept = [i for i, c in enumerate(docs.columns) if columns is None or c in columns]
-    schema = T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField(out, T.ArrayType(T.DoubleType()))])
+    kept = [i for i in besides(docs, (out,)) if columns is None or docs.columns[i] in columns]
+    read, at, fields = _read(docs, kept, text)
+    schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         forget()
         for batch in batches:
             x = statistics(batch.column(at))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(list(x), pa.list_(pa.float64()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(list(x), pa.list_(pa.float64()))], names=schema.names)
+        forget()
+
+    return read.mapInArrow(run, schema)
 
-    return docs.mapInArrow(run, schema)
+
+def _read(docs: DataFrame, kept: list[int], needed: str) -> tuple[DataFrame, int, list[T.StructField]]:
+    """The columns ``kept`` under plain names, with ``needed`` at the end if it isn't among them; its place; the kept fields."""
+    at = docs.columns.index(needed)
+    more = [] if at in kept else [F.col(f"`{needed}`").alias("c")]
+    fields = [T.StructField(docs.columns[i], docs.schema[i].dataType) for i in kept]
+    return docs.select(*(F.col(f"`{docs.columns[i]}`").alias(f"c{i}") for i in kept), *more), len(kept) if more else kept.index(at), fields
 
 
 def fit(labelled: DataFrame, measured: str = "statistics", label: str = "quality", shrinkage: float = 0.5, ridge: float = 0.0) -> QualityModel:
@@ -193,17 +203,18 @@ def score(docs: DataFrame, model: QualityModel, text: str | None = None, measure
     The statistics are those in the column ``measured``, which goes, or with
     ``text`` they are taken from that column, which stays.
     """
-    at = docs.columns.index(text or measured)
-    kept = [i for i in range(len(docs.columns)) if text or i != at]
-    schema = T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField(out, T.DoubleType())])
+    kept = [i for i in besides(docs, (out,)) if text or docs.columns[i] != measured]
+    read, at, fields = _read(docs, kept, text or measured)
+    schema = T.StructType([*fields, T.StructField(out, T.DoubleType())])
 
     def run(batches):
         forget()
         for batch in batches:
             x = statistics(batch.column(at)) if text else _matrix(batch.column(at))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(model.score(x), pa.float64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(model.score(x), pa.float64())], names=schema.names)
+        forget()
 
-    return docs.mapInArrow(run, schema)
+    return read.mapInArrow(run, schema)
 
 
 def train(measured: DataFrame, labels: DataFrame) -> QualityModel:
