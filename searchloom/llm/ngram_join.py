@@ -1,22 +1,25 @@
-"""N-gram Jaccard join: MinHash LSH in fixed bands and exact verification.
-
-1. Documents with one sequence of words form a class, and only one
-   representative of a class is compared.
-2. A representative's shingles (five words) give a signature of ``TREES`` labels
-   of ``LEVELS`` min-hashes.  This is no LSH forest: no trie is sorted and no
-   prefix is shortened by the data.  One threshold is asked for, so one prefix
-   length, the longest that meets pairs at it with the target recall, does for
-   all documents (``depth_for``: 5 levels); it is hashed to one key a tree.  The
-   sixth level is only in the signatures that step 3 compares.
-3. Representatives under one prefix of a tree are compared by their signatures,
-   and those that may be similar linked: a group of any size is salted into
-   bounded blocks, and only groups that still hold several components after all
-   trees' blocks are compared block against block.  A spanning forest leaves each
-   block, never its pairs.
+"""N-gram Jaccard join: a MinHash LSH forest and exact verification.
+
+1. Documents with one sequence of words (by SHA-256 of the words) form a class,
+   and only one representative of a class is compared.
+2. A representative's shingles (five words) give a signature: in each of ``TREES``
+   trees a path of ``LEVELS`` min-hashes.
+3. Every tree is dealt out by the shortest prefix that is ever needed
+   (``depth_for``), the root of a subtree; a task sorts a subtree's paths, which is
+   its trie, and reads each path's longest matched prefix off its neighbours.  It
+   begins with the nodes of whole paths and shortens the prefix level by level:
+   a node's members that aren't yet in one component, and didn't meet in a longer
+   prefix, are compared by their signatures and linked if they may be similar.
+   Shortening ends where all members are one component, or else where pairs at
+   the threshold have met in some tree with the target recall.
+   A subtree of any size is salted into bounded blocks, and only subtrees that
+   still hold several components after all trees' blocks are compared block
+   against block.  A spanning forest leaves each block, never its pairs.
 4. Within the components all pairs are verified exactly on their shingle sets,
    block against block, as products of sparse 0/1 matrices.  What leaves is each
    document's number of links and a spanning forest of the verified links, whose
-   components are the result's classes.
+   components are the result's classes.  To count a document's links takes all
+   pairs of its component's texts, so this work is quadratic in a component.
 
 Nothing is collected to the driver but a few counts, and no pair is emitted.
 
@@ -29,6 +32,7 @@ doc_ids keep their row, with class null and 0 links; extra columns don't matter.
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -41,11 +45,11 @@ from .components import components
 from .textbytes import Words, blocks, mix, prefix_hash, shingles, span_hash
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.99999
-TREES, LEVELS = 32, 6
+TREES, LEVELS = 32, 8
 #: Signature estimate from which a pair may be similar: six standard deviations below the threshold.
 SLACK = 6
-#: Representatives compared at once.
-BLOCK = 256
+#: Representatives compared at once, and those (and bytes of their shingles) that a task meets another block of.
+BLOCK, VERIFY, VERIFY_BYTES = 256, 2048, 8_000_000
 
 
 def depth_for(threshold: float, trees: int = TREES, levels: int = LEVELS, recall: float = RECALL) -> int:
@@ -79,13 +83,17 @@ def signatures(doc: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def _identity(w: Words) -> list[bytes]:
-    """128 bits of each row's sequence of words."""
-    n = len(w.count)
-    if not len(w.hash):
-        return [bytes(16)] * n
-    high = span_hash(prefix_hash(w.hash), w.bounds[:-1], w.bounds[1:])
-    low = span_hash(prefix_hash(mix(w.hash + np.uint64(7))), w.bounds[:-1], w.bounds[1:])
-    return [h.tobytes() + x.tobytes() for h, x in zip(high, low, strict=True)]
+    """The SHA-256 of each row's words, a blank after each."""
+    plain = w.raw.copy()
+    edge = np.zeros(len(plain) + 1, np.int8)
+    edge[w.start] = 1
+    edge[w.end + 1] = -1  # a word and the byte after it
+    edge[w.start[1:][w.start[1:] == w.end[:-1] + 1]] = 0
+    plain[w.end] = 32
+    kept = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    size = np.concatenate(([0], np.cumsum(w.end - w.start + 1)))[w.bounds]
+    words = plain[kept].tobytes()
+    return [hashlib.sha256(words[a:b]).digest() for a, b in zip(size.tolist(), size[1:].tolist(), strict=False)]
 
 
 def _signed(depth: int):
@@ -101,7 +109,7 @@ def _signed(depth: int):
                 same = _identity(w)
                 some = np.flatnonzero(w.count > 0)
                 labels = sig.reshape(n, TREES, LEVELS)[:, :, :depth].astype(np.uint64)
-                key = np.zeros((n, TREES), np.uint64)
+                key = np.tile(np.arange(TREES, dtype=np.uint64), (n, 1))
                 for level in range(depth):
                     key = mix(key + labels[:, :, level] + np.uint64(1))
                 low8 = mix(sig.astype(np.uint64)).astype(np.uint8)
@@ -115,6 +123,7 @@ def _signed(depth: int):
                     ],
                     names=["doc_id", "same", "n_words", "sig", "keys"],
                 )
+        forget()
 
     return run
 
@@ -159,36 +168,60 @@ def _grouped(batches, keys: int):
         yield held
 
 
+def _trie_links(sig: np.ndarray, tree: int, own: np.ndarray, depth: int) -> list[tuple[int, int]]:
+    """Links of a spanning forest among a subtree's rows (``own``: the components they are in), longest matched prefixes first."""
+    path = sig[:, tree * LEVELS : (tree + 1) * LEVELS]
+    order = np.lexsort(path.T[::-1])
+    differs = path[order[1:]] != path[order[:-1]]
+    matched = np.where(differs.any(axis=1), differs.argmax(axis=1), LEVELS)
+    sig = sig[order]
+    forest, left = _Forest(int(own.max()) + 1), int(own.max()) + 1
+    own = own[order]
+    need = (THRESHOLD - SLACK * (THRESHOLD * (1 - THRESHOLD) / sig.shape[1]) ** 0.5) * sig.shape[1]
+    links, child = [], np.arange(len(order))
+    for level in range(LEVELS, depth - 1, -1):
+        if left == 1:
+            break
+        if level > matched.max():
+            continue
+        bounds = [0, *(np.flatnonzero(matched < level) + 1).tolist(), len(order)] if level > depth else [0, len(order)]
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            if b - a < 2 or child[a] == child[b - 1]:
+                continue
+            for i in range(a + 1, b):
+                new = a + np.flatnonzero(child[a:i] != child[i])  # those that met in a longer prefix are known
+                if not len(new):
+                    continue
+                for j in new[(sig[new] == sig[i]).sum(axis=1) >= need].tolist():
+                    if forest.link(int(own[i]), int(own[j])):
+                        left -= 1
+                        links.append((int(order[i]), int(order[j])))
+                if left == 1:
+                    return links
+            child[a:b] = a
+    return links
+
+
 def _near(batches):
-    """Spanning edges of representatives whose signatures agree enough, group by group.
+    """Spanning edges of representatives whose signatures agree enough, subtree by subtree.
 
-    Columns: group keys (tree prefix, block), rep, label, sig.  Rows of one label
+    Columns: group keys (subtree, block), tree, rep, label, sig.  Rows of one label
     are known to be connected; edges join different labels only.
     """
-    k = TREES * LEVELS
-    need = THRESHOLD - SLACK * (THRESHOLD * (1 - THRESHOLD) / k) ** 0.5
+    forget()
+    depth = depth_for(THRESHOLD)
     u, v = [], []
     for group in _grouped(batches, 2):
-        n = group.num_rows
-        if n < 2:
+        if group.num_rows < 2:
             continue
-        rep = group.column(2).to_numpy()
-        label = group.column(3).to_numpy()
-        sig = np.frombuffer(b"".join(group.column(4).to_pylist()), np.uint8).reshape(n, k)
-        _, own = np.unique(label, return_inverse=True)
+        _, own = np.unique(group.column(4).to_numpy(), return_inverse=True)
         if own.max() == 0:
             continue
-        forest = _Forest(int(own.max()) + 1)
-        trees = int(own.max()) + 1
-        for i in range(1, n):
-            if trees == 1:
-                break
-            agree = (sig[:i] == sig[i]).sum(axis=1)
-            for j in np.flatnonzero(agree >= need * k):
-                if forest.link(int(own[i]), int(own[j])):
-                    trees -= 1
-                    u.append(rep[i])
-                    v.append(rep[j])
+        rep = group.column(3).to_numpy()
+        sig = np.frombuffer(b"".join(group.column(5).to_pylist()), np.uint8).reshape(len(rep), TREES * LEVELS)
+        for i, j in _trie_links(sig, group.column(2)[0].as_py(), own, depth):
+            u.append(rep[i])
+            v.append(rep[j])
         if len(u) > 50_000:
             yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
             u, v = [], []
@@ -197,6 +230,7 @@ def _near(batches):
 
 def _shingled(batches):
     """(identity, words, sorted shingle hashes) of texts."""
+    forget()
     for batch in batches:
         for first, end, raw in blocks(batch.column(0)):
             w = Words(raw)
@@ -234,6 +268,7 @@ def _verified(batches):
 
     Columns: component, pair of blocks (i * 2**31 + j), side (0: block i, 1: block j), rep, copies, shingles.
     """
+    forget()
     for group in _grouped(batches, 2):
         if group.num_rows < 2:
             continue
@@ -243,28 +278,32 @@ def _verified(batches):
         rep = group.column(3).to_numpy()
         copies = group.column(4).to_numpy()
         sets = [np.frombuffer(s, np.uint64) for s in group.column(5).to_pylist()]
-        common, size = _overlaps(sets)
-        whole = size[:, None] + size[None, :] - common
-        linked = (common >= THRESHOLD * whole - 1e-6) & (common > 0)
-        np.fill_diagonal(linked, False)
-        if not alone:
-            linked &= side[:, None] != side[None, :]
-        links = linked @ copies
-        forest = _Forest(len(rep))
-        edges: dict[int, int] = {}
-        for i, j in zip(*np.nonzero(np.triu(linked)), strict=True):
-            if forest.link(int(i), int(j)):
-                edges[len(edges)] = (int(rep[i]), int(rep[j]))
+        links, forest, edges = np.zeros(len(rep), np.int64), _Forest(len(rep)), []
+        tiles = [own[i : i + BLOCK] for own in ((np.arange(len(rep)),) if alone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))) for i in range(0, len(own), BLOCK)]
+        for x, first in enumerate(tiles):
+            for second in tiles[x:]:
+                if not alone and side[first[0]] == side[second[0]]:
+                    continue
+                both = first if first is second else np.concatenate((first, second))
+                common, size = _overlaps([sets[i] for i in both])
+                linked = (common >= THRESHOLD * (size[:, None] + size[None, :] - common) - 1e-6) & (common > 0)
+                np.fill_diagonal(linked, False)
+                if first is not second:
+                    linked[: len(first), : len(first)] = linked[len(first) :, len(first) :] = False
+                links[both] += linked @ copies[both]
+                for i, j in zip(*np.nonzero(np.triu(linked)), strict=True):
+                    if forest.link(int(both[i]), int(both[j])):
+                        edges.append((int(rep[both[i]]), int(rep[both[j]])))
         some = np.flatnonzero(links)
-        u = [int(rep[i]) for i in some] + [a for a, _ in edges.values()]
-        v = [None] * len(some) + [b for _, b in edges.values()]
-        n = [int(links[i]) for i in some] + [0] * len(edges)
-        if u:
+        if len(some):
+            u = [int(rep[i]) for i in some] + [a for a, _ in edges]
+            v = [None] * len(some) + [b for _, b in edges]
+            n = [int(links[i]) for i in some] + [0] * len(edges)
             yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "links": pa.array(n, pa.int64())})
 
 
 def _edges_within(rows: DataFrame) -> DataFrame:
-    """Runs ``_near`` on (prefix, block, rep, label, sig)."""
+    """Runs ``_near`` on (prefix, block, tree, rep, label, sig)."""
     return rows.repartition("prefix", "block").sortWithinPartitions("prefix", "block").mapInArrow(_near, "u long, v long")
 
 
@@ -282,13 +321,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     reps = save(least.select("same", "n_words", F.monotonically_increasing_id().alias("rep"), F.col("m.doc_id").alias("first"), "copies", "m.sig", "m.keys"), "classes")
     classes = reps.select("same", "n_words", "rep", "first", "copies")
 
-    # The bands' groups: prefixes that at least two representatives share.
-    prefixes = reps.select("rep", F.explode("keys").alias("prefix"))
+    # The subtrees: shortest prefixes that at least two representatives share.
+    prefixes = reps.select("rep", F.posexplode("keys").alias("tree", "prefix"))
     sizes = prefixes.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1")
-    met = save(prefixes.join(sizes, "prefix").select("prefix", "rep", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")), "prefixes")
+    met = save(prefixes.join(sizes, "prefix").select("prefix", "tree", "rep", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")), "prefixes")
     salt = lambda seed: F.pmod(F.xxhash64("rep", "prefix", F.lit(seed)), F.col("blocks"))
     sig = reps.select("rep", "sig")
-    first = met.join(sig, "rep").select("prefix", salt(1).alias("block"), "rep", F.col("rep").alias("label"), "sig")
+    first = met.join(sig, "rep").select("prefix", salt(1).alias("block"), "tree", "rep", F.col("rep").alias("label"), "sig")
     edges = save(_edges_within(first).distinct(), "near-edges")
     label = components(edges)
 
@@ -298,18 +337,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     open_rows = labelled.join(mixed, "prefix").withColumn("own", salt(2))
     both = open_rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     pair = F.least("own", "other") * (1 << 31) + F.greatest("own", "other")
-    more = save(_edges_within(both.join(sig, "rep").select("prefix", pair.alias("block"), "rep", "label", "sig")).distinct(), "more-edges")
+    more = save(_edges_within(both.join(sig, "rep").select("prefix", pair.alias("block"), "tree", "rep", "label", "sig")).distinct(), "more-edges")
     if not more.isEmpty():
         edges = edges.union(more)
         label = components(edges)
     label = save(label, "near-components")
 
     # Exact verification within components, block against block.
-    members = label.select(F.col("node").alias("rep"), "component").join(classes.select("rep", "copies"), "rep")
+    members = label.select(F.col("node").alias("rep"), "component").join(classes.select("rep", "copies", "n_words"), "rep")
     near = classes.join(members.select("rep"), "rep", "left_semi")
     texts = ids.join(near.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").select("text").mapInArrow(_shingled, "same binary, n_words long, shingles binary")
     sets = texts.join(near.select("same", "n_words", "rep"), ["same", "n_words"]).dropDuplicates(["rep"]).select("rep", "shingles")
-    wide = label.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    wide = members.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / VERIFY, F.sum("n_words") * 8 / VERIFY_BYTES)).cast("long").alias("blocks"))
     dealt = members.join(wide, "component").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     rows = dealt.join(save(sets, "shingles"), "rep").select("component", pair.alias("pair"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "copies", "shingles")
