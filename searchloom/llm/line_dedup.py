@@ -4,12 +4,14 @@ Every line gets a hash; a polynomial hash rolls over the last ``WINDOW`` line
 hashes, and a chunk ends where it falls in one residue class.  Boundaries depend
 on the lines near them alone, so an insertion shifts no other chunk.  A chunk of
 at least two lines that occurs more than once in the table is kept where it
-comes first (by doc_id, then text, then place) and removed elsewhere.  Equal
-hashes only nominate chunks: the grouping that decides compares their bytes.
+comes first (by doc_id, then the row's place in the input, then place in the text)
+and removed elsewhere.  Equal hashes only nominate chunks: the grouping that
+decides compares their bytes.
 
 Shuffles: one of 8-byte chunk hashes (summed before it is sent), one of the
-chunks whose hash repeats, one of the texts, to cut them.  Hot chunks meet in
-sorted joins, which adaptive execution splits; no group is collected.
+multi-line chunks to the hashes that repeat, one of the nominated chunks, and one
+of the texts, to cut them.  Hot chunks meet in sorted joins, which adaptive
+execution splits; no group is collected.
 
 A chunk meets its copy only if both begin and end at the same lines, so most
 repeated passages of few lines stay (figures in the README).  op8's SQL and the
@@ -72,6 +74,19 @@ def chunks(text: Column) -> Column:
     return let(F.split(text, "\n", -1), cut)
 
 
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """``docs`` with a number ``row``, the same whenever the plan runs again.
+
+    Over a bare scan it is the place in the input's files.  Rows that come from a
+    shuffle or from Python may come in another order next time, so they are
+    written first.
+    """
+    leaves = docs._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    steps = {line.lstrip(" :+-").split(" ", 1)[0] for line in leaves if line.strip()}
+    bare = steps <= {"Project", "Filter", "Relation"}
+    return (docs if bare else save(docs, "numbered")).select("*", F.monotonically_increasing_id().alias(row))
+
+
 def _later(parts: DataFrame) -> DataFrame:
     """The rows of ``parts`` (d, r, p, body, h) whose body comes before, by (d, r, p)."""
     repeated = parts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
@@ -87,8 +102,7 @@ def remove_repeated_chunks(docs: DataFrame, text: str = "text", doc_id: str = "d
     ``removed``: the name of a further column with how many lines went.
     """
     row, found, cut = (unused(docs, f"_{x}") for x in ("row", "chunk", "cut"))
-    # A row's number is its place in the input's files, the same whenever the scan is run again.
-    base = docs.select("*", F.monotonically_increasing_id().alias(row))
+    base = numbered(docs, row)
     parts = (
         base.where(F.col(text).isNotNull())
         .select(F.col(doc_id).alias("d"), F.col(row).alias("r"), F.posexplode(chunks(F.col(text))).alias("p", "c"))
@@ -127,7 +141,7 @@ def remove_repeated_passages(docs: DataFrame, text: str = "text", doc_id: str =
     ``removed``: the name of a further column with how many lines went.
     """
     row, found, cut = (unused(docs, f"_{x}") for x in ("row", "passage", "cut"))
-    base = docs.select("*", F.monotonically_increasing_id().alias(row))
+    base = numbered(docs, row)
     parts = (
         base.where(F.col(text).isNotNull())
         .select(F.col(doc_id).alias("d"), F.col(row).alias("r"), F.posexplode(line_pairs(F.col(text))).alias("p", "body"))
