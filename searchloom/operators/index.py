@@ -49,26 +49,30 @@ def latest(docs: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return docs.withColumn("_place", F.row_number().over(place)).where("_place = 1").drop("_place")
 
 
-def tokenized(docs: DataFrame, language: str = "spanish") -> DataFrame:
+def tokenized(docs: DataFrame, language: str = "spanish", contractions: bool = False) -> DataFrame:
     """Canonical documents with doc_id and tokens."""
-    return docs.withColumn("doc_id", document_id(F.col("id"), F.col("url"))).withColumn("tokens", normalize(document_text(F.col("title"), F.col("content")), language))
+    return docs.withColumn("doc_id", document_id(F.col("id"), F.col("url"))).withColumn("tokens", normalize(document_text(F.col("title"), F.col("content")), language, contractions))
 
 
-def build_index(docs: DataFrame, language: str = "spanish") -> Index:
+def build_index(docs: DataFrame, language: str = "spanish", contractions: bool = False) -> Index:
     """Indexes canonical documents of unique ids; documents without a token are left out.
 
     One shuffle, of (doc_id, term) counts summed before they are sent; lengths
     are known where the document is read.
     """
-    words = tokenized(docs, language)
+    return index_of_tokens(tokenized(docs, language, contractions))
+
+
+def index_of_tokens(words: DataFrame) -> Index:
+    """The index of ``tokenized`` documents; who uses both tables writes these first, so that no text is normalised twice."""
     postings = words.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     info = words.select("doc_id", F.size("tokens").cast("long").alias("length"), "title", "url", "source", "date", "tags", "category").where("length > 0")
     return Index(postings, info)
 
 
-def merge_index(old: Index, docs: DataFrame, language: str = "spanish") -> Index:
+def merge_index(old: Index, docs: DataFrame, language: str = "spanish", contractions: bool = False) -> Index:
     """The index after ``docs`` came: a document that was indexed before is replaced."""
-    new = build_index(docs, language)
+    new = build_index(docs, language, contractions)
     ids = tokenized(docs, language).select("doc_id")
     keep = lambda rows: rows.join(ids, "doc_id", "left_anti").select(*rows.columns)
     return Index(keep(old.postings).unionByName(new.postings), keep(old.doc_info).unionByName(new.doc_info))

@@ -12,6 +12,7 @@ equal to six decimals are ties, which go to the lesser doc_id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -60,13 +61,14 @@ class LanguageModel:
         # The query table is small against the postings; Spark broadcasts it where its size allows.
         terms = queries.join(self.collection.select("term", "p"), "term", "left").withColumn("p", F.coalesce("p", F.lit(UNSEEN)))
         constant = terms.groupBy("query_id").agg(F.sum(F.col("weight") * F.log(mu * F.col("p"))).alias("base"), F.sum("weight").alias("all"))
-        postings = self.index.postings
         info = self.index.doc_info.select("doc_id", "length", "category")
+        matched = self.index.postings.join(terms, "term")
         if category:
             info = info.where(F.col("category") == category)
-        matched = postings.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.log(1 + F.col("tf") / (mu * F.col("p")))).alias("match"))
+            matched = matched.join(info.select("doc_id"), "doc_id", "left_semi")  # before anything is summed
+        summed = matched.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.log(1 + F.col("tf") / (mu * F.col("p")))).alias("match"))
         return (
-            matched.join(info, "doc_id")
+            summed.join(info, "doc_id")
             .join(constant, "query_id")
             .select("query_id", "doc_id", (F.col("match") + F.col("base") - F.col("all") * F.log(F.col("length") + mu)).alias("score"))
         )
@@ -79,9 +81,11 @@ class LanguageModel:
         one = F.col("weight") * F.log((F.coalesce("tf", F.lit(0)) + self.mu * F.col("p")) / (F.col("length") + self.mu))
         return rows.groupBy("query_id", "doc_id").agg(F.sum(one).alias("score"))
 
-    def retrieve(self, queries: DataFrame, k: int = 10, category: str | None = None) -> DataFrame:
-        """(query_id, rank, doc_id, score): each query's k best documents."""
+    def retrieve(self, queries: DataFrame, k: int = 10, category: str | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """(query_id, rank, doc_id, score): each query's k best documents, of those that ``keep`` leaves of (query_id, doc_id, score)."""
         scores = self.scores(queries, category).withColumn("score", F.round("score", DIGITS))
+        if keep:
+            scores = keep(scores)
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
         return scores.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 

@@ -1,12 +1,14 @@
-"""TF-IDF vectors in long form, and cosine search over them."""
+"""TF-IDF vectors in long form, cosine search over them, and collections of texts by such vectors."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .index import Index
+from ..functions.text import document_text, normalize
+from .index import Index, document_id, latest
+from .vectors import scalar_columns
 
 #: Fixed value: terms of the vocabulary.
 MAX_FEATURES = 15_000
@@ -25,8 +27,11 @@ class TfIdf:
         """Vocabulary: the terms of largest corpus frequency, ties to the lesser term.  idf = ln((1 + n) / (1 + df)) + 1.
 
         ``n_documents`` also counts documents without a token; a table is
-        counted in the same plan.
+        counted in the same plan.  Raises ValueError if there is no document at
+        all, which takes a look at one row; a number is taken at its word.
         """
+        if n_documents == 0 if isinstance(n_documents, int) else (n_documents if n_documents is not None else index.doc_info).isEmpty():
+            raise ValueError("no documents to fit on")
         terms = index.postings.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")).orderBy(F.desc("cf"), "term").limit(max_features)
         if isinstance(n_documents, int):
             n = F.lit(n_documents)
@@ -61,3 +66,65 @@ class TfIdf:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TfIdf:
         return cls(spark.read.parquet(f"{path}/vocabulary"), spark.read.parquet(f"{path}/vectors"))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+@dataclass(frozen=True)
+class TextCollection:
+    """Texts by their vectors: vectors(doc_id, term, w), metadata(doc_id, ...), and the model that embeds texts, if there is one."""
+
+    vectors: DataFrame
+    metadata: DataFrame
+    model: TfIdf | None = None
+
+    @classmethod
+    def setup(cls, model: TfIdf, metadata: DataFrame) -> TextCollection:
+        """The documents that the model was fitted on, with their metadata."""
+        return cls(model.vectors, metadata, model)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> TextCollection:
+        """What was saved at the path, or an empty collection without a model."""
+        if not path_exists(spark, f"{path}/metadata"):
+            return cls(spark.createDataFrame([], "doc_id string, term string, w double"), spark.createDataFrame([], "doc_id string"))
+        model = TfIdf.load(spark, f"{path}/model") if path_exists(spark, f"{path}/model/vocabulary") else None
+        return cls(spark.read.parquet(f"{path}/all"), spark.read.parquet(f"{path}/metadata"), model)
+
+    def save(self, path: str) -> None:
+        """To a path that this collection wasn't opened from."""
+        self.vectors.write.mode("overwrite").parquet(f"{path}/all")
+        self.metadata.write.mode("overwrite").parquet(f"{path}/metadata")
+        if self.model:
+            self.model.save(f"{path}/model")
+
+    def _embedder(self) -> TfIdf:
+        if self.model is None:
+            raise RuntimeError("texts need a model to embed them")
+        return self.model
+
+    def add(self, docs: DataFrame, language: str = "spanish") -> TextCollection:
+        """Canonical documents embedded by the model; they win by doc_id, of several for one the last by title and content.
+
+        The metadata are the documents' scalar columns but id and content.
+        """
+        model = self._embedder()
+        new = latest(docs.withColumn("doc_id", document_id(F.col("id"), F.col("url"))), "doc_id", [F.col("title"), F.col("content")])
+        tokens = new.select(F.col("doc_id").alias("query_id"), normalize(document_text(F.col("title"), F.col("content")), language).alias("tokens"))
+        ids = new.select("doc_id")
+        kept = lambda rows: rows.join(ids, "doc_id", "left_anti").select(*rows.columns)
+        vectors = kept(self.vectors).unionByName(model.embed(tokens).withColumnRenamed("query_id", "doc_id"))
+        shown = new.select("doc_id", *(c for c in scalar_columns(new) if c != "doc_id"))
+        return replace(self, vectors=vectors, metadata=kept(self.metadata).unionByName(shown, allowMissingColumns=True))
+
+    def search(self, queries: DataFrame, k: int = 10, language: str = "spanish") -> DataFrame:
+        """(query_id, rank, doc_id, score, metadata...) of a table (query_id, query) of strings; texts that share no term aren't hits."""
+        model = self._embedder()
+        asked = queries.select("query_id", normalize(F.col("query"), language).alias("tokens"))
+        return replace(model, vectors=self.vectors).search(asked, k).join(self.metadata, "doc_id")
+
+    def stats(self) -> DataFrame:
+        return self.metadata.agg(F.count("*").alias("documents"))

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from dataclasses import dataclass, replace
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
-from ..session import ship
+from ..session import fresh_dir, ship
 from .index import latest
 
 DIGITS = 6
-#: Queries that meet the table at once, and so the most that is sent to a task.
-QUERY_BLOCK = 2000
+#: Queries in a block, and blocks that meet the table in one pass.
+QUERY_BLOCK, PASS = 2000, 20
 
 
 def scalar_columns(df: DataFrame, drop: tuple[str, ...] = ("id", "content")) -> list[str]:
@@ -48,22 +50,26 @@ class VectorTable:
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """(query_id, rank, doc_id, score) by exact cosine, 1 - distance, to six decimals.
 
-        Queries come to the tasks in blocks; a task returns the k best of each
-        of its batches, so what is sent and shuffled is bounded by k.
+        Executors write the queries to the shared folder in blocks; the driver
+        holds a path a block.  The table isn't moved: a task meets its rows with
+        up to ``PASS`` blocks and returns the k best of each query, so what it
+        holds, sends and shuffles is bounded.  Vectors and queries that are null
+        or have a null or non-finite component take no part, nor does a vector
+        of another length than the query's; a zero vector's cosine is 0.
         """
         spark = self.rows.sparkSession
         ship(spark)
-        rows = self.rows.select("doc_id", F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
-        asked = iter(queries.select("query_id", F.col("embedding").cast("array<double>").alias("v")).where("v is not null").toLocalIterator())
         kinds = (queries.schema["query_id"].dataType, self.rows.schema["doc_id"].dataType)
         schema = f"query_id {kinds[0].simpleString()}, doc_id {kinds[1].simpleString()}, score double"
         arrow = tuple(to_arrow_type(k) for k in kinds)
+        rows = _usable(self.rows.select("doc_id", F.col("embedding").cast("array<double>").alias("v")))
+        asked = _usable(queries.select("query_id", F.col("embedding").cast("array<double>").alias("v")))
+        blocks = fresh_dir(spark, "queries")
+        asked.mapInArrow(_written(blocks), "path string, width int").write.parquet(f"{blocks}-paths")
+        paths = sorted(r.path for r in spark.read.schema("path string, width int").parquet(f"{blocks}-paths").collect())  # a row a block
         out = spark.createDataFrame([], schema)
-        while block := list(islice(asked, QUERY_BLOCK)):
-            ids = [r.query_id for r in block]
-            matrix = np.array([r.v for r in block])
-            matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-            out = out.union(rows.mapInArrow(_best(ids, matrix, k, arrow), schema))
+        for first in range(0, len(paths), PASS):
+            out = out.union(rows.mapInArrow(_best(paths[first : first + PASS], k, arrow), schema))
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
         return out.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
@@ -84,26 +90,86 @@ class VectorTable:
         return cls(spark.read.parquet(path))
 
 
-def _best(ids: list, matrix: np.ndarray, k: int, kinds: tuple[pa.DataType, pa.DataType]):
-    """The k best of each batch for every query of a block."""
+def _usable(rows: DataFrame) -> DataFrame:
+    """Rows whose vector ``v`` has a component, and none that is null or non-finite."""
+    odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return rows.where(F.col("v").isNotNull() & (F.size("v") > 0) & ~odd)
+
+
+def _by_width(batch: pa.RecordBatch):
+    """(ids, unit vectors) of a batch's rows of each length."""
+    width = batch.column(1).value_lengths().to_numpy()
+    for n in np.unique(width).tolist():
+        some = batch.filter(pa.array(width == n))
+        v = some.column(1).flatten().to_numpy().reshape(-1, n)
+        yield some.column(0).to_pylist(), v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def _written(folder: str):
+    """Writes queries in blocks of one length."""
+
+    def run(batches):
+        held: dict[int, tuple[list, list[np.ndarray]]] = {}
+
+        def flush(n: int) -> pa.RecordBatch:
+            ids, parts = held.pop(n)
+            path = f"{folder}/{uuid.uuid4().hex}"
+            system, base = fs.FileSystem.from_uri(path)
+            system.create_dir(base.rpartition("/")[0], recursive=True)
+            with system.open_output_stream(base) as out:
+                out.write(pickle.dumps((ids, np.concatenate(parts))))
+            return pa.RecordBatch.from_pydict({"path": [path], "width": pa.array([n], pa.int32())})
+
+        for batch in batches:
+            for ids, v in _by_width(batch):
+                for first in range(0, len(ids), QUERY_BLOCK):
+                    own = held.setdefault(v.shape[1], ([], []))
+                    own[0].extend(ids[first : first + QUERY_BLOCK])
+                    own[1].append(v[first : first + QUERY_BLOCK])
+                    if len(own[0]) >= QUERY_BLOCK:
+                        yield flush(v.shape[1])
+        for n in list(held):
+            yield flush(n)
+
+    return run
+
+
+def _best(paths: list[str], k: int, kinds: tuple[pa.DataType, pa.DataType]):
+    """The k best of a task's rows for every query of some blocks."""
 
     def run(batches):
+        blocks, best = [], []
+        for path in paths:
+            system, base = fs.FileSystem.from_uri(path)
+            with system.open_input_file(base) as file:
+                blocks.append(pickle.loads(file.read()))
+            best.append(None)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = np.array(batch.column(1).to_pylist(), float)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            docs = np.array(batch.column(0).to_pylist(), object)
-            order = np.argsort(docs, kind="stable")
-            docs, v = docs[order], v[order]
-            # Adding up in one order for any batch, so that equal vectors have equal scores.
-            score = np.round(np.einsum("qd,nd->qn", matrix, v), DIGITS) + 0.0
-            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            n = top.shape[1]
-            yield pa.RecordBatch.from_pydict({
-                "query_id": pa.array([q for q in ids for _ in range(n)], kinds[0]),
-                "doc_id": pa.array(docs[top].ravel().tolist(), kinds[1]),
-                "score": pa.array(np.take_along_axis(score, top, axis=1).ravel(), pa.float64()),
-            })
+            for docs, v in _by_width(batch):
+                docs = np.array(docs, object)
+                order = np.argsort(docs, kind="stable")
+                docs, v = docs[order], v[order]
+                for b, (_, matrix) in enumerate(blocks):
+                    if matrix.shape[1] != v.shape[1]:
+                        continue
+                    # Adding up in one order for any batch, so that equal vectors have equal scores.
+                    score = np.round(np.einsum("qd,nd->qn", matrix, v), DIGITS) + 0.0
+                    top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                    found = np.take_along_axis(score, top, axis=1), docs[top]
+                    if best[b] is not None:
+                        score, ids = (np.concatenate(pair, axis=1) for pair in zip(best[b], found, strict=True))
+                        at = np.argsort(ids, axis=1, kind="stable")
+                        score, ids = np.take_along_axis(score, at, axis=1), np.take_along_axis(ids, at, axis=1)
+                        top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                        found = np.take_along_axis(score, top, axis=1), np.take_along_axis(ids, top, axis=1)
+                    best[b] = found
+        for (ids, _), found in zip(blocks, best, strict=True):
+            if found is not None:
+                score, docs = found
+                yield pa.RecordBatch.from_pydict({
+                    "query_id": pa.array([q for q in ids for _ in range(score.shape[1])], kinds[0]),
+                    "doc_id": pa.array(docs.ravel().tolist(), kinds[1]),
+                    "score": pa.array(score.ravel(), pa.float64()),
+                })
 
     return run

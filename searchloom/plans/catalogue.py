@@ -11,15 +11,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.detect import brand, operating_system, pc_subcategory, sink_category, uuid5
 from ..functions.queries import process, weights
-from ..functions.text import normalize
-from ..operators.index import Index, build_index, latest, tokenized
+from ..functions.text import first_filled, normalize
+from ..operators.index import Index, build_index, index_of_tokens, latest, tokenized
 from ..operators.language_model import LanguageModel
-from ..operators.tfidf import TfIdf
+from ..operators.tfidf import TextCollection, TfIdf
 from ..operators.vectors import VectorTable
 from ..session import fresh_dir
 from ..sources.html import PLAIN, crawl_items, extract
 from ..sources.jsonl import DocumentStore, append_items
-from ..streaming.crawl import append, index_each_batch, load_generations, not_in, read_stream, unseen
+from ..sources.pages import from_table, traverse
+from ..streaming.crawl import append, crawl, index_each_batch, load_generations, not_in, read_stream, session, unseen
 from .search import search
 
 #: A typed query with a term that no document has.
@@ -52,10 +53,18 @@ def canonical_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_documents(table(spark, sf_dir, "documents"))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Rows dealt out over all cores if they come in fewer partitions (a file of one row group is one); else as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def index_of(spark: SparkSession, sf_dir: str) -> Index:
-    """The index, built once for a query and read back where it is used several times."""
-    index = build_index(canonical_documents(spark, sf_dir))
+    """The index, built once for a query and read back where it is used several times; each text is normalised once."""
     path = fresh_dir(spark, "index")
+    docs = spread(canonical_documents(spark, sf_dir))
+    tokenized(docs).select("doc_id", "tokens", "title", "url", "source", "date", "tags", "category").write.parquet(f"{path}/tokens")
+    index = index_of_tokens(spark.read.parquet(f"{path}/tokens"))
     index.postings.write.parquet(f"{path}/postings")
     index.doc_info.write.parquet(f"{path}/doc_info")
     return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_info"))
@@ -89,11 +98,11 @@ def doc_info_length(spark, sf_dir):
 
 
 def index_stats(spark, sf_dir):
-    return build_index(canonical_documents(spark, sf_dir)).stats()
+    return index_of(spark, sf_dir).stats()
 
 
 def collection_model(spark, sf_dir):
-    return build_index(canonical_documents(spark, sf_dir)).collection()
+    return index_of(spark, sf_dir).collection()
 
 
 def ql_dirichlet_topk(spark, sf_dir):
@@ -205,6 +214,11 @@ def html_title(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.nullif(F.trim(F.regexp_extract("html", r"(?is)<h1[^>]*>([^<]*)", 1)), F.lit("")).alias("title"))
 
 
+def article_title(spark, sf_dir):
+    """The extraction's titles, with character references read."""
+    return extract(table(spark, sf_dir, "pages").select("page_id", "html"), PLAIN).select("page_id", "title")
+
+
 def html_links(spark, sf_dir):
     found = extract(table(spark, sf_dir, "pages").select("page_id", "html"), PLAIN)
     return found.select("page_id", F.posexplode("links").alias("pos", "href"))
@@ -266,11 +280,75 @@ def tag_union(spark, sf_dir):
     return rows.select("n_chars", F.array_join(F.array_sort(F.array_union("a", "b")), ",").alias("tags"))
 
 
+def index_roundtrip(spark, sf_dir):
+    """An index and a language model, saved and loaded."""
+    path = fresh_dir(spark, "saved")
+    model_of(spark, sf_dir).save(path)
+    return LanguageModel.load(spark, path).collection.select("term", "cf", "df", "p")
+
+
+def text_collection(spark, sf_dir) -> TextCollection:
+    docs = canonical_documents(spark, sf_dir)
+    return TextCollection.setup(fit_tfidf(spark, sf_dir), docs.select(F.col("id").alias("doc_id"), "title", "url", "source", "category"))
+
+
+def benchmark_texts(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def vector_text_search(spark, sf_dir):
+    """Every benchmark text as a query string against the collection of all documents."""
+    return text_collection(spark, sf_dir).search(benchmark_texts(spark, sf_dir)).select("query_id", "rank", "doc_id", "score", "source", "category")
+
+
+def vector_add_document(spark, sf_dir):
+    """The benchmark's texts added as documents to the saved and opened collection, then searched for."""
+    before, after = fresh_dir(spark, "collection"), fresh_dir(spark, "collection")
+    text_collection(spark, sf_dir).save(before)
+    items = table(spark, sf_dir, "benchmark").select((-F.col("item_id") - 1).alias("doc_id"), "text", F.lit("added").alias("source"), F.lit("xx").alias("lang"))
+    TextCollection.open(spark, before).add(as_documents(items)).save(after)
+    return TextCollection.open(spark, after).search(benchmark_texts(spark, sf_dir)).select("query_id", "rank", "doc_id", "score", "source", "category")
+
+
+def vector_hits(spark, sf_dir):
+    """Vectors set up with metadata, and hits as they are shown: a missing url is the id."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    vectors = VectorTable.setup(rows.select("doc_id", "embedding"), rows.select("doc_id", F.col("label").cast("string").alias("category"), F.when(F.col("label") > 4, F.concat(F.lit("u"), "doc_id")).alias("url")))
+    return vectors.hits(rows.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "embedding")).drop("score")
+
+
+def first_filled_text(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", first_filled(F.nullif(F.col("role"), F.lit("user")), F.col("text"), F.col("role")).alias("first"))
+
+
+def seen_url_sessions(spark, sf_dir):
+    """Two sessions with one log: the plain-http pages first, then all of them; what is new in the second."""
+    log = fresh_dir(spark, "seen")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    session(pages.where(F.col("url").startswith("http://")), log)
+    return session(pages, log)
+
+
+def stream_crawl(spark, sf_dir):
+    """Stamp, drop what was seen, append: events as a crawl's items."""
+    out, checkpoint = fresh_dir(spark, "crawl-stream"), fresh_dir(spark, "checkpoint")
+    items = read_stream(spark, f"{sf_dir}/events.parquet").select(F.concat_ws("/", "user_id", "event_type").alias("url"))
+    crawl(items, out, checkpoint, now=F.timestamp_seconds(F.lit(1_700_000_000))).awaitTermination()
+    return spark.read.schema("url string, scraped_at string").json(out)
+
+
+def crawl_traverse(spark, sf_dir):
+    """All pages as seeds; their links lead to no page of the table."""
+    pages = table(spark, sf_dir, "pages")
+    return traverse(pages.select("url"), from_table(pages), PLAIN).select("url", "depth", F.size("links").alias("n_links"))
+
+
 def query_map() -> dict:
     functions = (
         normalize_tokens, postings_tf, doc_info_length, index_stats, collection_model, ql_dirichlet_topk, ql_dirichlet_category, ql_batch_topk, query_parse_filters,
         query_weights, rm1_feedback, rm3_expand, flagship_ql_rm3, tfidf_vocab, tfidf_vectors, tfidf_cosine_topk, dense_cosine_topk, vector_upsert, vector_stats,
         docs_by_category, doc_lookup, docs_in_category, dedupe_last_wins, seen_url_antijoin, stream_dedupe, stream_index, html_title, html_links, html_content,
-        crawl_item, detect_brand_os, pc_subcategories, sink_route, jsonl_roundtrip, uuid5_id, tag_union,
+        crawl_item, detect_brand_os, pc_subcategories, sink_route, jsonl_roundtrip, uuid5_id, tag_union, index_roundtrip, vector_text_search, vector_add_document, vector_hits, first_filled_text,
+        seen_url_sessions, stream_crawl, crawl_traverse, article_title,
     )
     return {f.__name__: f for f in functions}

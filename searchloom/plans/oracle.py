@@ -96,6 +96,12 @@ def sql_map() -> dict[str, str]:
     flagship_words = r"""
 fw AS (SELECT query_id, term FROM (SELECT item_id AS query_id, unnest(string_split(trim(lower(regexp_replace(coalesce(text, ''), '[\s\p{Z}\x{85}]+', ' ', 'g'))), ' ')) AS term FROM benchmark) WHERE term <> '' AND NOT regexp_matches(term, '^[\p{L}\p{N}_]+:\S+$')),
 fq AS (SELECT query_id, term, count(*) / CAST(sum(count(*)) OVER (PARTITION BY query_id) AS DOUBLE) AS weight FROM fw GROUP BY 1, 2)"""
+    text_search = r"""
+qraw AS (SELECT query_id, term, count(*) * any_value(idf) AS w FROM btok JOIN vocab USING (term) GROUP BY 1, 2),
+qv AS (SELECT query_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS q FROM qraw)"""
+    best = """
+sc AS (SELECT query_id, doc_id, round(sum(w * q), 6) AS score FROM every JOIN qv USING (term) GROUP BY 1, 2),
+top AS (SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM sc) WHERE rank <= 10)"""
     rows = f"SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {_values(TEXTS)}) v(doc_id, text)"
     return {
         "normalize_tokens": f"""
@@ -131,6 +137,24 @@ SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id OR
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 sc AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(q.v, e.v), 6) AS score FROM e q, e WHERE q.vec_id % 100 = 0)
 SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM sc) WHERE rank <= 10""",
+        "index_roundtrip": f"WITH {index} SELECT term, cf, df, p FROM coll",
+        "vector_text_search": f"""WITH {index}, {bench}, {_tfidf()}, {text_search}, every AS (SELECT * FROM vec), {best}
+SELECT top.*, d.source, d.lang AS category FROM top JOIN documents d ON CAST(d.doc_id AS VARCHAR) = top.doc_id""",
+        "vector_add_document": f"""WITH {index}, {bench}, {_tfidf()}, {text_search},
+every AS (SELECT * FROM vec UNION ALL SELECT CAST(-query_id - 1 AS VARCHAR), term, q FROM qv), {best}
+SELECT top.*, coalesce(d.source, 'added') AS source, coalesce(d.lang, 'xx') AS category FROM top LEFT JOIN documents d ON CAST(d.doc_id AS VARCHAR) = top.doc_id""",
+        "vector_hits": """
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+sc AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, e.label, round(list_cosine_similarity(q.v, e.v), 6) AS score FROM e q, e WHERE q.vec_id % 100 = 0)
+SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id,
+CASE WHEN label > 4 THEN 'u' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS url, CAST(label AS VARCHAR) AS category FROM sc) WHERE rank <= 10""",
+        "first_filled_text": "SELECT conv_id, turn, coalesce(nullif(CASE WHEN role <> 'user' THEN role END, ''), nullif(text, ''), role) AS first FROM conversations",
+        "seen_url_sessions": """
+SELECT min(page_id) AS page_id, url FROM pages WHERE url <> '' AND url NOT LIKE 'http://%' GROUP BY url
+UNION ALL SELECT page_id, url FROM pages WHERE url IS NULL OR url = ''""",
+        "stream_crawl": "SELECT DISTINCT user_id || '/' || event_type AS url, '2023-11-14T22:13:20' AS scraped_at FROM events",
+        "crawl_traverse": """
+SELECT url, 0 AS depth, CAST(len(regexp_extract_all(any_value(html), '<a[^>]*href="([^"]*)"', 1)) AS INT) AS n_links FROM pages WHERE url <> '' GROUP BY url""",
         "vector_upsert": """
 SELECT coalesce(n.doc_id, o.vec_id) AS doc_id, coalesce(n.label, o.label) AS label, CAST(coalesce(n.first, o.embedding[1]) AS DOUBLE) AS first
 FROM embeddings o FULL JOIN (SELECT vec_id + 100 AS doc_id, label + 10 AS label, embedding[1] AS first FROM embeddings) n ON n.doc_id = o.vec_id""",
@@ -143,6 +167,8 @@ FROM embeddings o FULL JOIN (SELECT vec_id + 100 AS doc_id, label + 10 AS label,
         "stream_dedupe": "SELECT DISTINCT user_id, event_type FROM events",
         "stream_index": f"WITH {index} SELECT (SELECT count(*) FROM info) AS documents, count(*) AS vocabulary, CAST(sum(cf) AS BIGINT) AS tokens FROM coll",
         "html_title": r"SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<h1[^>]*>([^<]*)', 1)), '') AS title FROM pages",
+        "article_title": r"""
+SELECT page_id, nullif(trim(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<h1[^>]*>([^<]*)', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&amp;', '&')), '') AS title FROM pages""",
         "html_links": """
 SELECT page_id, CAST(i - 1 AS INT) AS pos, links[i] AS href FROM (SELECT page_id, links, unnest(range(1, len(links) + 1)) AS i
 FROM (SELECT page_id, regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1) AS links FROM pages))""",

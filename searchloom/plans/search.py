@@ -29,14 +29,13 @@ def search(
     weighed = weights(parsed)
     if feedback:
         weighed = model.expand(weighed, prf_k, prf_terms, prf_alpha)
-    depth = k if not apply_filters else 2**31 - 1
-    hits = model.hydrate(model.retrieve(weighed, depth, category))
-    if not apply_filters:
-        return hits
-    kept = hits.join(parsed.select("query_id", "filters"), "query_id")
-    for name in ("source", "category"):
-        kept = kept.where(F.coalesce(F.try_element_at("filters", F.lit(name)) == F.lower(F.col(name)), F.lit(True)))
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
-    return kept.withColumn("rank", place).where(F.col("rank") <= k).drop("filters")
+
+    def allowed(scores: DataFrame) -> DataFrame:
+        """Candidates whose documents the query's filters name, before the best are chosen."""
+        info = model.index.doc_info.select("doc_id", "source", "category")
+        rows = scores.join(parsed.select("query_id", "filters"), "query_id").join(info, "doc_id")
+        for name in ("source", "category"):
+            rows = rows.where(F.coalesce(F.try_element_at("filters", F.lit(name)) == F.lower(F.col(name)), F.lit(True)))
+        return rows.select(*scores.columns)
+
+    return model.hydrate(model.retrieve(weighed, k, category, allowed if apply_filters else None))

@@ -17,8 +17,12 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where the session leaves it unset (tests, one machine), a folder of our own."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """``spark.checkpoint.dir``; on one machine, where the session leaves it unset, a folder of our own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not found and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return (found or _own_dir()).rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:

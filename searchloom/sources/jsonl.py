@@ -7,9 +7,10 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.detect import sink_category
 from ..operators.index import latest
 from ..schema import CATEGORIES, CRAWL_ITEM, DOCUMENT
 from ..session import ship
@@ -26,32 +27,46 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def scan(spark: SparkSession, directory: str, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
-    """Lines of the JSON-lines files under ``<directory>/<category>``: category, path, line_no, value.
+def raw_lines(spark: SparkSession, directory: str, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
+    """All lines of the JSON-lines files under ``<directory>/<category>``: category, path, block, at, value.
 
-    A missing category has no lines.  Files are read whole, so that lines have
-    their true numbers; blank lines are dropped.
+    Large files are split among tasks.  ``block`` is where in its file a task's
+    split begins, and ``at`` counts on within it, so (path, block, at) is the
+    lines' order.  A missing category has no lines.
     """
-    parts = []
+    out = spark.createDataFrame([], "category string, path string, block long, at long, value string")
     for category in categories:
         folder = f"{directory}/{category}"
         if path_exists(spark, folder):
             # Files of JSON lines in the folder and below it, as the crawl sink writes them.
-            files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*").text(folder, wholetext=True).select(F.lit(category).alias("category"), F.col("_metadata.file_path").alias("path"), "value")
-            lines = files.select("category", "path", F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
-            parts.append(lines.select("category", "path", (F.col("line_no") + 1).alias("line_no"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("value")).where("value <> ''"))
-    out = spark.createDataFrame([], "category string, path string, line_no int, value string")
-    for part in parts:
-        out = out.unionByName(part)
+            files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*").option("lineSep", "\n").text(folder)
+            place = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
+            out = out.unionByName(files.select(F.lit(category).alias("category"), *place, "value"))
     return out
 
 
-def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items, malformed): parsed lines, and those that are no JSON object with their file and line."""
+def filled(lines: DataFrame) -> DataFrame:
+    """Lines without the white space around them, and without blank ones."""
+    return lines.withColumn("value", F.regexp_replace("value", r"^\s+|\s+$", "")).where("value <> ''")
+
+
+def numbered(lines: DataFrame, raw: DataFrame) -> DataFrame:
+    """category, path, line_no, value of some lines: their numbers in their files.
+
+    Counts the lines of every block of ``raw``; a row a block is joined.
+    """
+    blocks = raw.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return lines.join(blocks, ["path", "block"]).select("category", "path", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "value")
+
+
+def parse(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, malformed): parsed lines with their place, and those that are no JSON object with their file and line number."""
     schema = StructType([*CRAWL_ITEM.fields, StructField(_CORRUPT, StringType())])
-    parsed = lines.withColumn("item", F.from_json("value", schema, {"columnNameOfCorruptRecord": _CORRUPT}))
+    parsed = filled(raw).withColumn("item", F.from_json("value", schema, {"columnNameOfCorruptRecord": _CORRUPT}))
     bad = F.col(f"item.{_CORRUPT}").isNotNull() | F.col("item").isNull()
-    return parsed.where(~bad), parsed.where(bad).select("category", "path", "line_no", "value")
+    return parsed.where(~bad), numbered(parsed.where(bad).drop("item"), raw)
 
 
 def python_id(raw: pd.Series) -> pd.Series:
@@ -71,7 +86,7 @@ def canonical(items: DataFrame) -> DataFrame:
     return named.select(
         "id", text(i("url")).alias("url"), text(i("title")).alias("title"), text(i("content")).alias("content"), i("author"), i("date"), i("scraped_at"),
         text(i("source")).alias("source"), F.when(F.size(i("tags")) > 0, i("tags")).otherwise(F.array(F.lit(NO_TAGS))).alias("tags"),
-        "category", text(i("category")).alias("subcategory"), i("brand"), i("os"), i("device_name"), i("article_type"), "path", "line_no",
+        "category", text(i("category")).alias("subcategory"), i("brand"), i("os"), i("device_name"), i("article_type"), "path", "block", "at",
     )
 
 
@@ -88,8 +103,8 @@ class DocumentStore:
     @classmethod
     def load(cls, spark: SparkSession, directory: str, categories: tuple[str, ...] = CATEGORIES) -> DocumentStore:
         """All categories, or some: of equal ids the later category, file and line counts."""
-        items, malformed = parse(scan(spark, directory, categories))
-        docs = latest(canonical(items), "id", [_rank(F.col("category")), F.col("path"), F.col("line_no")])
+        items, malformed = parse(raw_lines(spark, directory, categories))
+        docs = latest(canonical(items), "id", [_rank(F.col("category")), F.col("path"), F.col("block"), F.col("at")])
         return cls(docs.select(*DOCUMENT.names), malformed)
 
     def get(self, id: str) -> DataFrame:
@@ -116,10 +131,6 @@ class DocumentStore:
 
 def append_items(items: DataFrame, directory: str, spider: str, date: Column | None = None) -> None:
     """Appends crawl items under ``<directory>/<category>``, the category by the spider's name."""
+    folder = items.sparkSession.range(1).select(sink_category(F.lit(spider)).alias("c")).first().c
     rows = items.withColumn("spider", F.lit(spider)).withColumn("crawl_date", date if date is not None else F.current_date())
-    rows.write.mode("append").partitionBy("spider", "crawl_date").json(f"{directory}/{sink_name(spider)}", ignoreNullFields=False)
-
-
-def sink_name(spider: str) -> str:
-    """The folder of a spider's items; ``sink_category`` is the same for a column."""
-    return "mobile" if "mobile" in spider or spider == "apple_newsroom" else "pc" if "pc" in spider else "general"
+    rows.write.mode("append").partitionBy("spider", "crawl_date").json(f"{directory}/{folder}", ignoreNullFields=False)

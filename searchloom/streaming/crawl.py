@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators.index import Index, build_index, latest
+from ..operators.index import Index, index_of_tokens, latest, tokenized
 
 
 def stamped(items: DataFrame, now: Column | None = None) -> DataFrame:
@@ -36,6 +38,29 @@ def not_in(items: DataFrame, seen: DataFrame, key: str = "url") -> DataFrame:
     return items.join(log, key, "left_anti").select(*items.columns)
 
 
+def remember(items: DataFrame, log: str, key: str = "url") -> None:
+    """Adds a session's keys to the log of seen ones, at its end."""
+    items.where(F.coalesce(F.col(key), F.lit("")) != "").select(F.col(key).cast("string").alias(key)).distinct().write.mode("append").parquet(log)
+
+
+def remembered(spark: SparkSession, log: str, key: str = "url") -> DataFrame:
+    """The keys of all earlier sessions; a log that isn't there is empty."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(log)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], f"`{key}` string")
+    return spark.read.schema(f"`{key}` string").parquet(log)
+
+
+def session(items: DataFrame, log: str, key: str = "url") -> DataFrame:
+    """What is new of a batch of items: each key once, none that an earlier session logged; writes the log before it returns."""
+    spark = items.sparkSession
+    path = f"{log.rstrip('/')}-items/{uuid.uuid4().hex}"
+    not_in(unseen(items, [key]), remembered(spark, log, key), key).write.parquet(path)
+    new = spark.read.schema(items.schema).parquet(path)
+    remember(new, log, key)
+    return new
+
+
 def append(items: DataFrame, path: str, checkpoint: str, format: str = "json", partition_by: tuple[str, ...] = (), available_now: bool = True) -> StreamingQuery:
     """Appends a stream to files; the checkpoint makes restarts exact."""
     writer = items.writeStream.format(format).outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
@@ -67,23 +92,54 @@ def upsert_each_batch(items: DataFrame, base: str, checkpoint: str, key: str = "
     return items.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def upsert_deltas(items: DataFrame, base: str, checkpoint: str, key: str = "doc_id") -> StreamingQuery:
+    """Upserts that rewrite nothing: each micro-batch adds its own rows; ``load_deltas`` reads the last row of every key."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        latest(batch, key, [F.col(c) for c in batch.columns if c != key]).write.mode("overwrite").parquet(f"{base}/generation={number}")
+
+    return items.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def load_deltas(spark: SparkSession, base: str, key: str = "doc_id") -> DataFrame:
+    """The table that all deltas make; only keys and generations are shuffled to find each key's last."""
+    rows = spark.read.parquet(base)
+    last = rows.groupBy(key).agg(F.max("generation").alias("generation"))
+    return rows.join(last, [key, "generation"], "left_semi").drop("generation")
+
+
+def compact_deltas(spark: SparkSession, base: str, out: str, key: str = "doc_id") -> None:
+    """Writes the table that all deltas make as the only generation of ``out``."""
+    load_deltas(spark, base, key).write.parquet(f"{out}/generation=0")
+
+
 def index_each_batch(docs: DataFrame, base: str, checkpoint: str, language: str = "spanish") -> StreamingQuery:
     """Adds each micro-batch's documents to an index as one more generation; ``load_generations`` reads them all.
 
-    Documents are expected once each (put ``unseen`` before); counts of terms
-    and lengths only add up, so nothing that exists is rewritten.
+    Nothing that exists is rewritten.  A document that comes again counts from
+    its last generation alone: of every generation the ids are kept too, those
+    of documents without a token included.
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        index = build_index(batch, language)
-        index.postings.write.mode("overwrite").parquet(f"{base}/postings/generation={number}")
-        index.doc_info.write.mode("overwrite").parquet(f"{base}/doc_info/generation={number}")
+        # The last of a batch's documents of one id, by title and content.
+        words = latest(tokenized(batch, language), "doc_id", [F.col("title"), F.col("content")])
+        index = index_of_tokens(words)
+        for name, table in (("postings", index.postings), ("doc_info", index.doc_info), ("ids", words.select("doc_id"))):
+            table.write.mode("overwrite").parquet(f"{base}/{name}/generation={number}")
 
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def load_generations(spark: SparkSession, base: str) -> Index:
-    return Index(spark.read.parquet(f"{base}/postings").drop("generation"), spark.read.parquet(f"{base}/doc_info").drop("generation"))
+    """The index of all generations, each document as it came last."""
+    last = spark.read.parquet(f"{base}/ids").groupBy("doc_id").agg(F.max("generation").alias("generation"))
+
+    def current(name: str) -> DataFrame:
+        rows = spark.read.parquet(f"{base}/{name}")
+        return rows.join(last, ["doc_id", "generation"], "left_semi").select(*(c for c in rows.columns if c != "generation"))
+
+    return Index(current("postings"), current("doc_info"))
 
 
 def read_stream(spark: SparkSession, table: str, files_per_trigger: int = 1000) -> DataFrame:

@@ -7,9 +7,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from searchloom.functions.queries import process, weights
 from searchloom.operators.index import Index, build_index, latest, merge_index
 from searchloom.operators.language_model import LanguageModel
-from searchloom.operators.tfidf import TfIdf
+from searchloom.operators.tfidf import TextCollection, TfIdf
 from searchloom.operators.vectors import VectorTable, scalar_columns
 from searchloom.plans.search import search
 from searchloom.schema import DOCUMENT
@@ -171,3 +172,46 @@ def test_plans_push_down(spark, sf_dir):
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,fr)]" in plan and "text" not in plan.split("ReadSchema")[1]
     postings = catalogue.postings_tf(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in postings and postings.count("Exchange") == 1 and "INSET" in postings
+
+
+def test_vectors_of_odd_kinds(spark):
+    """Other lengths, nulls and non-finite components take no part; a zero vector's cosine is 0."""
+    rows = [(1, [1.0, 0.0]), (2, [1.0]), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [0.0, 0.0]), (6, [1.0, 1.0]), (7, []), (8, [float("inf"), 0.0]), (9, [1.0, 2.0, 3.0])]
+    table = VectorTable(spark.createDataFrame(rows, "doc_id long, embedding array<double>"))
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0]), (3, None), (4, [None, 1.0])], "query_id long, embedding array<double>")
+    found = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in table.search(asked).collect())
+    assert found == [(1, 1, 1, 1.0), (1, 2, 6, 0.707107), (1, 3, 5, 0.0), (2, 1, 2, 1.0)]
+    many = spark.range(5000).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    assert table.search(many, 1).where("doc_id = 1").count() == 5000
+
+
+def test_text_collection(spark, corpus, tmp_path):
+    docs = documents(spark, corpus)
+    model = TfIdf.fit(build_index(docs), docs)
+    empty = TextCollection.open(spark, str(tmp_path / "none"))
+    assert empty.stats().first().documents == 0
+    asked = spark.createDataFrame([(7, corpus[0])], "query_id long, query string")
+    for use in (lambda: empty.search(asked), lambda: empty.add(docs)):
+        with pytest.raises(RuntimeError):
+            use()
+    store = TextCollection.setup(model, docs.select(F.col("id").alias("doc_id"), "title", "source"))
+    hit = store.search(asked, 1).first()
+    assert (hit.doc_id, round(hit.score, 6)) == ("0", 1.0)
+    new = documents(spark, {0: corpus[1], 900: corpus[0]}, source="new")
+    store.add(new).save(str(tmp_path / "some"))
+    back = TextCollection.open(spark, str(tmp_path / "some"))
+    hit = back.search(asked, 1).first()
+    assert (hit.doc_id, hit.source, round(hit.score, 6)) == ("900", "new", 1.0) and back.stats().first().documents == len(corpus) + 1
+    assert "content" not in back.metadata.columns and "tags" not in back.metadata.columns
+    with pytest.raises(ValueError, match="no documents"):
+        TfIdf.fit(build_index(docs.limit(0)), docs.limit(0))
+
+
+def test_filters_before_the_best_are_chosen(spark, corpus):
+    docs = documents(spark, corpus).unionByName(documents(spark, {i + 500: t for i, t in corpus.items()}, category="pc", source="other"))
+    model = LanguageModel.fit(build_index(docs))
+    asked = spark.createDataFrame([(1, corpus[0] + " source:other"), (2, corpus[0])], "query_id long, query string")
+    found = search(model, asked, 3, feedback=False, apply_filters=True).collect()
+    assert {r.source for r in found if r.query_id == 1} == {"other"} and sum(r.query_id == 1 for r in found) == 3 and sum(r.query_id == 2 for r in found) == 3
+    plan = model.scores(weights(process(asked)), "pc")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan

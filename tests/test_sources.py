@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from searchloom import cli
-from searchloom.sources import html
+from searchloom.sources import html, pages as sources
 from searchloom.sources.jsonl import DocumentStore, append_items
 from searchloom.streaming import crawl
 
@@ -106,3 +106,67 @@ def test_cli(spark, data, tmp_path, capsys):
     assert cli.index(spark, data, index) == 0 and cli.build(spark, index, model) == 0
     assert cli.query(spark, model, lines=["", "perro", "quit", "gato"]) == 0
     assert "Dos" in capsys.readouterr().out
+
+
+def test_stream_deltas(spark, tmp_path):
+    source = str(tmp_path / "in")
+    for i in range(3):
+        spark.createDataFrame([(1, f"v{i}"), (10 + i, "x")], "doc_id long, x string").coalesce(1).write.mode("append").parquet(source)
+    crawl.upsert_deltas(crawl.read_stream(spark, source, 1), str(tmp_path / "table"), str(tmp_path / "check")).awaitTermination()
+    assert len(list((tmp_path / "table").glob("generation=*"))) == 3
+    found = {r.doc_id: r.x for r in crawl.load_deltas(spark, str(tmp_path / "table")).collect()}
+    assert set(found) == {1, 10, 11, 12}
+    crawl.compact_deltas(spark, str(tmp_path / "table"), str(tmp_path / "compact"))
+    assert {r.doc_id: r.x for r in crawl.load_deltas(spark, str(tmp_path / "compact")).collect()} == found
+
+
+def test_stream_index_counts_a_document_once(spark, tmp_path):
+    """A document that comes again counts as it came last, even without a token."""
+    source, rows = str(tmp_path / "in"), [[("1", "gato gato"), ("2", "perro")], [("1", "gato"), ("2", "")]]
+    schema = "id string, content string"
+    for batch in rows:
+        docs = spark.createDataFrame(batch, schema).select("id", *(F.lit("").alias(c) for c in ("url", "title")), "content", *(F.lit("x").alias(c) for c in ("source", "date", "category")), F.array(F.lit("t")).alias("tags"))
+        stream = docs.coalesce(1)
+        stream.write.mode("append").parquet(source)
+        crawl.index_each_batch(crawl.read_stream(spark, source, 1), str(tmp_path / "index"), str(tmp_path / "check")).awaitTermination()
+    index = crawl.load_generations(spark, str(tmp_path / "index"))
+    assert [tuple(r) for r in index.postings.collect()] == [("gato", "1", 1)] and [r.doc_id for r in index.doc_info.collect()] == ["1"]
+
+
+def test_seen_log(spark, tmp_path):
+    log = str(tmp_path / "log")
+    first = crawl.session(spark.createDataFrame([("a", 1), ("a", 1), ("", 2), (None, 3)], "url string, n int"), log)
+    assert sorted((r.url or "", r.n) for r in first.collect()) == [("", 2), ("", 3), ("a", 1)]
+    second = crawl.session(spark.createDataFrame([("a", 4), ("b", 5)], "url string, n int"), log)
+    assert [tuple(r) for r in second.collect()] == [("b", 5)]
+    assert sorted(r.url for r in crawl.remembered(spark, log).collect()) == ["a", "b"]
+
+
+def test_traverse(spark):
+    """Listing, articles and next page; a page is fetched once, and a missing one is left out."""
+    link = lambda *urls: "".join(f'<div class="abstract-title"><a href="{u}">x</a></div>' for u in urls)
+    pages = [
+        ("https://x.org/tag/a", link("/1", "two", "https://x.org/1#top", "mailto:a@b") + '<a class="btn-next" href="?p=2">n</a>'),
+        ("https://x.org/1", "<h1>One</h1>" + link("/tag/a")), ("https://x.org/tag/two", "<h1>Two</h1>"), ("https://x.org/tag/?p=2", link("//y.org/3", "/gone")), ("https://y.org/3", "<h1>Three</h1>"),
+        ("https://x.org/unlinked", ""),
+    ]
+    table = spark.createDataFrame(pages, "url string, html string")
+    seeds = spark.createDataFrame([("https://x.org/tag/a",), ("https://x.org/tag/a",), (None,)], "url string")
+    found = {r.url: (r.depth, r.title) for r in sources.traverse(seeds, sources.from_table(table)).collect()}
+    assert found == {"https://x.org/tag/a": (0, None), "https://x.org/1": (1, "One"), "https://x.org/tag/two": (1, "Two"), "https://x.org/tag/?p=2": (1, None), "https://y.org/3": (2, "Three")}
+    assert sources.traverse(seeds.limit(0), sources.from_table(table)).count() == 0
+
+
+def test_large_files_are_split(spark, tmp_path):
+    """Lines keep their order and numbers over a file's splits."""
+    (tmp_path / "pc").mkdir()
+    lines = [json.dumps({"url": f"u{i % 50}", "title": str(i), "content": "x" * 200}) if i % 97 else "broken" for i in range(2000)]
+    (tmp_path / "pc" / "a.jsonl").write_text("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        store = DocumentStore.load(spark, str(tmp_path))
+        assert {r.id: r.title for r in store.documents.collect()} == {f"u{i % 50}": str(i) for i in range(2000) if i % 97}
+        assert sorted(r.line_no for r in store.malformed.collect()) == [i + 1 for i in range(0, 2000, 97)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
