@@ -5,13 +5,16 @@ order, one archive a task: a gzip member for every record, so any record can be
 read by its range.  The same task writes the index beside the archive:
 
 * blocks: ``BLOCK`` lines "key <tab> archive offset, length, ..." compressed;
-* directory: a row a block with its first and last key and where it lies.
+* directory: a row a block with its first and last key and where it lies.  For
+  lookups one task writes it sorted to a file with an offset for every row.
 
-A lookup binary-searches the directory's sorted keys, file by file, for a key.
-Executors decompress the blocks that can hold it, binary-search their lines and
-read the records' ranges, so a key of many blocks doesn't pass through the
-driver.  As archives have the index's order, a block's records are neighbours.
-op1 asks for every record and so reads all blocks without a search.
+The same key deals rows out and is indexed, so blocks follow each other in the
+order of keys.  A lookup binary-searches the directory file by range reads for
+the blocks that can hold its key, on executors; a second exchange deals these
+blocks out, and their tasks decompress them, binary-search their lines and read
+the records' ranges.  So neither the directory nor a key of many blocks passes
+through the driver.  As archives have the index's order, a block's records are
+neighbours.  op1 asks for every record and so reads all blocks without a search.
 
 Records with equal payloads of at least ``REVISIT_BYTES`` are stored once: the
 one with the largest page_id is the response, the others are revisits of it.
@@ -28,8 +31,11 @@ import base64
 import bisect
 import hashlib
 import json
+import re
+import struct
 import zlib
-from urllib.parse import urlsplit
+from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -43,25 +49,26 @@ _DATE = "2000-01-01T00:00:00Z"
 _SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def url_key(url: str | None) -> str:
-    """Reversed host, then the rest: com,example)/path?query."""
-    if not url:
-        return ""
-    try:
-        parts = urlsplit(url)
-        host = (parts.hostname or "").rstrip(".")
-    except ValueError:
-        return url
-    port = parts.netloc.rpartition(":")[2] if parts.netloc.rpartition(":")[2].isdigit() else ""
-    rest = (parts.path or "/") + ("?" + parts.query if parts.query else "")
-    return ",".join(reversed(host.split("."))) + (f":{port}" if port and port not in ("80", "443") else "") + ")" + rest
+#: Host, port, and path with query of a URL, in Java's and Python's syntax.
+_URL = r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[\]]*)(?::([0-9]*))?((?:[/?][^#]*)?)(?:#.*)?$"
+_DEFAULT_PORTS = ("", "80", "443")
 
 
 def url_key_column(url: Column) -> Column:
-    """The same key's order in built-in functions, to deal rows out by: reversed host and rest."""
-    host = F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    rest = F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(.*)$", 1), F.lit(""))
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest)
+    """Reversed host, then the rest: com,example)/path?query; what is no URL is its own key."""
+    host, port, rest = (F.regexp_extract(url, _URL, i) for i in (1, 2, 3))
+    host = F.array_join(F.reverse(F.split(F.regexp_replace(F.lower(host), r"\.+$", ""), r"\.")), ",")
+    port = F.when(port.isin(*_DEFAULT_PORTS), "").otherwise(F.concat(F.lit(":"), port))
+    key = F.concat(host, port, F.lit(")"), F.when(rest.startswith("/"), "").otherwise("/"), rest)
+    return F.when(F.coalesce(url, F.lit("")) == "", "").when(url.rlike(_URL), key).otherwise(url)
+
+
+def url_key(url: str | None) -> str:
+    """``url_key_column`` of one URL."""
+    if not url or not (m := re.match(_URL, url)):
+        return url or ""
+    host, port, rest = m[1].lower().rstrip("."), m[2] or "", m[3]
+    return ",".join(reversed(host.split("."))) + ("" if port in _DEFAULT_PORTS else ":" + port) + ")" + ("" if rest.startswith("/") else "/") + rest
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -118,8 +125,8 @@ def write_archives(pages: DataFrame) -> DataFrame:
     # A note on each revisit goes the way of its page and lies just before it, so the payloads move once.
     notes = revisits(hashed.drop("html")).select("page_id", "url", "digest", "refers_to", F.lit(None).cast("string").alias("html"))
     rows = notes.unionByName(hashed.select("page_id", "url", "digest", F.lit(None).cast("long").alias("refers_to"), "html"))
-    order = [url_key_column(F.col("url")), F.col("page_id"), F.col("digest")]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, F.col("html").isNotNull())
+    order = ["key", "page_id", "digest"]
+    ordered = rows.withColumn("key", url_key_column(F.col("url"))).repartitionByRange(*order).sortWithinPartitions(*order, F.col("html").isNotNull())
 
     def write(batches):
         lines: list[tuple[str, str]] = []
@@ -128,7 +135,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
             offset, note = 0, None
             for batch in batches:
                 for first in range(0, batch.num_rows, 500):
-                    for page, url, digest, refers, html in zip(*(c.to_pylist() for c in batch.slice(first, 500).columns), strict=True):
+                    for page, url, digest, refers, html, key in zip(*(c.to_pylist() for c in batch.slice(first, 500).columns), strict=True):
                         if html is None:
                             note = (page, digest, refers)
                             continue
@@ -137,7 +144,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
                         z = zlib.compressobj(4, zlib.DEFLATED, 31)
                         packed = z.compress(raw) + z.flush()
                         line = json.dumps({"url": url, "digest": digest, "offset": offset, "length": len(packed)}, ensure_ascii=True)
-                        lines.append((url_key(url), line))
+                        lines.append((key, line))
                         offset += len(packed)
                         yield packed
 
@@ -208,43 +215,80 @@ def read_archives(directory: DataFrame) -> DataFrame:
     return directory.select("file", "start", "length").repartition(n).mapInArrow(read, _SCHEMA)
 
 
-def _sorted_keys(directory: DataFrame) -> list[tuple[list[str], list[str], list[tuple[str, int, int]]]]:
-    """The directory as sorted arrays, those of each file of blocks: first keys, last keys, where the blocks lie.
+class SortedDirectory:
+    """A directory file: rows of (first key, last key, file, start, length) in order, any of which a range read finds.
 
-    Files may hold overlapping ranges of keys, a file's blocks are in order.  A
-    row stands for BLOCK records, so the driver reads the directory once and
-    keeps it.
+    Layout: rows as JSON lines | a uint64 offset of each row, and of their end | their number.
     """
-    if getattr(directory, "_sorted_keys", None) is None:
-        files: dict[str, list] = {}
-        for r in directory.toLocalIterator():
-            files.setdefault(r.file, []).append((r.start, r.length, r.first_key, r.last_key))
-        arrays = []
-        for file, rows in sorted(files.items()):
-            rows.sort()  # by place, which is the order of the keys
-            arrays.append(([x[2] for x in rows], [x[3] for x in rows], [(file, *x[:2]) for x in rows]))
-        directory._sorted_keys = arrays
-    return directory._sorted_keys
+
+    def __init__(self, path: str):
+        self.file = Reader(path)
+        self.n = int.from_bytes(self.file.read(self.file.size - 8, 8), "little")
+        self.offsets = self.file.size - 8 - 8 * (self.n + 1)
+        self._row = lru_cache(maxsize=4096)(self._read)
+
+    @staticmethod
+    def chunks(rows) -> Iterator[bytes]:
+        offsets = [0]
+        for row in rows:
+            line = json.dumps(row).encode()
+            offsets.append(offsets[-1] + len(line))
+            yield line
+        yield struct.pack(f"<{len(offsets) + 1}Q", *offsets, len(offsets) - 1)
+
+    def _read(self, i: int) -> list:
+        start, end = struct.unpack("<2Q", self.file.read(self.offsets + 8 * i, 16))
+        return json.loads(self.file.read(start, end - start))
+
+    def blocks(self, key: str) -> Iterator[tuple[str, int, int]]:
+        """(file, start, length) of the blocks that can hold ``key``: the first by binary search, then its neighbours."""
+        i = bisect.bisect_left(range(self.n), key, key=lambda j: self._row(j)[1])
+        while i < self.n and (row := self._row(i))[0] <= key:
+            yield tuple(row[2:])
+            i += 1
+
+
+def sorted_directory(directory: DataFrame) -> str:
+    """The path of the directory's file, which one task writes once (a row stands for BLOCK records)."""
+    if getattr(directory, "_sorted_at", None) is None:
+        folder = fresh_dir(directory.sparkSession, "warc-sorted")
+
+        def write(batches):
+            rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            yield pa.RecordBatch.from_pydict({"path": [write_new(folder, ".directory", SortedDirectory.chunks(rows))]})
+
+        columns = ["first_key", "last_key", "file", "start", "length"]
+        ordered = directory.select(*columns).repartition(1).sortWithinPartitions(*columns)
+        directory._sorted_at = save(ordered.mapInArrow(write, "path string"), "warc-sorted-path").first().path
+    return directory._sorted_at
 
 
 def blocks_of(directory: DataFrame, key: str) -> list[tuple[str, int, int]]:
-    """(file, start, length) of the blocks that can hold ``key``, bisected in the sorted directory."""
-    found = []
-    for first, last, where in _sorted_keys(directory):
-        found += where[bisect.bisect_left(last, key) : bisect.bisect_right(first, key)]
-    return found
+    """(file, start, length) of the blocks that can hold ``key``."""
+    return list(SortedDirectory(sorted_directory(directory)).blocks(key))
 
 
-def read_url(directory: DataFrame, url: str | None) -> DataFrame:
-    """The records of one URL (null: those without), read by range on the executors, a task for some of its blocks."""
-    key, spark = url_key(url), directory.sparkSession
+def read_urls(directory: DataFrame, urls: DataFrame) -> DataFrame:
+    """The records of a table (url) of URLs (null: the records without one), each URL's once however often it is asked for."""
+    path = sorted_directory(directory)
+    n = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def search(batches):
+        known = SortedDirectory(path)
+        for batch in batches:
+            out = [(*block, key, url) for url, key in zip(*(c.to_pylist() for c in batch.columns), strict=True) for block in known.blocks(key)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["file", "start", "length", "key", "url"])
 
     def read(batches):
+        last, archive, lines = None, "", []
         for batch in batches:
-            for path, start, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with Reader(path) as blocks:
-                    archive, lines = _block(blocks.read(start, length))
-                out = []
+            out = []
+            for path, start, length, key, url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last != (path, start):
+                    with Reader(path) as blocks:
+                        archive, lines = _block(blocks.read(start, length))
+                    last = path, start
                 i = bisect.bisect_left(lines, key, key=lambda line: line.partition("\t")[0])
                 with Reader(archive) as file:
                     while i < len(lines) and lines[i].startswith(key + "\t"):
@@ -252,12 +296,20 @@ def read_url(directory: DataFrame, url: str | None) -> DataFrame:
                         i += 1
                         if entry["url"] == url:
                             out.append(_result(file.read(entry["offset"], entry["length"]), entry))
-                if out:
-                    yield _rows(out)
+                        if len(out) >= 500:
+                            yield _rows(out)
+                            out = []
+            if out:
+                yield _rows(out)
+
+    asked = urls.select("url").distinct().withColumn("key", url_key_column(F.col("url"))).sortWithinPartitions("key")
+    found = asked.mapInArrow(search, "file string, start long, length long, key string, url string")
+    return found.repartition(n, "file", "start").sortWithinPartitions("file", "start", "key").mapInArrow(read, _SCHEMA)
 
-    found = blocks_of(directory, key)
-    n = max(1, min(len(found), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return spark.createDataFrame(found, "file string, start long, length long").repartition(n).mapInArrow(read, _SCHEMA)
+
+def read_url(directory: DataFrame, url: str | None) -> DataFrame:
+    """The records of one URL (null: those without)."""
+    return read_urls(directory, directory.sparkSession.createDataFrame([(url,)], "url string"))
 
 
 def lookup(directory: DataFrame, url: str | None) -> list[tuple]:
@@ -271,6 +323,15 @@ def op1_warc(spark, sf_dir: str) -> DataFrame:
     return read_archives(directory).drop("url")
 
 
+@batched
+def warc_lookup(spark, sf_dir: str) -> DataFrame:
+    """Every page looked up by its URL: directory, block, record."""
+    pages = read_table(spark, sf_dir, "pages")
+    return read_urls(write_archives(pages), pages).select("page_id", "url", "payload_digest")
+
+
+LOOKUP_SQL = "SELECT page_id, url, sha1(encode(coalesce(html, ''))) AS payload_digest FROM pages"
+
 OP1_SQL = f"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest FROM p),
