@@ -2,15 +2,17 @@
 
 Every id takes the fewest bits that hold the vocabulary.  A shard is
 
-    header (struct ``HEADER``) | blocks | block offsets | document starts | document ids | id present
+    blocks | block offsets | document starts | document ids | id present | footer (struct ``FOOTER``)
 
 Blocks hold ``BLOCK`` ids each (the last may hold fewer), padded to whole bytes;
 their byte offsets, and the documents' starts in ids, are uint64 arrays, so any
-span of ids is one range read and one vectorised unpacking.
+span of ids is one range read and one vectorised unpacking.  Blocks are written
+as they fill; a task holds one block and the tables, 25 bytes a document.
 
-Documents are dealt out by ranges of doc_id and sorted in each, one shard a
-task; only the shards' id counts (a row a shard) reach the driver, which turns
-them into the shards' first positions.
+Documents are dealt out by ranges of doc_id (and of their texts' beginnings, so
+that one id's many rows are spread) and sorted in each, one shard a task; only
+the shards' id counts (a row a shard) reach the driver, which turns them into the
+shards' first positions.
 
 Defined cases: null and empty texts are the end id alone; a null doc_id sorts
 first and stays null; rows with one doc_id keep an order by text; an empty table
@@ -21,7 +23,9 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,9 @@ from .files import Reader, write_new
 
 MAGIC = b"SLTOKEN1"
 #: magic, bits an id, ids a block, ids, blocks, documents
-HEADER = struct.Struct("<8sIIQQQ")
+FOOTER = struct.Struct("<8sIIQQQ")
+#: Characters of a text that deal out rows of one id.
+BEGINNING = 64
 BLOCK = 4096
 
 
@@ -62,18 +68,25 @@ def unpack(data: bytes, bits: int, skip: int, count: int) -> np.ndarray:
 
 
 class ShardWriter:
-    """Collects the documents of one shard, packing block by block."""
+    """The bytes of one shard, as its documents come."""
 
     def __init__(self, bits: int):
-        self.bits, self.total = bits, 0
-        self.blocks: list[bytes] = []
+        self.bits, self.total, self.written = bits, 0, 0
         self.rest: list[np.ndarray] = []
         self.held = 0
-        self.starts: list[int] = []
-        self.doc_ids: list[int | None] = []
-
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.doc_ids.append(doc_id)
+        self.offsets, self.starts, self.doc_ids, self.present = array("Q"), array("Q"), array("q"), array("B")
+
+    def _blocks(self, ids: np.ndarray) -> Iterator[bytes]:
+        for i in range(0, len(ids), BLOCK):
+            block = pack(ids[i : i + BLOCK], self.bits)
+            self.offsets.append(self.written)
+            self.written += len(block)
+            yield block
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> Iterator[bytes]:
+        """Takes a document; the blocks that are full now."""
+        self.doc_ids.append(doc_id or 0)
+        self.present.append(doc_id is not None)
         self.starts.append(self.total)
         self.total += len(ids)
         self.rest.append(ids)
@@ -81,22 +94,15 @@ class ShardWriter:
         if self.held >= 16 * BLOCK:
             some = np.concatenate(self.rest)
             full = len(some) // BLOCK * BLOCK
-            for i in range(0, full, BLOCK):
-                self.blocks.append(pack(some[i : i + BLOCK], self.bits))
             self.rest, self.held = [some[full:]], len(some) - full
+            yield from self._blocks(some[:full])
 
-    def chunks(self) -> Iterator[bytes]:
-        some = np.concatenate(self.rest) if self.rest else np.zeros(0, np.uint32)
-        for i in range(0, len(some), BLOCK):
-            self.blocks.append(pack(some[i : i + BLOCK], self.bits))
-        self.rest, self.held = [], 0
-        yield HEADER.pack(MAGIC, self.bits, BLOCK, self.total, len(self.blocks), len(self.doc_ids))
-        yield from self.blocks
-        sizes = np.array([len(b) for b in self.blocks], np.uint64)
-        yield (HEADER.size + np.cumsum(sizes) - sizes).astype("<u8").tobytes()
-        yield np.array(self.starts, "<u8").tobytes()
-        yield np.array([d or 0 for d in self.doc_ids], "<i8").tobytes()
-        yield np.array([d is not None for d in self.doc_ids], np.uint8).tobytes()
+    def end(self) -> Iterator[bytes]:
+        """The last block, the tables and the footer."""
+        yield from self._blocks(np.concatenate(self.rest) if self.rest else np.zeros(0, np.uint32))
+        for table, kind in ((self.offsets, "<u8"), (self.starts, "<u8"), (self.doc_ids, "<i8"), (self.present, "u1")):
+            yield np.array(table, kind).tobytes()
+        yield FOOTER.pack(MAGIC, self.bits, BLOCK, self.total, len(self.offsets), len(self.starts))
 
 
 class ShardReader:
@@ -104,11 +110,11 @@ class ShardReader:
 
     def __init__(self, path: str):
         self.file = Reader(path)
-        magic, self.bits, self.block, self.total, blocks, docs = HEADER.unpack(self.file.read(0, HEADER.size))
+        magic, self.bits, self.block, self.total, blocks, docs = FOOTER.unpack(self.file.read(self.file.size - FOOTER.size, FOOTER.size))
         if magic != MAGIC:
             raise ValueError(f"{path} is no token shard")
         tail = blocks * 8 + docs * 17
-        self.end = self.file.size - tail
+        self.end = self.file.size - FOOTER.size - tail
         raw = self.file.read(self.end, tail)
         self.offsets = np.append(np.frombuffer(raw, "<u8", blocks), np.uint64(self.end)).astype(np.int64)
         self.starts = np.append(np.frombuffer(raw, "<u8", docs, blocks * 8), np.uint64(self.total)).astype(np.int64)
@@ -150,18 +156,24 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text
         enc = encoder(tokenizer)
         writer = ShardWriter(bits_for(max(enc.vocab_size, end_id + 1)))
         end = np.array([end_id], "<u4")
-        for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                some = batch.slice(first, 256)
-                ids, at = enc.encode(some.column(1).to_pylist())
-                for i, d in enumerate(some.column(0).to_pylist()):
-                    writer.add(d, np.concatenate((ids[at[i] : at[i + 1]], end)))
-        if writer.doc_ids:
-            n_docs, n_ids = len(writer.doc_ids), writer.total
-            path = write_new(folder, ".tok", writer.chunks())
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int64()), "file": [path], "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
-
-    ordered = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).repartitionByRange(F.col("d").asc_nulls_first()).sortWithinPartitions(F.col("d").asc_nulls_first(), "t")
+
+        def chunks():
+            for batch in batches:
+                for first in range(0, batch.num_rows, 256):
+                    some = batch.slice(first, 256)
+                    ids, at = enc.encode(some.column(1).to_pylist())
+                    for i, d in enumerate(some.column(0).to_pylist()):
+                        yield from writer.add(d, np.concatenate((ids[at[i] : at[i + 1]], end)))
+            yield from writer.end()
+
+        head = next((b for b in batches if b.num_rows), None)
+        if head is not None:
+            batches = chain((head,), batches)
+            path = write_new(folder, ".tok", chunks())
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int64()), "file": [path], "n_docs": pa.array([len(writer.starts)], pa.int64()), "n_ids": pa.array([writer.total], pa.int64())})
+
+    typed = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
+    ordered = typed.repartitionByRange(F.col("d").asc_nulls_first(), F.substring("t", 1, BEGINNING).asc_nulls_first()).sortWithinPartitions(F.col("d").asc_nulls_first(), "t")
     manifest = save(ordered.mapInArrow(shards, "shard long, file string, n_docs long, n_ids long"), "token-manifest")
     total, bases = 0, []
     for r in manifest.select("shard", "n_ids").orderBy("shard").collect():  # a row a shard
