@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_packing": packing.op10_packing,
+        "warc_lookup": warc.warc_lookup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL, "op8_line_dedup": line_dedup.OP8_SQL}
+    return {"op1_warc": warc.OP1_SQL, "warc_lookup": warc.LOOKUP_SQL, "op6_chat": chat.OP6_SQL, "op8_line_dedup": line_dedup.OP8_SQL}
