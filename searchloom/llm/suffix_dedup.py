@@ -163,7 +163,8 @@ def _read_shard(path: str) -> tuple[pa.Table, np.ndarray, np.ndarray]:
 
 def _read_anchors(path: str, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     raw = _read(path)
-    return np.frombuffer(raw, np.uint64, n), *(np.frombuffer(raw, np.uint32, n, (8 + 4 * i) * n).astype(np.int64) for i in range(3))
+    # Least hashes are small ones; mixed again they are even over the parts' ranges.
+    return mix(np.frombuffer(raw, np.uint64, n)), *(np.frombuffer(raw, np.uint32, n, (8 + 4 * i) * n).astype(np.int64) for i in range(3))
 
 
 def _grouped(batches, key: int = 0) -> Iterator[list[tuple]]:
