@@ -40,7 +40,7 @@ MAGIC = b"SLTOKEN1"
 #: magic, bits an id, ids a block, ids, blocks, documents
 FOOTER = struct.Struct("<8sIIQQQ")
 #: Characters of a text that deal out rows of one id.
-BEGINNING = 64
+BEGINNING = 8
 BLOCK = 4096
 
 
