@@ -44,7 +44,7 @@ from .common import batched, fresh_dir, read_table, save
 from .files import Reader, write_new
 from .textbytes import mix
 
-DIMENSIONS, CONFIDENCE, SHARD, QUERIES, LEAF, SEED, SAMPLE = 16, 0.9, 8_192, 2_000, 64, 7, 50_000
+DIMENSIONS, CONFIDENCE, SHARD, QUERIES, LEAF, SEED, SAMPLE = 24, 0.8, 8_192, 2_000, 64, 7, 50_000
 
 
 def chi_square(x: float, degrees: int) -> float:
