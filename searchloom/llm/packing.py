@@ -10,14 +10,17 @@ target proportions to within a token or so for each source.
 Groups of ``SPAN`` sequences are packed in parallel.  Which tokens of each queue a
 group gets, and the deficits handed over from group to group, follow from the
 queues' sizes by arithmetic (``Plan``); within a group the round-robin runs over
-its sequences.  Only the sources' sizes, a row a source, reach the driver.
+its sequences.  Only the sources' sizes, a row a source, reach the driver.  Ids
+are written to files where they are made, and read by range where they are
+packed; what is shuffled is a row a piece of a document.
 
 The last tokens, fewer than ``length``, fill sequences whose lengths are powers
 of two, which need no padding.  So no sequence is padded at all.
 
 Defined cases: null and empty texts are the end id alone; a null source is a
-queue of its own; rows of one doc_id are packed apart; an empty table
-gives no rows; a source of any size is spread over all groups.
+queue of its own; rows of one doc_id are packed apart; an empty table gives no
+rows; a source of any size is spread over all groups; pieces carry doc_id and
+source, and no other column of the input.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +36,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import encoder, forget
-from .common import batched, read_table, save
+from .common import batched, fresh_dir, read_table, save
+from .files import Reader, write_new
 
 LENGTH = 2048
 #: Sequences packed by one group: 512 x 2048 tokens are 4 MB.
 SPAN = 512
+#: Tokens of a task that are written at once.
+FLUSH = 4_000_000
 
 
 def round_robin(credit: np.ndarray, left: np.ndarray, slots: int) -> np.ndarray:
@@ -76,22 +83,26 @@ class Plan:
 
     A phase is a stretch in which the target proportions stay the same: one
     phase if they are the queues' own, else one more whenever a queue runs dry.
-    After ``x`` tokens of a phase of ``total`` tokens, queue s has sent
-    ``floor(size_s * x / total)`` and the largest queue the rest: what the
-    round-robin over groups has sent, with ``size_s * x / total`` minus that as
-    the deficit that it hands to the next group.
+    The first x tokens of a phase are split down a balanced tree over the queues:
+    of a node's x tokens the left half gets its share, rounded, and the right
+    half the rest.  One token more adds one token to one queue, so no queue ever
+    sends fewer for a larger x, and each is within about a token of its share;
+    what it is short of, a group hands to the next as a deficit.  A bound takes a
+    walk down the tree, and a group's width grows with the number of queues only
+    as that many sequences.
     """
 
     def __init__(self, sizes: list[int], length: int, span: int, weights: list[float] | None = None):
-        self.length, self.width = length, length * max(span, -(-4 * len(sizes) ** 2 // length))
-        #: (first group, first sequence, first token of each queue, tokens of each queue, groups)
+        self.length, self.width = length, length * max(span, len(sizes))
+        self.ends = list(sizes)
+        #: (first group, first sequence, first token of each queue, sums of the queues' tokens before each, groups)
         self.phases: list[tuple[int, int, list[int], list[int], int]] = []
         group = sequence = 0
         first, left = [0] * len(sizes), list(sizes)
         while sum(left):
             take = self._until_dry(left, weights) if weights else list(left)
             groups = max(1, sum(take) // self.width)
-            self.phases.append((group, sequence, list(first), take, groups))
+            self.phases.append((group, sequence, list(first), [0, *accumulate(take)], groups))
             group += groups
             full, rest = divmod(sum(take), length)
             sequence += full + len(tail_lengths(rest, length))
@@ -112,19 +123,26 @@ class Plan:
     def _phase(self, group: int) -> tuple[int, int, list[int], list[int], int]:
         return self.phases[bisect.bisect_right(self._starts, group) - 1]
 
-    def _sent(self, take: list[int], x: int, s: int) -> int:
-        total = sum(take)
-        most = take.index(max(take))
-        if s != most:
-            return take[s] * x // total
-        return x - sum(t * x // total for i, t in enumerate(take) if i != most)
+    @staticmethod
+    def _sent(sums: list[int], x: int, s: int) -> int:
+        """How many of a phase's first ``x`` tokens are queue ``s``'s."""
+        a, b = 0, len(sums) - 1
+        while b - a > 1:
+            m = (a + b) // 2
+            total = sums[b] - sums[a]
+            left = (2 * (sums[m] - sums[a]) * x + total) // (2 * total) if total else 0
+            if s < m:
+                x, b = left, m
+            else:
+                x, a = x - left, m
+        return x
 
     def bound(self, s: int, group: int) -> int:
         """The first token of queue ``s`` that belongs to ``group`` or a later one."""
         if group >= self.groups:
-            return self.phases[-1][2][s] + self.phases[-1][3][s] if self.phases else 0
-        g0, _, first, take, _ = self._phase(group)
-        return first[s] + self._sent(take, (group - g0) * self.width, s)
+            return self.ends[s]
+        g0, _, first, sums, _ = self._phase(group)
+        return first[s] + self._sent(sums, (group - g0) * self.width, s)
 
     def group_of(self, s: int, at: int) -> int:
         return bisect.bisect_right(range(self.groups + 1), at, key=lambda g: self.bound(s, g)) - 1
@@ -136,12 +154,10 @@ class Plan:
 
     def state(self, group: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """First and end token of each queue, the deficits handed over, and the shares."""
-        g0, _, _, take, _ = self._phase(group)
-        queues = range(len(take))
-        lo, hi = (np.array([self.bound(s, g) for s in queues], np.int64) for g in (group, group + 1))
-        total, x = sum(take), (group - g0) * self.width
-        deficit = np.array([(take[s] * x % total) / total + take[s] * x // total - self._sent(take, x, s) for s in queues])
-        return lo, hi, deficit, np.array(take) / total
+        g0, _, first, sums, _ = self._phase(group)
+        lo, hi = (np.array([self.bound(s, g) for s in range(len(first))], np.int64) for g in (group, group + 1))
+        share = np.diff(sums) / sums[-1]
+        return lo, hi, share * ((group - g0) * self.width) - (lo - np.array(first)), share
 
 
 def group_schedule(start: np.ndarray, end: np.ndarray, deficit: np.ndarray, share: np.ndarray, length: int) -> list[tuple[int, int, int, int, int]]:
@@ -162,37 +178,84 @@ def group_schedule(start: np.ndarray, end: np.ndarray, deficit: np.ndarray, shar
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Whole documents' ids with the end id, little-endian, 2 or 4 bytes each.
+    """A row a document, and its ids with the end id in a file: doc_id, source, n, part, local, file, offset (bytes), width (bytes an id).
 
-    ``part`` is the task, ``local`` how many tokens of the source it had before the document.
+    ``part`` is the task, ``local`` how many tokens of the source it had before the
+    document.  A file holds a task's ids in stretches of about FLUSH, each
+    source's one after another, so that a queue's neighbours are neighbours there.
     """
+    folder = fresh_dir(docs.sparkSession, "packing-ids")
+    names = ("doc_id", "source", "n", "part", "local", "file", "offset", "width")
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32())
 
     def rows(batches):
         enc = encoder(tokenizer)
-        narrow = max(enc.vocab_size, end_id + 1) <= 1 << 16
-        end = np.array([end_id], "<u4")
+        kind = "<u2" if max(enc.vocab_size, end_id + 1) <= 1 << 16 else "<u4"
+        width, end = int(kind[2]), np.array([end_id], kind)
         part, sent = TaskContext.get().partitionId(), Counter()
+        held: dict[str | None, list[tuple]] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            file = write_new(folder, ".ids", (b"".join(ids for *_, some in own for ids in (some.tobytes(), end.tobytes())) for own in held.values()))
+            out, at = [], 0
+            for source, own in held.items():
+                for d, n, local, _ in own:
+                    out.append((d, source, n, part, local, file, at, width))
+                    at += n * width
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 some = batch.slice(first, 256)
                 flat, at = enc.encode(some.column(2).to_pylist())
-                ids = [np.append(flat[a:b], end).astype("<u2" if narrow else "<u4").tobytes() for a, b in zip(at, at[1:], strict=False)]
-                n = np.diff(at) + 1
-                local = []
-                for source, m in zip(some.column(1).to_pylist(), n.tolist(), strict=True):
-                    local.append(sent[source])
-                    sent[source] += m
-                arrays = [some.column(0), some.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array([part] * len(ids), pa.int64()), pa.array(local, pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "source", "n", "ids", "part", "local"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(rows, "doc_id long, source string, n long, ids binary, part long, local long")
+                flat = flat.astype(kind)
+                for i, (d, source) in enumerate(zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True)):
+                    n = int(at[i + 1] - at[i]) + 1
+                    held.setdefault(source, []).append((d, n, sent[source], flat[at[i] : at[i + 1]]))
+                    sent[source] += n
+                    size += n
+                if size >= FLUSH:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    fields = "doc_id long, source string, n long, part long, local long, file string, offset long, width int"
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(rows, fields)
+
+
+def _read_queues(rows: list[tuple]) -> dict[int, np.ndarray]:
+    """The ids of a group's pieces by queue, in their order; neighbours in a file are one range read."""
+    spans: dict[int, list[list]] = {}
+    for _, queue, _, _, _, _, length, file, offset, width in rows:
+        own = spans.setdefault(queue, [])
+        if own and own[-1][0] == file and own[-1][1] + own[-1][2] == offset:
+            own[-1][2] += length * width
+        else:
+            own.append([file, offset, length * width, width])
+    open_files: dict[str, Reader] = {}
+    out = {}
+    for queue, own in spans.items():
+        parts = []
+        for file, offset, size, width in own:
+            if file not in open_files:
+                if len(open_files) >= 64:
+                    open_files.pop(next(iter(open_files))).close()
+                open_files[file] = Reader(file)
+            parts.append(np.frombuffer(open_files[file].read(offset, size), f"<u{width}").astype("<u4"))
+        out[queue] = np.concatenate(parts)
+    for reader in open_files.values():
+        reader.close()
+    return out
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH, span: int = SPAN, mixture: dict | None = None, digest: bool = False) -> DataFrame:
     """One row a piece: doc_id, source, start, length, ids (their CRC-32, ids_crc32, if ``digest``), doc_tokens, sequence_id, offset.
 
     ``mixture``: weights by source in place of the sources' own sizes; a queue
-    that runs dry leaves its slots to the others.
+    that runs dry leaves its slots to the others.  The input's other columns go.
     """
     spark = docs.sparkSession
     tokens = save(tokenize(docs, tokenizer, end_id), "packing-tokens")
@@ -208,26 +271,27 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH,
     queue_of = {s: i for i, s in enumerate(names)}
 
     def pieces(batches):
-        """Cuts each document's ids at the group's ends: (group, queue, first token, bytes)."""
+        """Cuts each document at the groups' ends: (group, queue, first token, document, its first token there, its tokens, tokens, file, offset, width)."""
         forget()
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32())
         for batch in batches:
             out = []
-            for d, source, n, ids, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                queue, width, here = queue_of[source], len(ids) // n, at
+            for d, source, n, file, offset, width, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                queue, here = queue_of[source], at
                 g = plan.group_of(queue, at)
                 while here < at + n:
                     to = min(at + n, plan.bound(queue, g + 1))
                     if to > here:
-                        out.append((g, queue, here, d, here - at, n, ids[(here - at) * width : (to - at) * width]))
+                        out.append((g, queue, here, d, here - at, n, to - here, file, offset + (here - at) * width, width))
                         here = to
                     g += 1
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["g", "queue", "at", "doc_id", "start", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["g", "queue", "at", "doc_id", "start", "n", "length", "file", "offset", "width"])
 
     ids_name, ids_type = ("ids_crc32", "long") if digest else ("ids", "binary")
 
     def packed(batches):
-        """Rows come by group, queue and place; a group's queues lie in memory (``span x length`` ids)."""
+        """Rows come by group, queue and place; a group's ids lie in memory (its width)."""
         forget()
         rows: list[tuple] = []
         for batch in batches:
@@ -243,33 +307,32 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH,
         g = rows[0][0]
         lo, hi, deficit, share = plan.state(g)
         first_sequence = plan.sequence(g)
+        data = _read_queues(rows)
         queues: dict[int, list[tuple]] = {}
         for row in rows:
             queues.setdefault(row[1], []).append(row)
         cursor = dict.fromkeys(queues, 0)
         out = []
         for w, offset, queue, at, count in group_schedule(lo, hi, deficit, share, length):
-            own, i = queues[queue], cursor[queue]
+            own, i, first_of_queue = queues[queue], cursor[queue], int(lo[queue])
             while count:
-                _, _, first, d, start, n, ids = own[i]
-                width = len(ids) // (m := _count(own, i, hi[queue]))
+                _, _, first, d, start, n, m, *_ = own[i]
                 take = min(count, first + m - at)
-                raw = np.frombuffer(ids, f"<u{width}", take, (at - first) * width).astype("<u4").tobytes()
+                raw = data[queue][at - first_of_queue : at - first_of_queue + take].tobytes()
                 out.append((d, names[queue], start + at - first, take, zlib.crc32(raw) if digest else raw, n, first_sequence + w, offset))
                 at, offset, count = at + take, offset + take, count - take
                 if at == first + m:
                     i += 1
             cursor[queue] = i
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64() if digest else pa.binary(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "source", "start", "length", ids_name, "doc_tokens", "sequence_id", "offset"])
-
-    def _count(own, i, end):
-        """How many ids row i holds: up to the next row's first, or the group's end."""
-        return int((own[i + 1][2] if i + 1 < len(own) else end) - own[i][2])
-
-    numbered = tokens.join(base, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select("doc_id", "source", "n", "ids", (F.col("local") + F.col("base")).alias("at"))
-    cut = numbered.mapInArrow(pieces, "g long, queue int, at long, doc_id long, start long, n long, ids binary")
-    grouped = cut.repartition("g").sortWithinPartitions("g", "queue", "at")
+        for first in range(0, len(out), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[first : first + 10_000], strict=True), kinds, strict=True)], names=["doc_id", "source", "start", "length", ids_name, "doc_tokens", "sequence_id", "offset"])
+
+    numbered = tokens.join(base, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select("doc_id", "source", "n", "file", "offset", "width", (F.col("local") + F.col("base")).alias("at"))
+    cut = numbered.mapInArrow(pieces, "g long, queue int, at long, doc_id long, start long, n long, length long, file string, offset long, width int")
+    # Dealt by number, so that no task gets more groups than another.
+    parts = max(1, min(plan.groups, max(int(spark.conf.get("spark.sql.shuffle.partitions")), plan.groups // 8)))
+    grouped = cut.repartitionById(parts, (F.col("g") % parts).cast("int")).sortWithinPartitions("g", "queue", "at")
     return grouped.mapInArrow(packed, f"doc_id long, source string, start long, length long, {ids_name} {ids_type}, doc_tokens long, sequence_id long, offset long")
 
 
