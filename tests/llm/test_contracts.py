@@ -26,6 +26,9 @@ SCHEMAS = {
     "op8_line_dedup": "doc_id bigint, text string, lines_removed int",
     "op9_suffix_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
     "op10_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+    "op11_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
+    "op12_hard_negatives": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
+    "op13_merkle": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
 }
 
 
@@ -57,7 +60,7 @@ def odd(spark, tmp_path_factory):
     write(spark.createDataFrame([(i, i % 2, 0) for i in range(30)] + [(3, 1, None), (None, 1, 0), (5, None, 0), (999, 0, 0)], "doc_id long, quality int, toxic int"), "labels")
     write(spark.createDataFrame([(1, None, None), (2, "http://a.b/", "x" * 2000), (3, "http://a.b/", "x" * 2000), (None, "u", "x" * 2000), (4, "", ""), (5, "http://long/", "é" * 3_000_000)], "page_id long, url string, html string"), "pages")
     vectors = [(i, [float(rng.gauss(0, 1)) for _ in range(8)]) for i in range(60)] + [(61, None), (62, [0.0] * 8), (63, [float("nan")] * 8), (64, [1.0, None] + [0.0] * 6), (80, [1.0, 2.0]), (81, [2.0, 1.0])]
-    write(spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("id", F.lit("x")), "embeddings")
+    write(spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("id", F.lit("x")).withColumn("label", (F.col("vec_id") % 3).cast("int")), "embeddings")
     write(spark.createDataFrame([(1, 0, "system", "be brief"), (1, 1, "user", None), (1, 1, None, "tie"), (1, None, "assistant", "when?"), (None, 0, "assistant", "x")], "conv_id long, turn long, role string, text string"), "conversations")
     return folder
 
