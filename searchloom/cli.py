@@ -16,7 +16,8 @@ from pyspark.sql import SparkSession
 from .operators.index import Index, build_index
 from .operators.language_model import LanguageModel
 from .plans.search import search
-from .sources.jsonl import DocumentStore, path_exists
+from .sources import generations
+from .sources.jsonl import DocumentStore
 
 
 def index(spark: SparkSession, data: str, out: str) -> int:
@@ -30,10 +31,11 @@ def index(spark: SparkSession, data: str, out: str) -> int:
 
 
 def build(spark: SparkSession, source: str, out: str) -> int:
-    if not path_exists(spark, f"{source}/doc_info"):
+    try:
+        found = Index.load(spark, source)
+    except FileNotFoundError:
         print("no index; run index first", file=sys.stderr)
         return 1
-    found = Index.load(spark, source)
     if len(found.doc_info.take(2)) < 2:
         print("an index of at least two documents is needed", file=sys.stderr)
         return 1
@@ -69,7 +71,7 @@ def main(args: list[str] | None = None) -> int:
         return build(spark, *a.paths)
     if a.command == "query":
         return query(spark, a.paths[0], a.k)
-    return query(spark, a.paths[1], a.k) if path_exists(spark, f"{a.paths[1]}/collection") else build(spark, *a.paths)
+    return query(spark, a.paths[1], a.k) if generations.current(spark, a.paths[1]) else build(spark, *a.paths)
 
 
 if __name__ == "__main__":

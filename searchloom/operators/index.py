@@ -18,25 +18,38 @@ class Index:
 
     def stats(self) -> DataFrame:
         """One row: documents, vocabulary, tokens."""
-        terms = self.postings.groupBy("term").agg(F.sum("tf").alias("cf"))
-        vocabulary = terms.agg(F.count("*").alias("vocabulary"), F.coalesce(F.sum("cf"), F.lit(0)).cast("long").alias("tokens"))
+        vocabulary = self._terms().agg(F.count("*").alias("vocabulary"), F.coalesce(F.sum("cf"), F.lit(0)).cast("long").alias("tokens"))
         return self.doc_info.agg(F.count("*").alias("documents")).crossJoin(vocabulary)  # one row by one row
 
     def collection(self) -> DataFrame:
         """(term, cf, df, p): the collection's language model."""
-        terms = self.postings.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
         total = self.doc_info.agg(F.sum("length").alias("total"))
-        return terms.crossJoin(F.broadcast(total)).select("term", "cf", "df", (F.col("cf") / F.col("total")).alias("p"))  # total is one row
+        return self._terms().crossJoin(F.broadcast(total)).select("term", "cf", "df", (F.col("cf") / F.col("total")).alias("p"))  # total is one row
 
-    def save(self, path: str, buckets: int = 64) -> None:
-        """Parquet: postings partitioned by a hash of the term and sorted by it, so that a term's rows are few row groups."""
-        part = F.pmod(F.hash("term"), F.lit(buckets)).alias("part")
-        self.postings.select("*", part).repartition("part").sortWithinPartitions("part", "term", "doc_id").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
-        self.doc_info.write.mode("overwrite").parquet(f"{path}/doc_info")
+    def _terms(self) -> DataFrame:
+        """(term, cf, df)"""
+        return self.postings.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
+
+    def terms_of(self, docs: DataFrame) -> DataFrame:
+        """The terms of some documents (doc_id, weight, ...), with the documents' columns."""
+        return self.postings.join(docs, "doc_id")
+
+    def info_of(self, docs: DataFrame) -> DataFrame:
+        """Some documents (doc_id, rank, ...) with their info."""
+        return docs.join(self.doc_info, "doc_id")
+
+    def save(self, path: str) -> None:
+        """As a new generation of the path, laid out for queries (``stored``)."""
+        from .stored import StoredIndex
+
+        StoredIndex.write(self, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        return cls(spark.read.parquet(f"{path}/postings").drop("part"), spark.read.parquet(f"{path}/doc_info"))
+        """The latest generation; raises FileNotFoundError where there is none."""
+        from .stored import StoredIndex
+
+        return StoredIndex.open(spark, path)
 
 
 def document_id(id: Column, url: Column) -> Column:
@@ -71,8 +84,9 @@ def index_of_tokens(words: DataFrame) -> Index:
 
 
 def merge_index(old: Index, docs: DataFrame, language: str = "spanish", contractions: bool = False) -> Index:
-    """The index after ``docs`` came: a document that was indexed before is replaced."""
-    new = build_index(docs, language, contractions)
-    ids = tokenized(docs, language).select("doc_id")
+    """The index after ``docs`` came: a document that was indexed before is replaced; of several of one id the last by title and content counts."""
+    named = latest(docs.withColumn("doc_id", document_id(F.col("id"), F.col("url"))), "doc_id", [F.col("title"), F.col("content")])
+    new = build_index(named, language, contractions)
+    ids = named.select("doc_id")
     keep = lambda rows: rows.join(ids, "doc_id", "left_anti").select(*rows.columns)
     return Index(keep(old.postings).unionByName(new.postings), keep(old.doc_info).unionByName(new.doc_info))

@@ -15,9 +15,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..session import fresh_dir
+from ..sources import generations
 from .index import Index
+from .stored import StoredIndex, folder_of
 
 #: Smoothing, probability of a term the collection lacks, feedback documents, terms and mixing weight.
 MU, UNSEEN, FEEDBACK_DOCS, FEEDBACK_TERMS, ALPHA = 2000.0, 1e-9, 5, 10, 0.5
@@ -37,30 +40,39 @@ class LanguageModel:
         return cls(index, index.collection(), mu)
 
     def save(self, path: str) -> None:
-        self.index.save(f"{path}/index")
-        self.collection.withColumn("mu", F.lit(self.mu)).write.mode("overwrite").parquet(f"{path}/collection")
+        """As a new generation of the path: the index laid out for queries, and the terms' probabilities in the same folders."""
+        spark, folder = self.collection.sparkSession, generations.begin(path)
+        self.index.save(f"{folder}/index")
+        folders = StoredIndex.open(spark, f"{folder}/index").term_folders
+        terms = self.collection.withColumn("folder", folder_of(F.col("term"), folders)).repartitionByRange("folder", "term")
+        terms.sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{folder}/collection")
+        generations.publish(spark, path, folder, mu=self.mu)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> LanguageModel:
-        """Raises FileNotFoundError where no model was saved."""
-        try:
-            table = spark.read.parquet(f"{path}/collection")
-        except Exception as error:
-            if "PATH_NOT_FOUND" in str(error):
-                raise FileNotFoundError(path) from error
-            raise
-        first = table.select("mu").first()
-        return cls(Index.load(spark, f"{path}/index"), table.drop("mu"), first.mu if first else MU)
+        """The latest generation; raises FileNotFoundError where no model was saved."""
+        found = generations.current(spark, path)
+        if found is None:
+            raise FileNotFoundError(path)
+        index = StoredIndex.open(spark, f"{found.folder}/index")
+        table = spark.read.schema("term string, cf long, df long, p double, folder int").parquet(f"{found.folder}/collection")
+        return StoredModel(index, table.drop("folder"), float(found.properties["mu"]), table)
 
     def stats(self) -> DataFrame:
         return self.index.stats()
 
+    def _probabilities(self, queries: DataFrame) -> DataFrame:
+        """The queries' terms with p, and whether the collection has them."""
+        # The query table is small against the postings; Spark broadcasts it where its size allows.
+        return queries.join(self.collection.select("term", "p"), "term", "left").withColumn("p", F.coalesce("p", F.lit(UNSEEN)))
+
+    def _constants(self, terms: DataFrame) -> DataFrame:
+        """(query_id, base, all): what every score of a query has, and the sum of its weights."""
+        return terms.groupBy("query_id").agg(F.sum(F.col("weight") * F.log(self.mu * F.col("p"))).alias("base"), F.sum("weight").alias("all"))
+
     def scores(self, queries: DataFrame, category: str | None = None) -> DataFrame:
         """(query_id, doc_id, score) of every document with at least one term of the query."""
-        mu = F.lit(self.mu)
-        # The query table is small against the postings; Spark broadcasts it where its size allows.
-        terms = queries.join(self.collection.select("term", "p"), "term", "left").withColumn("p", F.coalesce("p", F.lit(UNSEEN)))
-        constant = terms.groupBy("query_id").agg(F.sum(F.col("weight") * F.log(mu * F.col("p"))).alias("base"), F.sum("weight").alias("all"))
+        mu, terms = F.lit(self.mu), self._probabilities(queries)
         info = self.index.doc_info.select("doc_id", "length", "category")
         matched = self.index.postings.join(terms, "term")
         if category:
@@ -69,7 +81,7 @@ class LanguageModel:
         summed = matched.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.log(1 + F.col("tf") / (mu * F.col("p")))).alias("match"))
         return (
             summed.join(info, "doc_id")
-            .join(constant, "query_id")
+            .join(self._constants(terms), "query_id")
             .select("query_id", "doc_id", (F.col("match") + F.col("base") - F.col("all") * F.log(F.col("length") + mu)).alias("score"))
         )
 
@@ -83,24 +95,24 @@ class LanguageModel:
 
     def retrieve(self, queries: DataFrame, k: int = 10, category: str | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         """(query_id, rank, doc_id, score): each query's k best documents, of those that ``keep`` leaves of (query_id, doc_id, score)."""
-        scores = self.scores(queries, category).withColumn("score", F.round("score", DIGITS))
-        if keep:
-            scores = keep(scores)
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-        return scores.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+        return _first(self.scores(queries, category), k, keep)
 
     def hydrate(self, hits: DataFrame) -> DataFrame:
         """Hits with their documents' info."""
-        return hits.join(self.index.doc_info, "doc_id")
+        return self.index.info_of(hits)
+
+    def _settled(self, docs: DataFrame) -> DataFrame:
+        """The feedback documents; k rows a query."""
+        return docs
 
     def relevance_model(self, queries: DataFrame, k: int = FEEDBACK_DOCS) -> DataFrame:
         """(query_id, term, weight): the k best documents' terms, weighted by the documents' posteriors."""
         hits = self.retrieve(queries, k)
         whole = Window.partitionBy("query_id")
         odds = hits.withColumn("odds", F.exp(F.col("score") - F.max("score").over(whole)))
-        posterior = odds.select("query_id", "doc_id", (F.col("odds") / F.sum("odds").over(whole)).alias("posterior"))
-        docs = posterior.join(self.index.doc_info.select("doc_id", "length"), "doc_id")
-        mass = self.index.postings.join(docs, "doc_id").groupBy("query_id", "term").agg(F.sum(F.col("tf") / F.col("length") * F.col("posterior")).alias("mass"))
+        posterior = odds.select("query_id", "doc_id", "rank", (F.col("odds") / F.sum("odds").over(whole)).alias("weight"))
+        docs = self._settled(self.index.info_of(posterior).select("query_id", "doc_id", "length", "weight"))
+        mass = self.index.terms_of(docs).groupBy("query_id", "term").agg(F.sum(F.col("tf") / F.col("length") * F.col("weight")).alias("mass"))
         return mass.select("query_id", "term", (F.col("mass") / F.sum("mass").over(whole)).alias("weight"))
 
     def expand(self, queries: DataFrame, k: int = FEEDBACK_DOCS, terms: int = FEEDBACK_TERMS, alpha: float = ALPHA) -> DataFrame:
@@ -119,3 +131,106 @@ class LanguageModel:
         total = F.sum("weight").over(whole)
         scaled = F.when(F.col("fed") & (total > 0), F.col("weight") / total).otherwise(F.col("weight"))
         return best.select("query_id", "term", scaled.alias("weight"))
+
+
+def _first(scores: DataFrame, k: int, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(query_id, rank, doc_id, score) of each query's k best."""
+    scores = scores.withColumn("score", F.round("score", DIGITS))
+    if keep:
+        scores = keep(scores)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    return scores.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+
+
+@dataclass(frozen=True)
+class StoredModel(LanguageModel):
+    """A loaded model: reads its queries' terms and its hits' documents alone, and can do without scoring every match."""
+
+    table: DataFrame | None = None
+
+    def _probabilities(self, queries: DataFrame) -> DataFrame:
+        asked = self.index.with_folder(queries.where("weight > 0").select("term").distinct(), "term", self.index.term_folders)
+        known = self.table.join(asked, ["folder", "term"]).select("term", "p")
+        return queries.join(known, "term", "left").withColumn("p", F.coalesce("p", F.lit(UNSEEN)))
+
+    def scores(self, queries: DataFrame, category: str | None = None) -> DataFrame:
+        terms = self._probabilities(queries)
+        return self._finished(self._added(self.index.blocks_of(terms).join(self._constants(terms), "query_id"), category))
+
+    def _settled(self, docs: DataFrame) -> DataFrame:
+        """Written and read back: a table whose size is known, so that Spark prunes the folders of terms by it."""
+        spark, path = docs.sparkSession, fresh_dir(docs.sparkSession, "feedback")
+        docs.write.parquet(path)
+        return spark.read.schema(docs.schema).parquet(path)
+
+    def _blocks(self, queries: DataFrame) -> DataFrame:
+        """The queries' posting blocks with ``most``, what a posting of the block adds to a score at most, and the query's constants."""
+        terms = self._probabilities(queries)
+        blocks = self.index.blocks_of(terms).join(self._constants(terms), "query_id")
+        return blocks.withColumn("most", F.col("weight") * F.log(1 + F.col("max_tf") / (self.mu * F.col("p"))))
+
+    def _seeded(self, blocks: DataFrame, seeds: int) -> DataFrame:
+        """(query_id, range) of the ranges of greatest bound."""
+        free = F.min("base") - F.min("all") * F.log(F.min("min_length") + self.mu)
+        bounds = blocks.groupBy("query_id", "range").agg((F.sum("most") + free).alias("bound"))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "range"))
+        return bounds.withColumn("place", place).where(F.col("place") <= seeds).select("query_id", "range")
+
+    def _added(self, blocks: DataFrame, category: str | None) -> DataFrame:
+        """(query_id, doc_id, match, base, all, length, ...) of posting blocks, summed by document; further columns are the range's."""
+        others = [c for c in blocks.columns if c in ("threshold", "rest", "range")]
+        rows = blocks.select("query_id", "weight", "p", "base", "all", *others, F.inline("postings"))
+        if category:
+            rows = rows.where(F.col("category") == category)
+        return rows.groupBy("query_id", "doc_id").agg(F.sum(self._one()).alias("match"), *(F.first(c).alias(c) for c in ("base", "all", "length", *others)))
+
+    def _one(self) -> Column:
+        """What a posting adds to its document's score."""
+        return F.col("weight") * F.log(1 + F.col("tf") / (self.mu * F.col("p")))
+
+    def _score(self) -> Column:
+        return F.col("match") + F.col("base") - F.col("all") * F.log(F.col("length") + self.mu)
+
+    def _finished(self, added: DataFrame) -> DataFrame:
+        return added.select("query_id", "doc_id", self._score().alias("score"))
+
+    def pruned(self, queries: DataFrame, k: int = 10, category: str | None = None, seeds: int | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+        """The same rows as ``retrieve``, and the blocks and postings that had to be scored for them.
+
+        1. The k (or ``seeds``) ranges of greatest bound are scored; their k-th best score is a
+           query's threshold (a query of fewer matches there has none).
+        2. In every range the blocks that add least are put aside, as many as
+           together can't lift a document over the threshold: mostly frequent
+           terms, whose postings are the most.  A document without any other term
+           is out; a range without any other block is passed over whole.
+        3. What is left is scored; documents that can still reach the threshold
+           with all that was put aside get that too.
+        """
+        blocks = self._blocks(queries)
+        ranges = self._seeded(blocks, seeds or k)
+        seeded = blocks.join(ranges, ["query_id", "range"])
+        known = self._finished(self._added(seeded, category))
+        threshold = _first(known, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("threshold"))
+        others = blocks.join(ranges, ["query_id", "range"], "left_anti")
+        whole = Window.partitionBy("query_id", "range")
+        least_first = whole.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
+        free = F.col("base") - F.col("all") * F.log(F.min("min_length").over(whole) + self.mu)
+        enough = F.col("threshold") - 10.0**-DIGITS
+        ranked = others.join(threshold, "query_id", "left").withColumn("sum", F.sum("most").over(least_first))
+        ranked = ranked.withColumn("counts", F.col("threshold").isNull() | (F.col("sum") + free >= enough))
+        ranked = ranked.withColumn("rest", F.coalesce(F.max(F.when(~F.col("counts"), F.col("sum"))).over(whole), F.lit(0.0)))
+        first = self._added(ranked.where("counts"), category)
+        alive = first.where(F.col("threshold").isNull() | (self._score() + F.col("rest") >= enough))
+        open_ranges = alive.where("rest > 0").select("query_id", "range").distinct()
+        aside = ranked.where(~F.col("counts")).join(open_ranges, ["query_id", "range"]).select("query_id", "weight", "p", F.inline("postings"))
+        late = aside.join(alive.select("query_id", "doc_id"), ["query_id", "doc_id"])
+        added = late.groupBy("query_id", "doc_id").agg(F.sum(self._one()).alias("late"))
+        done = alive.join(added, ["query_id", "doc_id"], "left").withColumn("match", F.col("match") + F.coalesce("late", F.lit(0.0)))
+        return _first(known.unionByName(self._finished(done)), k), {"seeds": seeded, "blocks": ranked.where("counts"), "late": late}
+
+    def scored(self, queries: DataFrame, k: int = 10, seeds: int | None = None) -> DataFrame:
+        """(query_id, scored, matching): how many postings ``pruned`` scores, and how many match."""
+        work = self.pruned(queries, k, seeds=seeds)[1]
+        parts = [work["seeds"].select("query_id", "n"), work["blocks"].select("query_id", "n"), work["late"].select("query_id", F.lit(1).cast("long").alias("n"))]
+        scored = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("query_id").agg(F.sum("n").alias("scored"))
+        return scored.join(self._blocks(queries).groupBy("query_id").agg(F.sum("n").alias("matching")), "query_id").select("query_id", "scored", "matching")

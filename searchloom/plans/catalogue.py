@@ -54,9 +54,9 @@ def canonical_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """Rows dealt out over all cores if they come in fewer partitions (a file of one row group is one); else as they are."""
+    """Rows dealt out over all cores where a few files hold them all; else as they are."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+    return docs if len(docs.inputFiles()) >= cores else docs.repartition(cores)
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> Index:
@@ -287,6 +287,38 @@ def index_roundtrip(spark, sf_dir):
     return LanguageModel.load(spark, path).collection.select("term", "cf", "df", "p")
 
 
+def saved_model(spark, sf_dir) -> LanguageModel:
+    path = fresh_dir(spark, "saved")
+    model_of(spark, sf_dir).save(path)
+    return LanguageModel.load(spark, path)
+
+
+def ql_saved_topk(spark, sf_dir):
+    """Every benchmark text against a saved model, of which only the terms' blocks are read."""
+    return saved_model(spark, sf_dir).retrieve(weights(benchmark_tokens(spark, sf_dir)))
+
+
+def ql_blockmax_topk(spark, sf_dir):
+    """The same, without scoring postings that can't lift a document over the tenth best."""
+    return saved_model(spark, sf_dir).pruned(weights(benchmark_tokens(spark, sf_dir)))[0]
+
+
+def rm1_saved(spark, sf_dir):
+    """Feedback from the saved table of documents' terms."""
+    return saved_model(spark, sf_dir).relevance_model(one_query(spark)).select("query_id", "term", F.round("weight", 6).alias("weight"))
+
+
+def flagship_saved(spark, sf_dir):
+    """The whole search against a saved model."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return search(saved_model(spark, sf_dir), asked).select("query_id", "rank", "doc_id", "score", "source", "category")
+
+
+def saved_stats(spark, sf_dir):
+    """Counts of a saved index, from its blocks' own counts."""
+    return saved_model(spark, sf_dir).stats()
+
+
 def text_collection(spark, sf_dir) -> TextCollection:
     docs = canonical_documents(spark, sf_dir)
     return TextCollection.setup(fit_tfidf(spark, sf_dir), docs.select(F.col("id").alias("doc_id"), "title", "url", "source", "category"))
@@ -349,6 +381,6 @@ def query_map() -> dict:
         query_weights, rm1_feedback, rm3_expand, flagship_ql_rm3, tfidf_vocab, tfidf_vectors, tfidf_cosine_topk, dense_cosine_topk, vector_upsert, vector_stats,
         docs_by_category, doc_lookup, docs_in_category, dedupe_last_wins, seen_url_antijoin, stream_dedupe, stream_index, html_title, html_links, html_content,
         crawl_item, detect_brand_os, pc_subcategories, sink_route, jsonl_roundtrip, uuid5_id, tag_union, index_roundtrip, vector_text_search, vector_add_document, vector_hits, first_filled_text,
-        seen_url_sessions, stream_crawl, crawl_traverse, article_title,
+        seen_url_sessions, stream_crawl, crawl_traverse, article_title, ql_saved_topk, ql_blockmax_topk, rm1_saved, flagship_saved, saved_stats,
     )
     return {f.__name__: f for f in functions}

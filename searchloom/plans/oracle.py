@@ -103,7 +103,7 @@ qv AS (SELECT query_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY query_id))
 sc AS (SELECT query_id, doc_id, round(sum(w * q), 6) AS score FROM every JOIN qv USING (term) GROUP BY 1, 2),
 top AS (SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM sc) WHERE rank <= 10)"""
     rows = f"SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {_values(TEXTS)}) v(doc_id, text)"
-    return {
+    queries = {
         "normalize_tokens": f"""
 WITH raw AS (SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, {_tokens("' ' || coalesce(text, '')")} AS toks FROM documents)),
 t AS (SELECT doc_id, i, toks[i] AS term FROM raw)
@@ -186,3 +186,5 @@ SELECT doc_id, substr(x, 1, 8) || '-' || substr(x, 9, 4) || '-5' || substr(x, 14
         "tag_union": """
 SELECT n_chars, string_agg(tag, ',' ORDER BY tag) AS tags FROM (SELECT DISTINCT n_chars, tag FROM (SELECT n_chars, source AS tag FROM documents UNION ALL SELECT n_chars, lang FROM documents)) GROUP BY n_chars""",
     }
+    same = {"ql_saved_topk": "ql_batch_topk", "ql_blockmax_topk": "ql_batch_topk", "rm1_saved": "rm1_feedback", "flagship_saved": "flagship_ql_rm3", "saved_stats": "index_stats"}
+    return queries | {name: queries[other] for name, other in same.items()}

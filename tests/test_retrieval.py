@@ -215,3 +215,69 @@ def test_filters_before_the_best_are_chosen(spark, corpus):
     assert {r.source for r in found if r.query_id == 1} == {"other"} and sum(r.query_id == 1 for r in found) == 3 and sum(r.query_id == 2 for r in found) == 3
     plan = model.scores(weights(process(asked)), "pc")._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan
+
+
+@pytest.fixture(scope="module")
+def zipf(spark):
+    """A corpus whose words are as frequent as in texts, with a few rare ones for each topic."""
+    rng = random.Random(9)
+    common = [f"palabra{i}" for i in range(200)]
+    shares = [1 / (i + 1) for i in range(200)]
+    texts = {i: " ".join(rng.choices(common, shares, k=rng.randrange(20, 60)) + [f"tema{i % 50}"] * (i % 3)) for i in range(1200)}
+    return LanguageModel.fit(build_index(documents(spark, texts)))
+
+
+def test_stored_model_prunes(spark, zipf, tmp_path, monkeypatch):
+    """A saved model reads the folders of a query's terms and of its hits, and gives what the model in memory gives."""
+    from searchloom.operators import stored
+
+    monkeypatch.setattr(stored, "FOLDER_ROWS", 500)
+    path = str(tmp_path / "model")
+    zipf.save(path)
+    model = LanguageModel.load(spark, path)
+    assert model.index.term_folders >= 16 and model.index.doc_folders >= 2
+    query = as_table(spark, {"tema7": 0.7, "palabra190": 0.3})
+    hits = model.retrieve(query)
+    assert sorted(hits.collect()) == sorted(zipf.retrieve(query).collect())
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    blocks = next(line for line in plan.splitlines() if "FileScan" in line and "max_tf" not in line and "postings" in line)
+    assert "dynamicpruning" in blocks and "PartitionFilters: [isnotnull(folder" in blocks
+    found = model.relevance_model(query)
+    whole = found._jdf.queryExecution().executedPlan().toString()
+    read = [line for line in whole.splitlines() if "FileScan" in line and "struct<doc_id:string,term:string,tf:bigint>" in line]
+    assert len(read) == 1 and "dynamicpruning" in read[0] and "postings" not in whole
+    rounded = lambda m: {r.term: round(r.weight, 9) for r in m.collect()}
+    assert rounded(found) == rounded(zipf.relevance_model(query))
+    assert model.stats().first() == zipf.stats().first()
+
+
+def test_block_bounds(spark, zipf, tmp_path):
+    """The same rows from less than half of the postings; for any k, category, and queries without enough hits."""
+    zipf.save(str(tmp_path / "model"))
+    model = LanguageModel.load(spark, str(tmp_path / "model"))
+    rows = [(q, t, 1 / 6) for q in range(8) for t in ("palabra0", "palabra1", "palabra2", "palabra3", f"tema{q}", f"tema{q + 8}")] + [(90, "nunca", 1.0), (91, "tema1", 1.0)]
+    queries = spark.createDataFrame(rows, "query_id long, term string, weight double")
+    for k in (1, 10, 200):
+        assert sorted(model.pruned(queries, k)[0].collect()) == sorted(zipf.retrieve(queries, k).collect())
+    assert sorted(model.pruned(queries, 5, "mobile")[0].collect()) == sorted(zipf.retrieve(queries, 5).collect()) and model.pruned(queries, 5, "pc")[0].count() == 0
+    work = model.scored(queries.where("query_id < 8")).agg(F.sum("scored").alias("scored"), F.sum("matching").alias("matching")).first()
+    assert 0 < work.scored < 0.5 * work.matching
+
+
+def test_saved_in_place(spark, corpus, model, tmp_path):
+    """A save to the path that was opened makes a generation; a reader keeps to its own."""
+    path = str(tmp_path / "model")
+    model.save(path)
+    old = LanguageModel.load(spark, path)
+    before = old.stats().first()
+    LanguageModel.fit(merge_index(old.index, documents(spark, {100: "sol sol nuevo"})), 7.0).save(path)
+    new = LanguageModel.load(spark, path)
+    assert new.mu == 7.0 and new.stats().first().documents == before.documents + 1 and old.stats().first() == before
+    with pytest.raises(FileNotFoundError):
+        Index.load(spark, str(tmp_path / "none"))
+
+
+def test_merge_index_takes_the_last_of_an_id(spark):
+    docs = documents(spark, {1: "gato gato"}).unionByName(documents(spark, {1: "perro"}))
+    merged = merge_index(build_index(documents(spark, {1: "luna", 2: "mar"})), docs)
+    assert sorted(map(tuple, merged.postings.collect())) == [("mar", "2", 1), ("perro", "1", 1)]
