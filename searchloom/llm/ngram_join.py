@@ -40,8 +40,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import forget
-from .common import batched, read_table, save
+from .common import batched, read_table, save, unused
 from .components import components
+from .line_dedup import numbered
 from .textbytes import Words, blocks, mix, prefix_hash, shingles, span_hash
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.99999
@@ -376,7 +377,16 @@ def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
 
 @batched
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of every group of near duplicates the least doc_id stays."""
-    found = near_duplicates(docs).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    gone = found.where("class_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: of every class of near duplicates the row of least doc_id stays, of equal ids (or none, which come last) the first in the input.
+
+    Rows are told apart by a number of their own, so that rows of one doc_id with
+    different texts, and rows without an id, are judged by their texts.
+    """
+    row = unused(docs, "_row")
+    base = numbered(docs, row)
+    linked = near_duplicates(base, doc_id=row).where("n_links > 0").select(F.col("doc_id").alias("r"), "class_id")
+    members = save(linked.join(base.select(F.col(row).alias("r"), F.col("doc_id").alias("d")), "r"), "near-members")
+    first = F.min(F.struct(F.col("d").isNull().alias("no_id"), "d", "r"))
+    kept = save(members.groupBy("class_id").agg(first.alias("first")).select("class_id", F.col("first.r").alias("kept")), "near-kept")
+    gone = members.join(kept, "class_id").where("r <> kept").select(F.col("r").alias(row))
+    return base.join(gone, row, "left_anti").select(*docs.columns)
