@@ -17,7 +17,7 @@ A chunk meets its copy only if both begin and end at the same lines, so most
 repeated passages of few lines stay (figures in the README).  op8's SQL and the
 pipeline's test fix this rule.  ``remove_repeated_passages`` isn't bound to it: it
 nominates every pair of neighbouring lines, so that no repeated run of two lines
-or more is missed, wherever it begins; no query uses it yet.
+or more is missed, wherever it begins (query ``line_passages``).
 
 Defined cases: a null text stays null and has no lines; an empty text is one
 empty line; lines end at line feeds only and carriage returns belong to them;
@@ -168,6 +168,30 @@ def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeated_chunks(docs, removed="lines_removed")
 
 
+def line_passages(spark, sf_dir: str) -> DataFrame:
+    """Every repeated run of two lines or more goes, wherever it begins."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeated_passages(docs, removed="lines_removed")
+
+
+PASSAGES_SQL = """
+WITH lines AS (
+  SELECT doc_id, i, string_split(text, chr(10))[i] AS line
+  FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)
+), pairs AS (
+  SELECT doc_id, i, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS body FROM lines
+), later AS (
+  SELECT doc_id, i FROM pairs WHERE body IS NOT NULL QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, i) > 1
+), gone AS (
+  SELECT doc_id, i FROM later UNION SELECT doc_id, i + 1 FROM later
+), kept AS (
+  SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS text, CAST(count(g.i) AS INT) AS lines_removed
+  FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN k.text END AS text, coalesce(k.lines_removed, 0) AS lines_removed FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+
+
 OP8_SQL = f"""
 WITH lines AS (
   SELECT doc_id, i, string_split(text, chr(10))[i] AS line

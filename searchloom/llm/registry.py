@@ -21,6 +21,7 @@ def queries() -> dict:
         "op12_hard_negatives": hard_negatives.op12_hard_negatives,
         "op13_merkle": merkle.op13_merkle,
         "warc_lookup": warc.warc_lookup,
+        "line_passages": line_dedup.line_passages,
     }
 
 
@@ -30,6 +31,7 @@ def oracle_sql() -> dict[str, str]:
         "warc_lookup": warc.LOOKUP_SQL,
         "op6_chat": chat.OP6_SQL,
         "op8_line_dedup": line_dedup.OP8_SQL,
+        "line_passages": line_dedup.PASSAGES_SQL,
         "op11_exact_dedup": exact_dedup.OP11_SQL,
         "op12_hard_negatives": hard_negatives.OP12_SQL,
     }
