@@ -369,10 +369,21 @@ def stream_crawl(spark, sf_dir):
     return spark.read.schema("url string, scraped_at string").json(out)
 
 
+def linked_pages(spark, sf_dir) -> DataFrame:
+    """``pages`` as a site whose pages link to others by relative references: p to 2p and 2p + 1, and to a next page that is p itself again."""
+    at = lambda p: F.concat(F.lit("d"), p % 7, F.lit("/p"), p)
+    link = lambda p: F.concat(F.lit('<a href="../x/../'), at(p), F.lit('#top">n</a>'))
+    i = F.col("page_id")
+    rows = table(spark, sf_dir, "pages").where("page_id is not null")
+    html = F.concat(F.coalesce("html", F.lit("")), link(i * 2), link(i * 2 + 1), F.lit('<a class="btn-next" href="?again">n</a>'))
+    return rows.select("page_id", F.concat(F.lit("https://site.example/"), at(i)).alias("url"), html.alias("html"))
+
+
 def crawl_traverse(spark, sf_dir):
-    """All pages as seeds; their links lead to no page of the table."""
-    pages = table(spark, sf_dir, "pages")
-    return traverse(pages.select("url"), from_table(pages), PLAIN).select("url", "depth", F.size("links").alias("n_links"))
+    """From every page of an id from 1 to 9 along links to the end."""
+    pages = linked_pages(spark, sf_dir)
+    found = traverse(pages.where("page_id between 1 and 9").select("url"), from_table(pages.select("url", "html")), PLAIN)
+    return found.select("url", "depth", "title")
 
 
 def query_map() -> dict:

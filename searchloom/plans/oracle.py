@@ -153,8 +153,14 @@ CASE WHEN label > 4 THEN 'u' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS url,
 SELECT min(page_id) AS page_id, url FROM pages WHERE url <> '' AND url NOT LIKE 'http://%' GROUP BY url
 UNION ALL SELECT page_id, url FROM pages WHERE url IS NULL OR url = ''""",
         "stream_crawl": "SELECT DISTINCT user_id || '/' || event_type AS url, '2023-11-14T22:13:20' AS scraped_at FROM events",
-        "crawl_traverse": """
-SELECT url, 0 AS depth, CAST(len(regexp_extract_all(any_value(html), '<a[^>]*href="([^"]*)"', 1)) AS INT) AS n_links FROM pages WHERE url <> '' GROUP BY url""",
+        "crawl_traverse": r"""
+WITH RECURSIVE walk AS (
+  SELECT page_id, 0 AS depth FROM pages WHERE page_id BETWEEN 1 AND 9
+  UNION SELECT p.page_id, depth + 1 FROM walk w JOIN pages p ON p.page_id IN (2 * w.page_id, 2 * w.page_id + 1)),
+reached AS (SELECT page_id, min(depth) AS depth FROM walk GROUP BY 1)
+SELECT 'https://site.example/d' || (page_id % 7) || '/p' || page_id AS url, CAST(depth AS INT) AS depth,
+  nullif(trim(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<h1[^>]*>([^<]*)', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&amp;', '&')), '') AS title
+FROM reached JOIN pages USING (page_id)""",
         "vector_upsert": """
 SELECT coalesce(n.doc_id, o.vec_id) AS doc_id, coalesce(n.label, o.label) AS label, CAST(coalesce(n.first, o.embedding[1]) AS DOUBLE) AS first
 FROM embeddings o FULL JOIN (SELECT vec_id + 100 AS doc_id, label + 10 AS label, embedding[1] AS first FROM embeddings) n ON n.doc_id = o.vec_id""",

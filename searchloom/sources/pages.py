@@ -9,42 +9,61 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import fresh_dir
 from .html import NEWS, Profile, extract
 
-#: Rounds after which a crawl ends, whatever is left.
-MAX_DEPTH = 100
+
+def _without_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments (RFC 3986, 5.2.4)."""
+    steps = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
+    kept = F.aggregate(
+        steps,
+        F.expr("cast(array() as array<string>)"),
+        lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s))),
+    )
+    closed = F.when(F.element_at(steps, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path == "", path).otherwise(F.concat(F.lit("/"), F.array_join(closed, "/")))
 
 
 def resolve(base: Column, href: Column) -> Column:
-    """A link as an absolute URL without its fragment; null for what is no web page."""
-    link = F.regexp_replace(F.trim(href), "#.*$", "")
-    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
-    folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*(?:/.*)?)/[^/]*$", 1)
-    return (
-        F.when(link.rlike("^https?://"), link)
-        .when((link == "") | link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+    """A link as an absolute URL without its fragment (RFC 3986); null for what is no other web page.
+
+    Dot segments are removed, scheme and host are in lower case, so that a page
+    has one name however it is linked.
+    """
+    link, page = F.regexp_replace(F.trim(href), "(?s)#.*$", ""), F.regexp_replace(base, "(?s)#.*$", "")
+    scheme = F.lower(F.regexp_extract(page, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1))
+    origin = F.regexp_extract(page, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1)
+    path = F.regexp_extract(page, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)", 1)
+    folder = F.regexp_extract(path, "^(.*/)[^/]*$", 1)
+    whole = (
+        F.when(link == "", F.lit(None))
+        .when(link.rlike("^(?i:https?):"), link)
+        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
         .when(link.startswith("//"), F.concat(scheme, link))
         .when(link.startswith("/"), F.concat(origin, link))
-        .otherwise(F.concat(F.when(F.length(folder) > F.length(scheme) + 2, folder).otherwise(origin), F.lit("/"), link))
+        .when(link.startswith("?"), F.concat(origin, path, link))
+        .otherwise(F.concat(origin, F.when(folder == "", F.lit("/")).otherwise(folder), link))
     )
+    part = lambda i: F.regexp_extract(whole, r"(?s)^((?i:https?)://[^/?]+)([^?]*)(\?.*)?$", i)
+    return F.when(part(1) != "", F.concat(F.lower(part(1)), _without_dots(part(2)), F.coalesce(part(3), F.lit(""))))
 
 
 def from_table(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """A fetcher that finds (url, html) in a table; a live one would ask the network from ``mapInArrow``."""
-    return lambda urls: pages.select("url", "html").dropDuplicates(["url"]).join(urls, "url")
+    """A fetcher that finds (url, html) in a table, of several pages of one URL the least by html; ``paced`` asks live sites."""
+    return lambda urls: pages.join(urls, "url", "left_semi").groupBy("url").agg(F.min("html").alias("html"))
 
 
-def traverse(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], profile: Profile = NEWS, max_depth: int = MAX_DEPTH) -> DataFrame:
+def traverse(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], profile: Profile = NEWS, max_depth: int | None = None) -> DataFrame:
     """(url, depth, the fields of an article) of every page reached from the seeds (url), each once.
 
     A round fetches a whole frontier; what it found is written, so a lost
     executor costs a round at most.  The links and next pages that no round had
-    are the next frontier; a URL that can't be fetched is left out.
+    are the next frontier, until there is none; a URL that can't be fetched is
+    left out.  ``max_depth``: follow links from pages of lesser depth only.
     """
     spark = seeds.sparkSession
     folder = fresh_dir(spark, "crawl")
     schema, frontier, asked = None, seeds.select("url").where("url <> ''").distinct(), f"{folder}/asked"
     depth = 0
-    while depth <= max_depth:
+    while max_depth is None or depth <= max_depth:
         frontier.withColumn("depth", F.lit(depth)).write.mode("append").parquet(asked)
         now = spark.read.parquet(asked).where(F.col("depth") == depth).select("url")
         if now.isEmpty():

@@ -147,13 +147,13 @@ def test_traverse(spark):
     link = lambda *urls: "".join(f'<div class="abstract-title"><a href="{u}">x</a></div>' for u in urls)
     pages = [
         ("https://x.org/tag/a", link("/1", "two", "https://x.org/1#top", "mailto:a@b") + '<a class="btn-next" href="?p=2">n</a>'),
-        ("https://x.org/1", "<h1>One</h1>" + link("/tag/a")), ("https://x.org/tag/two", "<h1>Two</h1>"), ("https://x.org/tag/?p=2", link("//y.org/3", "/gone")), ("https://y.org/3", "<h1>Three</h1>"),
+        ("https://x.org/1", "<h1>One</h1>" + link("/tag/a")), ("https://x.org/tag/two", "<h1>Two</h1>"), ("https://x.org/tag/a?p=2", link("//y.org/3", "/gone")), ("https://y.org/3", "<h1>Three</h1>"),
         ("https://x.org/unlinked", ""),
     ]
     table = spark.createDataFrame(pages, "url string, html string")
     seeds = spark.createDataFrame([("https://x.org/tag/a",), ("https://x.org/tag/a",), (None,)], "url string")
     found = {r.url: (r.depth, r.title) for r in sources.traverse(seeds, sources.from_table(table)).collect()}
-    assert found == {"https://x.org/tag/a": (0, None), "https://x.org/1": (1, "One"), "https://x.org/tag/two": (1, "Two"), "https://x.org/tag/?p=2": (1, None), "https://y.org/3": (2, "Three")}
+    assert found == {"https://x.org/tag/a": (0, None), "https://x.org/1": (1, "One"), "https://x.org/tag/two": (1, "Two"), "https://x.org/tag/a?p=2": (1, None), "https://y.org/3": (2, "Three")}
     assert sources.traverse(seeds.limit(0), sources.from_table(table)).count() == 0
 
 
@@ -170,3 +170,29 @@ def test_large_files_are_split(spark, tmp_path):
         assert sorted(r.line_no for r in store.malformed.collect()) == [i + 1 for i in range(0, 2000, 97)]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_resolve(spark):
+    """The examples of RFC 3986, 5.4, for web pages, and a few more."""
+    base = "http://a/b/c/d;p?q"
+    expected = {
+        "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y", "#s": None,
+        "g#s": "http://a/b/c/g", "g?y#s": "http://a/b/c/g?y", ";x": "http://a/b/c/;x", "g;x": "http://a/b/c/g;x", "": None, ".": "http://a/b/c/", "./": "http://a/b/c/", "..": "http://a/b/",
+        "../": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../": "http://a/", "../../g": "http://a/g", "../../../g": "http://a/g", "../../../../g": "http://a/g",
+        "/./g": "http://a/g", "/../g": "http://a/g", "g.": "http://a/b/c/g.", ".g": "http://a/b/c/.g", "g..": "http://a/b/c/g..", "./../g": "http://a/b/g", "./g/.": "http://a/b/c/g/",
+        "g/./h": "http://a/b/c/g/h", "g/../h": "http://a/b/c/h", "g;x=1/./y": "http://a/b/c/g;x=1/y", "g;x=1/../y": "http://a/b/c/y", "g?y/./x": "http://a/b/c/g?y/./x", "g?y/../x": "http://a/b/c/g?y/../x",
+        "HTTP://Z.org/A": "http://z.org/A", "mailto:a@b": None, "javascript:f()": None, " /x ": "http://a/x", "https://y.org": "https://y.org", "https://y.org/a/../b": "https://y.org/b", "http:": None,
+    }
+    rows = [(base, h) for h in expected] + [("https://x.org", "a"), ("https://x.org?q", "?p=2"), ("https://x.org/tag/a", "?p=2"), ("https://x.org/t#f", "u"), ("https://x.org/", None)]
+    got = [r.u for r in spark.createDataFrame(rows, "b string, h string").coalesce(1).select(sources.resolve(F.col("b"), F.col("h")).alias("u")).collect()]
+    assert dict(zip(expected, got, strict=False)) == expected
+    assert got[len(expected) :] == ["https://x.org/a", "https://x.org?p=2", "https://x.org/tag/a?p=2", "https://x.org/u", None]
+
+
+def test_a_long_listing_is_followed_to_its_end(spark):
+    pages = spark.range(1, 131).select(F.concat(F.lit("https://x.org/l?p="), "id").alias("url"), F.concat(F.lit('<a class="btn-next" href="?p='), F.col("id") + 1, F.lit('">n</a>')).alias("html"))
+    seeds = spark.createDataFrame([("https://x.org/l?p=125",)], "url string")
+    assert sources.traverse(seeds, sources.from_table(pages)).count() == 6
+    assert sources.traverse(seeds, sources.from_table(pages), max_depth=2).count() == 3
+    twice = spark.createDataFrame([("u", "<h1>b</h1>"), ("u", "<h1>a</h1>")], "url string, html string")
+    assert [r.html for r in sources.from_table(twice)(spark.createDataFrame([("u",)], "url string")).collect()] == ["<h1>a</h1>"]
