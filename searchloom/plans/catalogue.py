@@ -19,6 +19,7 @@ from ..operators.vectors import VectorTable
 from ..session import fresh_dir
 from ..sources.html import PLAIN, crawl_items, extract
 from ..sources.jsonl import DocumentStore, append_items
+from ..sources.paced import PARTS, plan_crawl, read_pages
 from ..sources.pages import from_table, traverse
 from ..streaming.crawl import append, crawl, index_each_batch, load_generations, not_in, read_stream, session, unseen
 from .search import search
@@ -386,6 +387,24 @@ def crawl_traverse(spark, sf_dir):
     return found.select("url", "depth", "title")
 
 
+def paced_pages(spark, sf_dir):
+    """Every page's URL as a seed of a polite crawl, which ends before the last batch and is started again; here the pages come from a table at once."""
+    folder = fresh_dir(spark, "paced")
+    pages = table(spark, sf_dir, "pages")
+    pages.select("url", "html").write.parquet(f"{folder}/site")
+    plan_crawl(pages, f"{folder}/frontier")
+    for last in (False, True):
+        stream = read_pages(spark, f"{folder}/frontier", "searchloom.sources.paced:from_parquet", source=f"{folder}/site", delay=0, batch=PARTS)
+        writer = stream.select("url", "host", F.length("html").alias("n_chars")).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+        if last:
+            query = writer.start()
+            query.processAllAvailable()
+            query.stop()
+        else:
+            writer.trigger(availableNow=True).start().awaitTermination()  # one batch
+    return spark.read.schema("url string, host string, n_chars int").parquet(f"{folder}/out")
+
+
 def query_map() -> dict:
     functions = (
         normalize_tokens, postings_tf, doc_info_length, index_stats, collection_model, ql_dirichlet_topk, ql_dirichlet_category, ql_batch_topk, query_parse_filters,
@@ -393,5 +412,6 @@ def query_map() -> dict:
         docs_by_category, doc_lookup, docs_in_category, dedupe_last_wins, seen_url_antijoin, stream_dedupe, stream_index, html_title, html_links, html_content,
         crawl_item, detect_brand_os, pc_subcategories, sink_route, jsonl_roundtrip, uuid5_id, tag_union, index_roundtrip, vector_text_search, vector_add_document, vector_hits, first_filled_text,
         seen_url_sessions, stream_crawl, crawl_traverse, article_title, ql_saved_topk, ql_blockmax_topk, rm1_saved, flagship_saved, saved_stats,
+        paced_pages,
     )
     return {f.__name__: f for f in functions}

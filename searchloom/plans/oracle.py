@@ -161,6 +161,9 @@ reached AS (SELECT page_id, min(depth) AS depth FROM walk GROUP BY 1)
 SELECT 'https://site.example/d' || (page_id % 7) || '/p' || page_id AS url, CAST(depth AS INT) AS depth,
   nullif(trim(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<h1[^>]*>([^<]*)', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&amp;', '&')), '') AS title
 FROM reached JOIN pages USING (page_id)""",
+        "paced_pages": """
+SELECT url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)', 1)) AS host, CAST(length(min(html)) AS INT) AS n_chars
+FROM pages WHERE url <> '' AND html IS NOT NULL GROUP BY url""",
         "vector_upsert": """
 SELECT coalesce(n.doc_id, o.vec_id) AS doc_id, coalesce(n.label, o.label) AS label, CAST(coalesce(n.first, o.embedding[1]) AS DOUBLE) AS first
 FROM embeddings o FULL JOIN (SELECT vec_id + 100 AS doc_id, label + 10 AS label, embedding[1] AS first FROM embeddings) n ON n.doc_id = o.vec_id""",
