@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.detect import brand, operating_system, pc_subcategory, sink_category, uuid5
 from ..functions.queries import process, weights
 from ..functions.text import first_filled, normalize
+from ..operators.graph import GraphIndex
 from ..operators.index import Index, build_index, index_of_tokens, latest, tokenized
 from ..operators.language_model import LanguageModel
 from ..operators.tfidf import TextCollection, TfIdf
@@ -173,6 +174,20 @@ def vector_upsert(spark, sf_dir):
     return vectors.upsert(new).rows.select("doc_id", "label", F.col("embedding")[0].cast("double").alias("first"))
 
 
+def vector_graph_recall(spark, sf_dir):
+    """Whether the graph finds nine of ten of the exact search's hits, as built and after an upsert of moved and new vectors."""
+    exact = vector_table(spark, sf_dir)
+    asked = exact.rows.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
+    moved = exact.rows.select((F.col("doc_id") + 100).alias("doc_id"), "embedding", "label")
+    built = GraphIndex.build(exact.rows, fresh_dir(spark, "graph"), shard=1000)
+    out = None
+    for state, table_, graph in (("built", exact, built), ("upserted", exact.upsert(moved), built.upsert(moved))):
+        both = table_.search(asked).join(graph.search(asked).select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
+        found = both.groupBy("query_id").agg((F.count("hit") >= 0.9 * F.count("*")).alias("enough")).withColumn("state", F.lit(state))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def vector_stats(spark, sf_dir):
     return vector_table(spark, sf_dir).stats()
 
@@ -412,6 +427,6 @@ def query_map() -> dict:
         docs_by_category, doc_lookup, docs_in_category, dedupe_last_wins, seen_url_antijoin, stream_dedupe, stream_index, html_title, html_links, html_content,
         crawl_item, detect_brand_os, pc_subcategories, sink_route, jsonl_roundtrip, uuid5_id, tag_union, index_roundtrip, vector_text_search, vector_add_document, vector_hits, first_filled_text,
         seen_url_sessions, stream_crawl, crawl_traverse, article_title, ql_saved_topk, ql_blockmax_topk, rm1_saved, flagship_saved, saved_stats,
-        paced_pages,
+        paced_pages, vector_graph_recall,
     )
     return {f.__name__: f for f in functions}

@@ -167,6 +167,7 @@ FROM pages WHERE url <> '' AND html IS NOT NULL GROUP BY url""",
         "vector_upsert": """
 SELECT coalesce(n.doc_id, o.vec_id) AS doc_id, coalesce(n.label, o.label) AS label, CAST(coalesce(n.first, o.embedding[1]) AS DOUBLE) AS first
 FROM embeddings o FULL JOIN (SELECT vec_id + 100 AS doc_id, label + 10 AS label, embedding[1] AS first FROM embeddings) n ON n.doc_id = o.vec_id""",
+        "vector_graph_recall": "SELECT vec_id AS query_id, state, TRUE AS enough FROM embeddings, (VALUES ('built'), ('upserted')) s(state) WHERE vec_id % 100 = 0",
         "vector_stats": "SELECT count(*) AS vectors FROM embeddings",
         "docs_by_category": "SELECT lang AS category, count(*) AS documents FROM documents GROUP BY 1",
         "doc_lookup": "SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(text, '') AS content, source, lang AS category FROM documents WHERE doc_id = 7",

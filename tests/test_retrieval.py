@@ -281,3 +281,31 @@ def test_merge_index_takes_the_last_of_an_id(spark):
     docs = documents(spark, {1: "gato gato"}).unionByName(documents(spark, {1: "perro"}))
     merged = merge_index(build_index(documents(spark, {1: "luna", 2: "mar"})), docs)
     assert sorted(map(tuple, merged.postings.collect())) == [("mar", "2", 1), ("perro", "1", 1)]
+
+
+def test_graph(spark, tmp_path):
+    """Recall against the exact search over several shards; upserts replace and add; other lengths and odd vectors as there."""
+    from searchloom.operators.graph import GraphIndex
+
+    rng = random.Random(4)
+    rows = [(f"d{i}", [rng.gauss(0, 1) for _ in range(12)]) for i in range(1500)] + [("two", [1.0, 2.0]), ("null", None), ("odd", [None] * 12), ("zero", [0.0] * 12)] + [(f"same{i}", [1.0] * 12) for i in range(40)]
+    exact = VectorTable(spark.createDataFrame(rows, "doc_id string, embedding array<double>"))
+    with pytest.raises(FileNotFoundError):
+        GraphIndex.open(spark, str(tmp_path / "none"))
+    graph = GraphIndex.build(exact.rows, str(tmp_path / "graph"), shard=400)
+    assert graph.count == 4 and graph.stats().first().vectors == 1542
+
+    def recall(table, graph, asked):
+        best, found = ({(r.query_id, r.doc_id, r.score) for r in x.search(asked, 10).collect()} for x in (table, graph))
+        return len(best & found) / len(best)
+
+    asked = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(12)]) for i in range(60)] + [(100, [2.0, 1.0]), (101, None)], "query_id long, embedding array<double>")
+    assert recall(exact, graph, asked) >= 0.95
+    new = spark.createDataFrame([(f"d{i}", [rng.gauss(0, 1) for _ in range(12)]) for i in range(1450, 1600)] + [("d1", [0.0, 1.0]), ("three", [1.0, 0.0, 0.0])], "doc_id string, embedding array<double>")
+    after = graph.upsert(new)
+    assert after.stats().first().vectors == 1542 + 102 and graph.stats().first().vectors == 1542
+    more = asked.unionByName(spark.createDataFrame([(200, [3.0, 1.0, 0.0])], asked.schema))
+    wide = exact.upsert(new.where("doc_id <> 'd1'"))
+    assert recall(wide, after, more.where("query_id <> 100")) >= 0.95 and {r.doc_id for r in after.search(more).where("query_id = 200").collect()} == {"three"}
+    assert GraphIndex.open(spark, str(tmp_path / "graph")).stats().first().vectors == 1644
+    assert GraphIndex.build(exact.rows.limit(0), str(tmp_path / "empty")).search(asked).count() == 0
