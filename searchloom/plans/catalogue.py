@@ -23,6 +23,7 @@ from ..sources.jsonl import DocumentStore, append_items
 from ..sources.paced import PARTS, plan_crawl, read_pages
 from ..sources.pages import from_table, traverse
 from ..streaming.crawl import append, crawl, index_each_batch, load_generations, not_in, read_stream, session, unseen
+from ..streaming.seen import session_stream
 from .search import search
 
 #: A typed query with a term that no document has.
@@ -377,6 +378,16 @@ def seen_url_sessions(spark, sf_dir):
     return session(pages, log)
 
 
+def stream_seen_sessions(spark, sf_dir):
+    """Two streams with one log: what each (user, type) of the events was first seen in, the month's first half or all of it."""
+    log, out = fresh_dir(spark, "seen"), fresh_dir(spark, "sessions")
+    events = read_stream(spark, f"{sf_dir}/events.parquet").select(F.concat_ws("/", "user_id", "event_type").alias("url"), F.col("ts").cast("timestamp").alias("ts"))
+    for number, items in ((1, events.where("ts < '2024-01-02'")), (2, events)):
+        session_stream(items.select("url"), log, f"{out}/session={number}", fresh_dir(spark, "checkpoint")).awaitTermination()
+    found = spark.read.schema("url string, batch int, session int").option("basePath", out).parquet(f"{out}/session=*")
+    return found.select("url", "session")
+
+
 def stream_crawl(spark, sf_dir):
     """Stamp, drop what was seen, append: events as a crawl's items."""
     out, checkpoint = fresh_dir(spark, "crawl-stream"), fresh_dir(spark, "checkpoint")
@@ -427,6 +438,6 @@ def query_map() -> dict:
         docs_by_category, doc_lookup, docs_in_category, dedupe_last_wins, seen_url_antijoin, stream_dedupe, stream_index, html_title, html_links, html_content,
         crawl_item, detect_brand_os, pc_subcategories, sink_route, jsonl_roundtrip, uuid5_id, tag_union, index_roundtrip, vector_text_search, vector_add_document, vector_hits, first_filled_text,
         seen_url_sessions, stream_crawl, crawl_traverse, article_title, ql_saved_topk, ql_blockmax_topk, rm1_saved, flagship_saved, saved_stats,
-        paced_pages, vector_graph_recall,
+        paced_pages, vector_graph_recall, stream_seen_sessions,
     )
     return {f.__name__: f for f in functions}

@@ -152,6 +152,8 @@ CASE WHEN label > 4 THEN 'u' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS url,
         "seen_url_sessions": """
 SELECT min(page_id) AS page_id, url FROM pages WHERE url <> '' AND url NOT LIKE 'http://%' GROUP BY url
 UNION ALL SELECT page_id, url FROM pages WHERE url IS NULL OR url = ''""",
+        "stream_seen_sessions": """
+SELECT user_id || '/' || event_type AS url, CASE WHEN min(ts) < TIMESTAMP '2024-01-02' THEN 1 ELSE 2 END AS session FROM events GROUP BY 1""",
         "stream_crawl": "SELECT DISTINCT user_id || '/' || event_type AS url, '2023-11-14T22:13:20' AS scraped_at FROM events",
         "crawl_traverse": r"""
 WITH RECURSIVE walk AS (

@@ -196,3 +196,29 @@ def test_a_long_listing_is_followed_to_its_end(spark):
     assert sources.traverse(seeds, sources.from_table(pages), max_depth=2).count() == 3
     twice = spark.createDataFrame([("u", "<h1>b</h1>"), ("u", "<h1>a</h1>")], "url string, html string")
     assert [r.html for r in sources.from_table(twice)(spark.createDataFrame([("u",)], "url string")).collect()] == ["<h1>a</h1>"]
+
+
+def test_session_streams(spark, tmp_path):
+    """State goes on over restarts, a new session begins from the log, and a key's time to live ends."""
+    from searchloom.streaming.seen import session_stream
+
+    source, log = str(tmp_path / "in"), str(tmp_path / "log")
+
+    def feed(*urls):
+        spark.createDataFrame([(u, i) for i, u in enumerate(urls)], "url string, n int").coalesce(1).write.mode("append").parquet(source)
+
+    def run(out, **options):
+        session_stream(crawl.read_stream(spark, source), log, str(tmp_path / out), str(tmp_path / f"{out}-check"), **options).awaitTermination()
+        return sorted((r.url or "") for r in spark.read.schema("url string, n int").option("recursiveFileLookup", "true").parquet(str(tmp_path / out)).collect())
+
+    feed("a", "a", "b", None, "")
+    assert run("one") == ["", "", "a", "b"]
+    feed("b", "c")
+    assert run("one") == ["", "", "a", "b", "c"]
+    feed("d", "a")
+    assert run("two") == ["", "", "d"]
+    assert sorted(r.url for r in crawl.remembered(spark, log).distinct().collect()) == ["a", "b", "c", "d"]
+    log = str(tmp_path / "short")
+    assert run("three", ttl_seconds=0.001) == ["", "", "a", "b", "c", "d"]
+    feed("a")
+    assert run("three", ttl_seconds=0.001) == ["", "", "a", "a", "b", "c", "d"]
