@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
@@ -62,6 +63,22 @@ def normalize(text: Column, language: str = "spanish", contractions: bool = Fals
     return F.filter(F.split(x, r"\s+"), lambda t: (F.length(t) > 1) & ~t.isin(words))
 
 
+#: Normalisers by name: functions of a text column that give its tokens, array<string>.
+NORMALIZERS: dict[str, Callable[[Column], Column]] = {"spanish": normalize}
+
+
+def register_normalizer(name: str, function: Callable[[Column], Column]) -> str:
+    """Makes a normaliser known by a name, which is what indexes and models are saved with."""
+    NORMALIZERS[name] = function
+    return name
+
+
+def normalizer(name: str) -> Callable[[Column], Column]:
+    if name not in NORMALIZERS:
+        raise ValueError(f"no normaliser {name}; register_normalizer makes it known")
+    return NORMALIZERS[name]
+
+
 def clean(text: Column) -> Column:
     """Trimmed, lower-cased, every run of white space one blank."""
     return F.trim(F.lower(F.regexp_replace(text, WHITE, " ")))

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.text import document_text, normalize
+from ..functions.text import document_text, normalize, normalizer as normalizer_of
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings(term, doc_id, tf), doc_info(doc_id, length, ...), and what is counted from them."""
+    """postings(term, doc_id, tf), doc_info(doc_id, length, ...), and what is counted from them; ``normalizer`` names what made the terms."""
 
     postings: DataFrame
     doc_info: DataFrame
+    normalizer: str = field(default="spanish", kw_only=True)
 
     def stats(self) -> DataFrame:
         """One row: documents, vocabulary, tokens."""
@@ -62,31 +63,35 @@ def latest(docs: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return docs.withColumn("_place", F.row_number().over(place)).where("_place = 1").drop("_place")
 
 
-def tokenized(docs: DataFrame, language: str = "spanish", contractions: bool = False) -> DataFrame:
-    """Canonical documents with doc_id and tokens."""
-    return docs.withColumn("doc_id", document_id(F.col("id"), F.col("url"))).withColumn("tokens", normalize(document_text(F.col("title"), F.col("content")), language, contractions))
+def tokenized(docs: DataFrame, language: str = "spanish", contractions: bool = False, normalizer: str | None = None) -> DataFrame:
+    """Canonical documents with doc_id and tokens, by the ``normalizer`` of that name if one is given."""
+    text = document_text(F.col("title"), F.col("content"))
+    tokens = normalizer_of(normalizer)(text) if normalizer else normalize(text, language, contractions)
+    return docs.withColumn("doc_id", document_id(F.col("id"), F.col("url"))).withColumn("tokens", tokens)
 
 
-def build_index(docs: DataFrame, language: str = "spanish", contractions: bool = False) -> Index:
+def build_index(docs: DataFrame, language: str = "spanish", contractions: bool = False, normalizer: str | None = None) -> Index:
     """Indexes canonical documents of unique ids; documents without a token are left out.
 
     One shuffle, of (doc_id, term) counts summed before they are sent; lengths
-    are known where the document is read.
+    are known where the document is read.  ``normalizer``: the name of another
+    than the language's own.
     """
-    return index_of_tokens(tokenized(docs, language, contractions))
+    return index_of_tokens(tokenized(docs, language, contractions, normalizer), normalizer or language)
 
 
-def index_of_tokens(words: DataFrame) -> Index:
+def index_of_tokens(words: DataFrame, normalizer: str = "spanish") -> Index:
     """The index of ``tokenized`` documents; who uses both tables writes these first, so that no text is normalised twice."""
     postings = words.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     info = words.select("doc_id", F.size("tokens").cast("long").alias("length"), "title", "url", "source", "date", "tags", "category").where("length > 0")
-    return Index(postings, info)
+    return Index(postings, info, normalizer=normalizer)
 
 
 def merge_index(old: Index, docs: DataFrame, language: str = "spanish", contractions: bool = False) -> Index:
     """The index after ``docs`` came: a document that was indexed before is replaced; of several of one id the last by title and content counts."""
     named = latest(docs.withColumn("doc_id", document_id(F.col("id"), F.col("url"))), "doc_id", [F.col("title"), F.col("content")])
-    new = build_index(named, language, contractions)
+    own = None if old.normalizer == language else old.normalizer
+    new = build_index(named, language, contractions, own)
     ids = named.select("doc_id")
     keep = lambda rows: rows.join(ids, "doc_id", "left_anti").select(*rows.columns)
-    return Index(keep(old.postings).unionByName(new.postings), keep(old.doc_info).unionByName(new.doc_info))
+    return Index(keep(old.postings).unionByName(new.postings), keep(old.doc_info).unionByName(new.doc_info), normalizer=old.normalizer)

@@ -67,7 +67,7 @@ class StoredIndex(Index):
         _write(postings.groupBy("term", "range").agg(*sums, own), f"{folder}/blocks", "term", term_folders, "range")
         _write(index.doc_info, f"{folder}/documents", "doc_id", doc_folders)
         _write(postings.select("doc_id", "term", "tf"), f"{folder}/terms", "doc_id", doc_folders, "term")
-        generations.publish(spark, path, folder, term_folders=term_folders, doc_folders=doc_folders)
+        generations.publish(spark, path, folder, term_folders=term_folders, doc_folders=doc_folders, normalizer=index.normalizer)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> StoredIndex:
@@ -81,7 +81,7 @@ class StoredIndex(Index):
         blocks = read("blocks", f"term string, range long, n long, cf long, max_tf long, min_length long, postings array<struct<{posting}>>")
         documents, terms = read("documents", info), read("terms", "doc_id string, term string, tf long")
         postings = blocks.select("term", F.inline("postings")).select("term", "doc_id", "tf")
-        return cls(postings, documents.drop("folder"), blocks, documents, terms, int(found.properties["term_folders"]), int(found.properties["doc_folders"]))
+        return cls(postings, documents.drop("folder"), blocks, documents, terms, int(found.properties["term_folders"]), int(found.properties["doc_folders"]), normalizer=found.properties["normalizer"])
 
     def _terms(self) -> DataFrame:
         return self.blocks.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("n").alias("df"))

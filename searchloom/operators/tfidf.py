@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions.text import document_text, normalize
+from ..functions.text import document_text, normalizer as normalizer_of
+from ..sources import generations
 from .index import Index, document_id, latest
 from .vectors import scalar_columns
 
@@ -21,6 +22,7 @@ class TfIdf:
 
     vocabulary: DataFrame
     vectors: DataFrame
+    normalizer: str = field(default="spanish", kw_only=True)
 
     @classmethod
     def fit(cls, index: Index, n_documents: int | DataFrame | None = None, max_features: int = MAX_FEATURES) -> TfIdf:
@@ -39,7 +41,7 @@ class TfIdf:
             counted = (n_documents if n_documents is not None else index.doc_info).agg(F.count("*").alias("n"))
             terms, n = terms.crossJoin(F.broadcast(counted)), F.col("n")  # one row
         vocabulary = terms.select("term", "cf", "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
-        return cls(vocabulary, cls._weighted(index.postings, vocabulary, "doc_id"))
+        return cls(vocabulary, cls._weighted(index.postings, vocabulary, "doc_id"), normalizer=index.normalizer)
 
     @staticmethod
     def _weighted(counts: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
@@ -60,17 +62,20 @@ class TfIdf:
         return pairs.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
     def save(self, path: str) -> None:
-        self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
-        self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+        """As a new generation of the path."""
+        folder = generations.begin(path)
+        self.vocabulary.write.parquet(f"{folder}/vocabulary")
+        self.vectors.write.parquet(f"{folder}/vectors")
+        generations.publish(self.vocabulary.sparkSession, path, folder, normalizer=self.normalizer)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TfIdf:
-        return cls(spark.read.parquet(f"{path}/vocabulary"), spark.read.parquet(f"{path}/vectors"))
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+        """The latest generation; raises FileNotFoundError where there is none."""
+        found = generations.current(spark, path)
+        if found is None:
+            raise FileNotFoundError(path)
+        read = lambda name, schema: spark.read.schema(schema).parquet(f"{found.folder}/{name}")
+        return cls(read("vocabulary", "term string, cf long, df long, idf double"), read("vectors", "doc_id string, term string, w double"), normalizer=found.properties["normalizer"])
 
 
 @dataclass(frozen=True)
@@ -88,42 +93,46 @@ class TextCollection:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> TextCollection:
-        """What was saved at the path, or an empty collection without a model."""
-        if not path_exists(spark, f"{path}/metadata"):
+        """The latest generation of the path, or an empty collection without a model."""
+        found = generations.current(spark, path)
+        if found is None:
             return cls(spark.createDataFrame([], "doc_id string, term string, w double"), spark.createDataFrame([], "doc_id string"))
-        model = TfIdf.load(spark, f"{path}/model") if path_exists(spark, f"{path}/model/vocabulary") else None
-        return cls(spark.read.parquet(f"{path}/all"), spark.read.parquet(f"{path}/metadata"), model)
+        model = TfIdf.load(spark, f"{found.folder}/model") if found.properties["model"] == "True" else None
+        vectors = spark.read.schema("doc_id string, term string, w double").parquet(f"{found.folder}/all")
+        return cls(vectors, spark.read.parquet(f"{found.folder}/metadata"), model)
 
     def save(self, path: str) -> None:
-        """To a path that this collection wasn't opened from."""
-        self.vectors.write.mode("overwrite").parquet(f"{path}/all")
-        self.metadata.write.mode("overwrite").parquet(f"{path}/metadata")
+        """As a new generation of the path, which may be the one it was opened from."""
+        folder = generations.begin(path)
+        self.vectors.write.parquet(f"{folder}/all")
+        self.metadata.write.parquet(f"{folder}/metadata")
         if self.model:
-            self.model.save(f"{path}/model")
+            self.model.save(f"{folder}/model")
+        generations.publish(self.vectors.sparkSession, path, folder, model=self.model is not None)
 
     def _embedder(self) -> TfIdf:
         if self.model is None:
             raise RuntimeError("texts need a model to embed them")
         return self.model
 
-    def add(self, docs: DataFrame, language: str = "spanish") -> TextCollection:
+    def add(self, docs: DataFrame) -> TextCollection:
         """Canonical documents embedded by the model; they win by doc_id, of several for one the last by title and content.
 
         The metadata are the documents' scalar columns but id and content.
         """
         model = self._embedder()
         new = latest(docs.withColumn("doc_id", document_id(F.col("id"), F.col("url"))), "doc_id", [F.col("title"), F.col("content")])
-        tokens = new.select(F.col("doc_id").alias("query_id"), normalize(document_text(F.col("title"), F.col("content")), language).alias("tokens"))
+        tokens = new.select(F.col("doc_id").alias("query_id"), normalizer_of(model.normalizer)(document_text(F.col("title"), F.col("content"))).alias("tokens"))
         ids = new.select("doc_id")
         kept = lambda rows: rows.join(ids, "doc_id", "left_anti").select(*rows.columns)
         vectors = kept(self.vectors).unionByName(model.embed(tokens).withColumnRenamed("query_id", "doc_id"))
         shown = new.select("doc_id", *(c for c in scalar_columns(new) if c != "doc_id"))
         return replace(self, vectors=vectors, metadata=kept(self.metadata).unionByName(shown, allowMissingColumns=True))
 
-    def search(self, queries: DataFrame, k: int = 10, language: str = "spanish") -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """(query_id, rank, doc_id, score, metadata...) of a table (query_id, query) of strings; texts that share no term aren't hits."""
         model = self._embedder()
-        asked = queries.select("query_id", normalize(F.col("query"), language).alias("tokens"))
+        asked = queries.select("query_id", normalizer_of(model.normalizer)(F.col("query")).alias("tokens"))
         return replace(model, vectors=self.vectors).search(asked, k).join(self.metadata, "doc_id")
 
     def stats(self) -> DataFrame:

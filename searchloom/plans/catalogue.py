@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import sql
 from ..functions.detect import brand, operating_system, pc_subcategory, sink_category, uuid5
 from ..functions.queries import process, weights
-from ..functions.text import first_filled, normalize
+from ..functions.text import first_filled, normalize, register_normalizer
 from ..operators.graph import GraphIndex
-from ..operators.index import Index, build_index, index_of_tokens, latest, tokenized
+from ..operators.index import Index, build_index, index_of_tokens, latest, merge_index, tokenized
 from ..operators.language_model import LanguageModel
 from ..operators.tfidf import TextCollection, TfIdf
 from ..operators.vectors import VectorTable
@@ -122,7 +123,7 @@ def ql_batch_topk(spark, sf_dir):
 
 def query_parse_filters(spark, sf_dir):
     typed = spark.createDataFrame([(-i - 1, s) for i, s in enumerate(STRINGS)], "query_id long, query string")
-    said = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+    said = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
     pairs = F.array_sort(F.transform(F.map_entries("filters"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     return process(said.unionByName(typed)).select("query_id", "text", F.size("tokens").cast("long").alias("n_tokens"), F.array_join(pairs, ";").alias("filters"))
 
@@ -263,7 +264,10 @@ def pc_subcategories(spark, sf_dir):
 
 
 def sink_route(spark, sf_dir):
-    return spark.createDataFrame([(s,) for s in SPIDERS], "spider string").select("spider", sink_category(F.col("spider")).alias("category"))
+    """The folder of every source's items, as a spider's name; and of the names with rules of their own."""
+    named = table(spark, sf_dir, "documents").where("source is not null").select(F.concat("source", F.lit("_"), F.when(F.col("doc_id") % 3 == 0, "mobile").when(F.col("doc_id") % 3 == 1, "pc").otherwise("blog")).alias("spider")).distinct()
+    inline = spark.createDataFrame([(s,) for s in SPIDERS], "spider string")
+    return named.unionByName(inline).select("spider", sink_category(F.col("spider")).alias("category"))
 
 
 def _as_items(docs: DataFrame) -> DataFrame:
@@ -292,9 +296,12 @@ def uuid5_id(spark, sf_dir):
 
 
 def tag_union(spark, sf_dir):
-    """Distinct on-page and meta tags: here the sources and languages that documents of one length share."""
-    rows = table(spark, sf_dir, "documents").groupBy("n_chars").agg(F.collect_set("source").alias("a"), F.collect_set("lang").alias("b"))
-    return rows.select("n_chars", F.array_join(F.array_sort(F.array_union("a", "b")), ",").alias("tags"))
+    """Distinct tags of a page, from its body and its metas, as the extraction joins them: every document's source and language, each on both sides."""
+    i, tag = F.col("doc_id"), lambda c: F.concat(F.lit("<a>"), F.coalesce(c, F.lit("")), F.lit("</a>"))
+    meta = lambda c: F.concat(F.lit('<meta property="article:tag" content="'), F.coalesce(c, F.lit("")), F.lit('">'))
+    html = F.concat(meta(F.col("lang")), meta(F.col("source")), F.lit('<div class="p-a-list">'), tag(F.col("source")), tag(F.concat(F.lit("t"), i % 4)), F.lit("</div>"))
+    found = extract(table(spark, sf_dir, "documents").select("doc_id", html.alias("html")))
+    return found.select("doc_id", F.array_join("tags", ",").alias("tags"))
 
 
 def index_roundtrip(spark, sf_dir):
@@ -431,6 +438,68 @@ def paced_pages(spark, sf_dir):
     return spark.read.schema("url string, host string, n_chars int").parquet(f"{folder}/out")
 
 
+LATIN = register_normalizer("latin", lambda text: F.filter(F.split(F.lower(text), "[^a-z]+"), lambda t: F.length(t) > 3))
+
+
+def postings_custom_normalizer(spark, sf_dir):
+    """An index by a normaliser of the caller's, saved and loaded with its name, and merged with one more document by the same."""
+    path = fresh_dir(spark, "latin")
+    docs = canonical_documents(spark, sf_dir)
+    build_index(docs, normalizer=LATIN).save(path)
+    more = docs.where("id = '7'").withColumn("content", F.lit("Nuevo texto NUEVO de prueba"))
+    return merge_index(Index.load(spark, path), more).postings.select("doc_id", "term", "tf")
+
+
+def sql_extract_links(spark, sf_dir):
+    """Extraction from SQL."""
+    sql.register(spark)
+    table(spark, sf_dir, "pages").createOrReplaceTempView("searchloom_pages")
+    return spark.sql("SELECT page_id, posexplode(links) AS (pos, href) FROM extract(TABLE(SELECT page_id, html FROM searchloom_pages), 'html', 'plain')")
+
+
+def sql_normalize_tokens(spark, sf_dir):
+    """Normalisation from SQL."""
+    sql.register(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("searchloom_documents")
+    return spark.sql("""
+        SELECT doc_id, posexplode(tokens) AS (pos, term)
+        FROM (SELECT CAST(doc_id AS STRING) AS doc_id, normalize_text(concat(' ', coalesce(text, ''))) AS tokens FROM searchloom_documents)""")
+
+
+def news_pages(spark, sf_dir) -> DataFrame:
+    """``documents`` as pages of the news template: title, author, dates, tags, section, image and paragraphs."""
+    safe = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    meta = lambda name, value: F.concat(F.lit(f'<meta property="{name}" content="'), value, F.lit('">'))
+    i, source, lang = F.col("doc_id"), F.col("source"), F.col("lang")
+    odd = i % 2 == 1
+    head = F.concat(
+        F.when(i % 3 > 0, meta("article:published_time", F.concat(F.lit("2024-01-"), F.lpad((i % 28 + 1).cast("string"), 2, "0")))).otherwise(F.lit("")),
+        meta("article:tag", lang), meta("article:tag", F.lit(" móviles ")), meta("article:section", F.concat(F.lit("s"), i % 5)), meta("og:image", F.concat(F.lit("/i/"), i)),
+        F.when(odd, F.concat(F.lit('<meta name="DC.Creator" content=" '), source, F.lit(' ">'))).otherwise(F.lit("")),
+    )
+    body = F.concat(
+        F.lit("<h1> Nota "), i, F.lit(" <b>x</b></h1>"), F.when(odd, F.lit("")).otherwise(F.concat(F.lit('<div class="p-a-chip"><span> Ana '), source, F.lit(" </span></div>"))),
+        F.when(i % 3 == 1, F.concat(F.lit('<time datetime="2023-12-'), F.lpad((i % 28 + 1).cast("string"), 2, "0"), F.lit('">t</time>'))).otherwise(F.lit("")),
+        F.lit('<div class="article-content"><p>uno '), safe(F.col("text")), F.lit(" dos<script>no()</script></p><h2>tres</h2><ul><li>cuatro</ul><em>out</em></div><p>out</p>"),
+        F.lit('<div class="article-tags"><a>iphone</a><a> '), source, F.lit(" </a><a></a></div>"),
+    )
+    rows = table(spark, sf_dir, "documents").where("doc_id is not null")
+    return rows.select("doc_id", F.concat(F.lit("https://n.example/"), i).alias("url"), F.concat(head, body).alias("html"))
+
+
+def news_articles(spark, sf_dir):
+    """Every field that the news profile selects."""
+    found = extract(news_pages(spark, sf_dir))
+    return found.select("doc_id", "title", "author", "date", "content", F.array_join("tags", "|").alias("tags"), "section", "image")
+
+
+def news_items(spark, sf_dir):
+    """Crawl items of these articles, with the detectors' brand, system and category."""
+    clock = F.timestamp_seconds(F.lit(1_700_000_000))
+    items = crawl_items(extract(news_pages(spark, sf_dir)), "pc", "fixture", now=clock)
+    return items.select("url", "date", "source", "scraped_at", "brand", "os", "category", F.col("metadata.section").alias("section"), F.col("metadata.blog_type").alias("blog_type"), F.size("specs").alias("n_specs"), "price")
+
+
 def query_map() -> dict:
     functions = (
         normalize_tokens, postings_tf, doc_info_length, index_stats, collection_model, ql_dirichlet_topk, ql_dirichlet_category, ql_batch_topk, query_parse_filters,
@@ -438,6 +507,6 @@ def query_map() -> dict:
         docs_by_category, doc_lookup, docs_in_category, dedupe_last_wins, seen_url_antijoin, stream_dedupe, stream_index, html_title, html_links, html_content,
         crawl_item, detect_brand_os, pc_subcategories, sink_route, jsonl_roundtrip, uuid5_id, tag_union, index_roundtrip, vector_text_search, vector_add_document, vector_hits, first_filled_text,
         seen_url_sessions, stream_crawl, crawl_traverse, article_title, ql_saved_topk, ql_blockmax_topk, rm1_saved, flagship_saved, saved_stats,
-        paced_pages, vector_graph_recall, stream_seen_sessions,
+        paced_pages, vector_graph_recall, stream_seen_sessions, postings_custom_normalizer, sql_extract_links, sql_normalize_tokens, news_articles, news_items,
     )
     return {f.__name__: f for f in functions}

@@ -85,11 +85,15 @@ def _case(table: tuple[tuple[str, str], ...], text: str) -> str:
 def _strings() -> str:
     """Cleaned query strings: trimmed, lower-cased, one blank for white space."""
     return rf"""
-s AS (SELECT conv_id * 1000 + turn AS query_id, text AS query FROM conversations WHERE role = 'user' UNION ALL SELECT * FROM (VALUES {_values(STRINGS)}) v(query_id, query)),
+s AS (SELECT conv_id * 1000 + turn AS query_id, text AS query FROM conversations UNION ALL SELECT * FROM (VALUES {_values(STRINGS)}) v(query_id, query)),
 c AS (SELECT query_id, string_split(trim(lower(regexp_replace(coalesce(query, ''), '[\s\p{{Z}}\x{{85}}]+', ' ', 'g'))), ' ') AS words FROM s),
 w AS (SELECT query_id, i, words[i] AS word, regexp_matches(words[i], '^[\p{{L}}\p{{N}}_]+:\S+$') AS f FROM (SELECT query_id, words, unnest(range(1, len(words) + 1)) AS i FROM c) WHERE words[i] <> '')"""
 
 
+#: A page's date: of its time element, else of its metas.
+_DATE = "CASE WHEN doc_id % 3 = 1 THEN '2023-12-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') WHEN doc_id % 3 = 2 THEN '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') END"
+
+
 def sql_map() -> dict[str, str]:
     index, bench, typed = _index(), _bench(), _typed()
     laptop, component = (" OR ".join(f"contains(text, {_quoted(w)})" for w in words) for words in (LAPTOP_WORDS, COMPONENT_WORDS))
@@ -186,9 +190,10 @@ SELECT page_id, CAST(i - 1 AS INT) AS pos, links[i] AS href FROM (SELECT page_id
 FROM (SELECT page_id, regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1) AS links FROM pages))""",
         "detect_brand_os": f"SELECT doc_id, {_case(BRANDS, 'lower(text)')} AS brand, {_case(SYSTEMS, 'lower(text)')} AS os FROM ({rows})",
         "pc_subcategories": f"SELECT CASE WHEN {laptop} THEN 'laptop' WHEN {component} THEN 'component' ELSE 'pc' END AS subcategory, count(*) AS n FROM ({rows}) GROUP BY 1",
-        "sink_route": "SELECT spider, CASE WHEN contains(spider, 'mobile') OR spider = 'apple_newsroom' THEN 'mobile' WHEN contains(spider, 'pc') THEN 'pc' ELSE 'general' END AS category FROM (VALUES "
-        + ", ".join(f"({_quoted(s)})" for s in SPIDERS)
-        + ") v(spider)",
+        "sink_route": f"""
+WITH v AS (SELECT DISTINCT source || '_' || CASE doc_id % 3 WHEN 0 THEN 'mobile' WHEN 1 THEN 'pc' ELSE 'blog' END AS spider FROM documents WHERE source IS NOT NULL
+  UNION ALL SELECT * FROM (VALUES {", ".join(f"({_quoted(s)})" for s in SPIDERS)}) s(spider))
+SELECT spider, CASE WHEN contains(spider, 'mobile') OR spider = 'apple_newsroom' THEN 'mobile' WHEN contains(spider, 'pc') THEN 'pc' ELSE 'general' END AS category FROM v""",
         "jsonl_roundtrip": """
 SELECT 'https://example.org/' || doc_id AS id, '' AS title, CASE WHEN doc_id % 2 = 0 THEN 'again ' || text ELSE coalesce(text, '') END AS content, source,
        CASE WHEN doc_id % 2 = 0 THEN 'pc' ELSE 'mobile' END AS category, lang AS subcategory, lang AS tags FROM documents""",
@@ -196,7 +201,21 @@ SELECT 'https://example.org/' || doc_id AS id, '' AS title, CASE WHEN doc_id % 2
 WITH h AS (SELECT doc_id, sha1(unhex('{URL_NAMESPACE}') || encode(coalesce(text, ''))) AS x FROM documents)
 SELECT doc_id, substr(x, 1, 8) || '-' || substr(x, 9, 4) || '-5' || substr(x, 14, 3) || '-' || substr('89ab', (CAST('0x' || substr(x, 17, 1) AS INT) % 4) + 1, 1) || substr(x, 18, 3) || '-' || substr(x, 21, 12) AS id FROM h""",
         "tag_union": """
-SELECT n_chars, string_agg(tag, ',' ORDER BY tag) AS tags FROM (SELECT DISTINCT n_chars, tag FROM (SELECT n_chars, source AS tag FROM documents UNION ALL SELECT n_chars, lang FROM documents)) GROUP BY n_chars""",
+SELECT doc_id, coalesce(string_agg(tag, ',' ORDER BY tag), '') AS tags FROM (
+  SELECT DISTINCT doc_id, trim(tag) AS tag FROM (SELECT doc_id, unnest([source, lang, 't' || (doc_id % 4)]) AS tag FROM documents) WHERE trim(tag) <> '') GROUP BY doc_id""",
+        "postings_custom_normalizer": r"""
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id = 7 THEN 'Nuevo texto NUEVO de prueba' ELSE coalesce(text, '') END AS text FROM documents)
+SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(string_split_regex(lower(' ' || text), '[^a-z]+')) AS term FROM d) WHERE length(term) > 3 GROUP BY ALL""",
+        "news_articles": rf"""
+SELECT doc_id, 'Nota ' || doc_id AS title, CASE WHEN doc_id % 2 = 1 THEN source ELSE 'Ana ' || source END AS author, {_DATE} AS date,
+  'uno ' || coalesce(text, '') || ' dos tres cuatro' AS content,
+  (SELECT string_agg(tag, '|' ORDER BY tag) FROM (SELECT DISTINCT trim(unnest([lang, 'móviles', 'iphone', source])) AS tag)) AS tags, 's' || (doc_id % 5) AS section, '/i/' || doc_id AS image
+FROM documents WHERE doc_id IS NOT NULL""",
+        "news_items": f"""
+WITH t AS (SELECT doc_id, 'Nota ' || doc_id || ' uno ' || coalesce(text, '') || ' dos tres cuatro' AS text, {_DATE} AS date, lang, source FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT *, lower(text || ' ' || list_aggregate(list_sort(list_distinct([lang, 'móviles', 'iphone', source])), 'string_agg', ' ')) AS every FROM t)
+SELECT 'https://n.example/' || doc_id AS url, coalesce(date, '2023-11-14T22:13:20Z') AS date, 'fixture' AS source, '2023-11-14T22:13:20' AS scraped_at, {_case(BRANDS, "every")} AS brand, {_case(SYSTEMS, "every")} AS os,
+  CASE WHEN {laptop} THEN 'laptop' WHEN {component} THEN 'component' ELSE 'pc' END AS category, 's' || (doc_id % 5) AS section, 'magazine' AS blog_type, 0 AS n_specs, CAST(NULL AS VARCHAR) AS price FROM s""",
     }
-    same = {"ql_saved_topk": "ql_batch_topk", "ql_blockmax_topk": "ql_batch_topk", "rm1_saved": "rm1_feedback", "flagship_saved": "flagship_ql_rm3", "saved_stats": "index_stats"}
+    same = {"ql_saved_topk": "ql_batch_topk", "ql_blockmax_topk": "ql_batch_topk", "rm1_saved": "rm1_feedback", "flagship_saved": "flagship_ql_rm3", "saved_stats": "index_stats", "sql_extract_links": "html_links", "sql_normalize_tokens": "normalize_tokens"}
     return queries | {name: queries[other] for name, other in same.items()}

@@ -25,7 +25,7 @@ def search(
     ``apply_filters`` keeps hits whose ``source`` and ``category`` are those
     that the query's filters name; by default filters are only parsed.
     """
-    parsed = process(queries, normalize_query=normalize_query)
+    parsed = process(queries, normalize_query=normalize_query, normalizer=model.index.normalizer)
     weighed = weights(parsed)
     if feedback:
         weighed = model.expand(weighed, prf_k, prf_terms, prf_alpha)

@@ -309,3 +309,27 @@ def test_graph(spark, tmp_path):
     assert recall(wide, after, more.where("query_id <> 100")) >= 0.95 and {r.doc_id for r in after.search(more).where("query_id = 200").collect()} == {"three"}
     assert GraphIndex.open(spark, str(tmp_path / "graph")).stats().first().vectors == 1644
     assert GraphIndex.build(exact.rows.limit(0), str(tmp_path / "empty")).search(asked).count() == 0
+
+
+def test_named_normalizers(spark, tmp_path):
+    """An index keeps its normaliser's name: merged documents, typed queries and collections use the same."""
+    from searchloom.functions.text import register_normalizer
+
+    register_normalizer("letters", lambda text: F.filter(F.split(F.upper(text), ""), lambda c: c.rlike("[A-Z]")))
+    docs = documents(spark, {1: "de la", 2: "xyz"})
+    path = str(tmp_path / "letters")
+    LanguageModel.fit(build_index(docs, normalizer="letters")).save(path)
+    model = LanguageModel.load(spark, path)
+    assert model.index.normalizer == "letters" and {r.term for r in model.index.postings.collect()} == set("DELAXYZ")
+    merged = merge_index(model.index, documents(spark, {3: "Q"}))
+    assert merged.normalizer == "letters" and "Q" in {r.term for r in merged.postings.collect()}
+    asked = spark.createDataFrame([(1, "yx")], "query_id long, query string")
+    assert [r.doc_id for r in search(model, asked, normalize_query=True, feedback=False).collect()] == ["2"]
+    store = TextCollection.setup(TfIdf.fit(model.index), docs.select(F.col("id").alias("doc_id"), "title"))
+    store.save(str(tmp_path / "store"))
+    opened = TextCollection.open(spark, str(tmp_path / "store"))
+    opened.add(documents(spark, {9: "xxyyzz"})).save(str(tmp_path / "store"))  # in place
+    again = TextCollection.open(spark, str(tmp_path / "store"))
+    assert {r.doc_id for r in again.search(asked).collect()} == {"2", "9"} and opened.stats().first().documents == 2 and again.stats().first().documents == 3
+    with pytest.raises(ValueError, match="no normaliser"):
+        build_index(docs, normalizer="unknown")

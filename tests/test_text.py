@@ -70,3 +70,25 @@ def test_detectors(spark):
 def test_uuid5(spark):
     for name in ("", "x", "añ €"):
         assert one(spark, detect.uuid5, name) == str(uuid.uuid5(uuid.NAMESPACE_URL, name))
+
+
+def test_sql_functions(spark):
+    """The SQL functions give what the column functions give; extract passes the table's columns on."""
+    from searchloom.functions import sql
+    from searchloom.functions.detect import brand, operating_system
+    from searchloom.functions.text import clean, normalize
+    from searchloom.sources.html import PLAIN, Profile
+
+    sql.register(spark, {"own": Profile(content="main", links="nav a")})
+    texts = ["La casa de los GATOS-negros it's https://x.y/z?q", "  iPhone   16 con One UI ", "", None, "un\\dos 'tres' ñandú_9 \n\t x"]
+    spark.createDataFrame([(t,) for t in texts], "t string").createOrReplaceTempView("sql_texts")
+    t = F.col("t")
+    expected = spark.table("sql_texts").select(normalize(t), clean(t), brand(t), operating_system(t)).collect()
+    assert [tuple(r) for r in spark.sql("SELECT normalize_text(t), clean_query(t), brand_of(t), os_of(t) FROM sql_texts").collect()] == [tuple(r) for r in expected]
+    page = "<h1>T</h1><main><p>a</p></main><nav><a href='/x'>x</a></nav><a href='/y'>y</a>"
+    spark.createDataFrame([(1, page, [2]), (2, None, None)], "id int, page string, more array<int>").createOrReplaceTempView("sql_pages")
+    rows = spark.sql("SELECT id, more, title, content, links FROM extract(TABLE(sql_pages), 'page', 'own') ORDER BY id").collect()
+    assert [tuple(r) for r in rows] == [(1, [2], "T", "a", ["/x"]), (2, None, None, "", [])]
+    assert spark.sql("SELECT links FROM extract(TABLE(SELECT page FROM sql_pages WHERE id = 1), 'page', 'plain')").first().links == ["/x", "/y"] and PLAIN.links == "a"
+    with pytest.raises(Exception, match="no profile"):
+        spark.sql("SELECT * FROM extract(TABLE(sql_pages), 'page', 'none')")
