@@ -7,6 +7,8 @@ strings, ``pages`` for crawled pages, ``events`` for a crawl's stream.
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import sql
@@ -16,6 +18,7 @@ from ..functions.text import first_filled, normalize, register_normalizer
 from ..operators.graph import GraphIndex
 from ..operators.index import Index, build_index, index_of_tokens, latest, merge_index, tokenized
 from ..operators.language_model import LanguageModel
+from ..operators.ml import TextTfIdf
 from ..operators.tfidf import TextCollection, TfIdf
 from ..operators.vectors import VectorTable
 from ..session import fresh_dir
@@ -23,7 +26,9 @@ from ..sources.html import PLAIN, crawl_items, extract
 from ..sources.jsonl import DocumentStore, append_items
 from ..sources.paced import PARTS, plan_crawl, read_pages
 from ..sources.pages import from_table, traverse
+from ..sources.store import ColumnarStore
 from ..streaming.crawl import append, crawl, index_each_batch, load_generations, not_in, read_stream, session, unseen
+from ..streaming.progress import log_progress, totals, wait_for_end
 from ..streaming.seen import session_stream
 from .search import search
 
@@ -500,6 +505,39 @@ def news_items(spark, sf_dir):
     return items.select("url", "date", "source", "scraped_at", "brand", "os", "category", F.col("metadata.section").alias("section"), F.col("metadata.blog_type").alias("blog_type"), F.size("specs").alias("n_specs"), "price")
 
 
+def store_lookup(spark, sf_dir):
+    """Lookups by id and category in the columnar store, and of the ids that the benchmark's item numbers name."""
+    store = ColumnarStore.write(canonical_documents(spark, sf_dir), fresh_dir(spark, "store"))
+    many = store.get_many(table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id")))
+    rows = lambda df, how: df.select(F.lit(how).alias("how"), "id", "content", "source", "category")
+    return rows(store.get("7"), "one").unionByName(rows(store.in_category("fr"), "category")).unionByName(rows(many, "many"))
+
+
+def stream_progress(spark, sf_dir):
+    """What the progress log counts of a stream of the events, against the rows that the table has."""
+    log, out = fresh_dir(spark, "progress"), fresh_dir(spark, "logged")
+    listener = log_progress(spark, log)
+    try:
+        events = read_stream(spark, f"{sf_dir}/events.parquet").select("event_id", "event_type")
+        query = append(events, out, fresh_dir(spark, "checkpoint"), "parquet")
+        query.awaitTermination()
+        wait_for_end(spark, log, query.id)
+    finally:
+        spark.streams.removeListener(listener)
+    return totals(spark, log).where(F.col("query") == str(query.id)).select("rows_in", "ended")
+
+
+def tfidf_ml(spark, sf_dir):
+    """TF-IDF by a pipeline stage that was fitted, saved and loaded; its vectors in long form."""
+    path = fresh_dir(spark, "tfidf-ml")
+    tokens = tokenized(spread(canonical_documents(spark, sf_dir))).select("doc_id", "tokens")
+    Pipeline(stages=[TextTfIdf()]).fit(tokens).save(path)
+    model = PipelineModel.load(path)
+    words = spark.createDataFrame(list(enumerate(model.stages[0].stages[0].vocabulary)), "i int, term string")
+    vectors = model.transform(tokens).select("doc_id", F.posexplode(vector_to_array("vector")).alias("i", "w")).where("w <> 0")
+    return vectors.join(words, "i").select("doc_id", "term", F.round("w", 6).alias("w"))
+
+
 def query_map() -> dict:
     functions = (
         normalize_tokens, postings_tf, doc_info_length, index_stats, collection_model, ql_dirichlet_topk, ql_dirichlet_category, ql_batch_topk, query_parse_filters,
@@ -507,6 +545,6 @@ def query_map() -> dict:
         docs_by_category, doc_lookup, docs_in_category, dedupe_last_wins, seen_url_antijoin, stream_dedupe, stream_index, html_title, html_links, html_content,
         crawl_item, detect_brand_os, pc_subcategories, sink_route, jsonl_roundtrip, uuid5_id, tag_union, index_roundtrip, vector_text_search, vector_add_document, vector_hits, first_filled_text,
         seen_url_sessions, stream_crawl, crawl_traverse, article_title, ql_saved_topk, ql_blockmax_topk, rm1_saved, flagship_saved, saved_stats,
-        paced_pages, vector_graph_recall, stream_seen_sessions, postings_custom_normalizer, sql_extract_links, sql_normalize_tokens, news_articles, news_items,
+        paced_pages, vector_graph_recall, stream_seen_sessions, postings_custom_normalizer, sql_extract_links, sql_normalize_tokens, news_articles, news_items, store_lookup, stream_progress, tfidf_ml,
     )
     return {f.__name__: f for f in functions}

@@ -158,6 +158,11 @@ SELECT min(page_id) AS page_id, url FROM pages WHERE url <> '' AND url NOT LIKE
 UNION ALL SELECT page_id, url FROM pages WHERE url IS NULL OR url = ''""",
         "stream_seen_sessions": """
 SELECT user_id || '/' || event_type AS url, CASE WHEN min(ts) < TIMESTAMP '2024-01-02' THEN 1 ELSE 2 END AS session FROM events GROUP BY 1""",
+        "stream_progress": "SELECT count(*) AS rows_in, 'done' AS ended FROM events",
+        "store_lookup": """
+WITH d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, coalesce(text, '') AS content, source, lang AS category FROM documents)
+SELECT 'one' AS how, id, content, source, category FROM d WHERE doc_id = 7 UNION ALL SELECT 'category', id, content, source, category FROM d WHERE category = 'fr'
+UNION ALL SELECT 'many', id, content, source, category FROM d WHERE doc_id IN (SELECT item_id FROM benchmark)""",
         "stream_crawl": "SELECT DISTINCT user_id || '/' || event_type AS url, '2023-11-14T22:13:20' AS scraped_at FROM events",
         "crawl_traverse": r"""
 WITH RECURSIVE walk AS (
@@ -217,5 +222,5 @@ s AS (SELECT *, lower(text || ' ' || list_aggregate(list_sort(list_distinct([lan
 SELECT 'https://n.example/' || doc_id AS url, coalesce(date, '2023-11-14T22:13:20Z') AS date, 'fixture' AS source, '2023-11-14T22:13:20' AS scraped_at, {_case(BRANDS, "every")} AS brand, {_case(SYSTEMS, "every")} AS os,
   CASE WHEN {laptop} THEN 'laptop' WHEN {component} THEN 'component' ELSE 'pc' END AS category, 's' || (doc_id % 5) AS section, 'magazine' AS blog_type, 0 AS n_specs, CAST(NULL AS VARCHAR) AS price FROM s""",
     }
-    same = {"ql_saved_topk": "ql_batch_topk", "ql_blockmax_topk": "ql_batch_topk", "rm1_saved": "rm1_feedback", "flagship_saved": "flagship_ql_rm3", "saved_stats": "index_stats", "sql_extract_links": "html_links", "sql_normalize_tokens": "normalize_tokens"}
+    same = {"ql_saved_topk": "ql_batch_topk", "ql_blockmax_topk": "ql_batch_topk", "rm1_saved": "rm1_feedback", "flagship_saved": "flagship_ql_rm3", "saved_stats": "index_stats", "tfidf_ml": "tfidf_vectors", "sql_extract_links": "html_links", "sql_normalize_tokens": "normalize_tokens"}
     return queries | {name: queries[other] for name, other in same.items()}

@@ -333,3 +333,25 @@ def test_named_normalizers(spark, tmp_path):
     assert {r.doc_id for r in again.search(asked).collect()} == {"2", "9"} and opened.stats().first().documents == 2 and again.stats().first().documents == 3
     with pytest.raises(ValueError, match="no normaliser"):
         build_index(docs, normalizer="unknown")
+
+
+def test_tfidf_stage(spark, corpus, tmp_path):
+    """The stage's vectors are the collection's, in a pipeline that is saved and loaded."""
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    from searchloom.operators.index import tokenized
+    from searchloom.operators.ml import TextTfIdf
+
+    docs = documents(spark, corpus)
+    tokens = tokenized(docs).select("doc_id", "tokens")
+    stage = TextTfIdf(maxFeatures=8)
+    stage.save(str(tmp_path / "stage"))
+    Pipeline(stages=[TextTfIdf.load(str(tmp_path / "stage"))]).fit(tokens).save(str(tmp_path / "model"))
+    model = PipelineModel.load(str(tmp_path / "model"))
+    terms, out = model.stages[0].stages[0].vocabulary, model.transform(tokens)
+    assert out.columns == ["doc_id", "tokens", "vector"]
+    found = {(r.doc_id, terms[i], round(w, 9)) for r in out.select("doc_id", vector_to_array("vector").alias("v")).collect() for i, w in enumerate(r.v) if w}
+    assert found == {(r.doc_id, r.term, round(r.w, 9)) for r in TfIdf.fit(build_index(docs), docs, max_features=8).vectors.collect()}
+    with pytest.raises(ValueError, match="no tokens"):
+        stage.fit(tokens.limit(0))

@@ -222,3 +222,49 @@ def test_session_streams(spark, tmp_path):
     assert run("three", ttl_seconds=0.001) == ["", "", "a", "b", "c", "d"]
     feed("a")
     assert run("three", ttl_seconds=0.001) == ["", "", "a", "a", "b", "c", "d"]
+
+
+def test_columnar_store(spark, tmp_path):
+    """A lookup pushes its equality down, to files that have Bloom filters and are sorted by id; a category is a folder."""
+    from pyarrow import parquet
+
+    from searchloom.sources.store import ColumnarStore
+
+    with pytest.raises(FileNotFoundError):
+        ColumnarStore.open(spark, str(tmp_path / "none"))
+    one = (F.lit(None).cast("string").alias(c) for c in ("author", "date", "scraped_at", "brand", "os", "device_name", "article_type"))
+    docs = spark.range(3000).select(F.concat(F.lit("d"), "id").alias("id"), *(F.lit("x").alias(c) for c in ("url", "title", "source", "subcategory")), F.repeat(F.sha2(F.col("id").cast("string"), 256), 20).alias("content"), F.array(F.lit("t")).alias("tags"), F.when(F.col("id") % 3 == 0, "pc").otherwise("mobile").alias("category"), *one)
+    store = ColumnarStore.write(docs, str(tmp_path / "store"), row_group=100_000)
+    found = store.get("d77")
+    assert [r.id for r in found.collect()] == ["d77"] and store.get("nothing").count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(id,d77)" in plan and "Exchange" not in plan
+    only = store.in_category("pc")
+    assert only.count() == 1000 and "PartitionFilters: [isnotnull(category" in only._jdf.queryExecution().executedPlan().toString()
+    groups = [parquet.ParquetFile(f).metadata for f in (tmp_path / "store/generations").rglob("*.parquet")]
+    spans = [(m.row_group(g).column(0).statistics.min, m.row_group(g).column(0).statistics.max) for m in groups for g in range(m.num_row_groups)]
+    assert len(spans) > 10 and sum(a <= "d77" <= b for a, b in spans) <= 4  # of each category's one or two
+    assert {r.id for r in store.get_many(spark.createDataFrame([("d1",), ("d1",), ("no",)], "id string")).collect()} == {"d1"}
+    assert {r.category: r.documents for r in store.by_category().collect()} == {"pc": 1000, "mobile": 2000}
+
+
+def test_progress_log(spark, tmp_path):
+    from searchloom.streaming.progress import log_progress, progress, totals, wait_for_end
+
+    source, log = str(tmp_path / "in"), str(tmp_path / "log")
+    for i in range(3):
+        spark.range(10 * (i + 1)).coalesce(1).write.mode("append").parquet(source)
+    listener = log_progress(spark, log)
+    try:
+        query = crawl.append(crawl.read_stream(spark, source, 1), str(tmp_path / "out"), str(tmp_path / "check"), "parquet")
+        query.awaitTermination()
+        assert wait_for_end(spark, log, query.id)
+        failed = spark.readStream.schema("id long").parquet(source).select(F.raise_error(F.lit("broken")).alias("x")).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+        with pytest.raises(Exception, match="broken"):
+            failed.awaitTermination()
+        assert wait_for_end(spark, log, failed.id)
+    finally:
+        spark.streams.removeListener(listener)
+    assert [(r.query, r.batches, r.rows_in, r.ended) for r in totals(spark, log).collect()] == [(str(query.id), 3, 60, "done")]
+    ends = {r.query: r.ended for r in progress(spark, log).where("ended is not null").collect()}
+    assert ends[str(query.id)] == "done" and "broken" in ends[str(failed.id)]
