@@ -203,7 +203,11 @@ def write_benchmark(benchmark: DataFrame, window: int) -> list[str]:
     return sorted(r.path for r in save(texts.mapInArrow(write, "path string"), "benchmark-blocks").collect())
 
 
-@lru_cache(maxsize=2)
+#: Benchmark blocks that a task keeps.
+CACHED = 2
+
+
+@lru_cache(maxsize=CACHED)
 def _block(path: str) -> Benchmark:
     with Reader(path) as file:
         return pickle.loads(file.read(0, file.size))
@@ -246,13 +250,16 @@ def judge(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int
         forget()
         for batch in batches:
             count, found = [0] * batch.num_rows, [[] for _ in range(batch.num_rows)]
-            for first, last, raw in blocks(batch.column(at), SHARD):
-                shard = Shard(Words(raw), window)
-                count[first:last] = shard.w.count.tolist()
+            shards = ((first, last, Shard(Words(raw), window)) for first, last, raw in blocks(batch.column(at), SHARD))
+            # Benchmark blocks that stay in memory meet a shard at a time; of more, each is read once for all of the batch's shards.
+            for group in ([s] for s in shards) if len(paths) <= CACHED else [list(shards)]:
                 for path in paths:
                     bench = _block(path)
-                    for row, item, d, i, n in longest_matches(shard.w, bench, *occurrences(shard, bench)):
-                        found[first + row].append({"item_id": bench.ids[item], "doc_word": d, "item_word": i, "n_words": n})
+                    for first, _, shard in group:
+                        for row, item, d, i, n in longest_matches(shard.w, bench, *occurrences(shard, bench)):
+                            found[first + row].append({"item_id": bench.ids[item], "doc_word": d, "item_word": i, "n_words": n})
+                for first, last, shard in group:
+                    count[first:last] = shard.w.count.tolist()
             judged = list(zip(*map(verdict, count, found), strict=True)) or [[]] * len(VERDICT)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
             arrays = [*(batch.column(i) for i in range(len(kept))), *(pa.array(c, k) for c, k in zip(judged, kinds, strict=True)), pa.array(found, _MATCH)]

@@ -89,3 +89,17 @@ def test_nearest_over_many_shards(spark, sf_dir, monkeypatch):
         hit += len({i for _, i in best} & {d for _, d, _ in own})
         total += 20
     assert hit >= 0.9 * total and set(got) == {i for i in rows if i % 20 == 0}
+
+
+def test_many_benchmark_blocks(spark, odd, monkeypatch):  # noqa: F811
+    """A benchmark of more blocks than a task keeps meets all shards of a batch, with the same verdicts and matches."""
+    from searchloom.llm import decontaminate
+
+    docs, bench = table(spark, odd, "documents"), table(spark, odd, "benchmark")
+    plain = sorted(map(str, decontaminate.judge(docs, bench, columns=["doc_id"], matches="m").collect()))
+    reads = []
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 10)
+    monkeypatch.setattr(decontaminate, "SHARD", 300)
+    monkeypatch.setattr(decontaminate, "write_benchmark", lambda *a, f=decontaminate.write_benchmark: reads.append(f(*a)) or reads[-1])
+    found = sorted(map(str, decontaminate.judge(docs, bench, columns=["doc_id"], matches="m").collect()))
+    assert len(reads[0]) > decontaminate.CACHED and found == plain
