@@ -29,8 +29,8 @@ DIGITS = 6
 
 @dataclass(frozen=True)
 class LanguageModel:
-    index: Index
-    collection: DataFrame
+    index: Index | None = None
+    collection: DataFrame | None = None
     mu: float = MU
 
     @classmethod
@@ -62,7 +62,9 @@ class LanguageModel:
         return self.index.stats()
 
     def _probabilities(self, queries: DataFrame) -> DataFrame:
-        """The queries' terms with p, and whether the collection has them."""
+        """The queries' terms with p; raises RuntimeError without a model to ask."""
+        if self.collection is None:
+            raise RuntimeError("no model: fit one to an index, or load one")
         # The query table is small against the postings; Spark broadcasts it where its size allows.
         return queries.join(self.collection.select("term", "p"), "term", "left").withColumn("p", F.coalesce("p", F.lit(UNSEEN)))
 

@@ -134,6 +134,30 @@ def _written(folder: str):
     return run
 
 
+def _nominated(matrix: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the k best rows of each query, ties to the first row, sorted by query, score and row.
+
+    A matrix product nominates; the few rows that can be among the best once
+    scores are rounded are scored again, adding up in one order for any batch, so
+    that equal vectors have equal scores.
+    """
+    rough = matrix @ v.T
+    if v.shape[0] > k:
+        rough_kth = np.partition(rough, v.shape[0] - k, axis=1)[:, v.shape[0] - k]
+        q, r = np.nonzero(rough >= rough_kth[:, None] - 3 * 10.0**-DIGITS)
+    else:
+        q, r = (x.ravel() for x in np.indices(rough.shape))
+    score = np.empty(len(q))
+    for first in range(0, len(q), 50_000):
+        some = slice(first, first + 50_000)
+        score[some] = np.einsum("pd,pd->p", matrix[q[some]], v[r[some]])
+    score = np.round(score, DIGITS) + 0.0
+    order = np.lexsort((r, -score, q))
+    q, r, score = q[order], r[order], score[order]
+    top = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[top], r[top], score[top]
+
+
 def _best(paths: list[str], k: int, kinds: tuple[pa.DataType, pa.DataType]):
     """The k best of a task's rows for every query of some blocks."""
 
@@ -143,7 +167,7 @@ def _best(paths: list[str], k: int, kinds: tuple[pa.DataType, pa.DataType]):
             system, base = fs.FileSystem.from_uri(path)
             with system.open_input_file(base) as file:
                 blocks.append(pickle.loads(file.read()))
-            best.append(None)
+            best.append((np.zeros(0, int), np.zeros(0), np.zeros(0, object)))
         for batch in batches:
             for docs, v in _by_width(batch):
                 docs = np.array(docs, object)
@@ -152,24 +176,20 @@ def _best(paths: list[str], k: int, kinds: tuple[pa.DataType, pa.DataType]):
                 for b, (_, matrix) in enumerate(blocks):
                     if matrix.shape[1] != v.shape[1]:
                         continue
-                    # Adding up in one order for any batch, so that equal vectors have equal scores.
-                    score = np.round(np.einsum("qd,nd->qn", matrix, v), DIGITS) + 0.0
-                    top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                    found = np.take_along_axis(score, top, axis=1), docs[top]
-                    if best[b] is not None:
-                        score, ids = (np.concatenate(pair, axis=1) for pair in zip(best[b], found, strict=True))
-                        at = np.argsort(ids, axis=1, kind="stable")
-                        score, ids = np.take_along_axis(score, at, axis=1), np.take_along_axis(ids, at, axis=1)
-                        top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                        found = np.take_along_axis(score, top, axis=1), np.take_along_axis(ids, top, axis=1)
-                    best[b] = found
-        for (ids, _), found in zip(blocks, best, strict=True):
-            if found is not None:
-                score, docs = found
+                    found, rows, scores = _nominated(matrix, v, k)
+                    q, score, ids = (np.concatenate(pair) for pair in zip(best[b], (found, scores, docs[rows]), strict=True))
+                    place = np.empty(len(ids), int)
+                    place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+                    at = np.lexsort((place, -score, q))
+                    q, score, ids = q[at], score[at], ids[at]
+                    top = np.arange(len(q)) - np.searchsorted(q, q) < k
+                    best[b] = q[top], score[top], ids[top]
+        for (asked, _), (q, score, ids) in zip(blocks, best, strict=True):
+            if len(q):
                 yield pa.RecordBatch.from_pydict({
-                    "query_id": pa.array([q for q in ids for _ in range(score.shape[1])], kinds[0]),
-                    "doc_id": pa.array(docs.ravel().tolist(), kinds[1]),
-                    "score": pa.array(score.ravel(), pa.float64()),
+                    "query_id": pa.array([asked[i] for i in q.tolist()], kinds[0]),
+                    "doc_id": pa.array(ids.tolist(), kinds[1]),
+                    "score": pa.array(score, pa.float64()),
                 })
 
     return run

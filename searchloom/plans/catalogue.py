@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import sql
 from ..functions.detect import brand, operating_system, pc_subcategory, sink_category, uuid5
@@ -27,7 +27,7 @@ from ..sources.jsonl import DocumentStore, append_items
 from ..sources.paced import PARTS, plan_crawl, read_pages
 from ..sources.pages import from_table, traverse
 from ..sources.store import ColumnarStore
-from ..streaming.crawl import append, crawl, index_each_batch, load_generations, not_in, read_stream, session, unseen
+from ..streaming.crawl import append, crawl, index_each_batch, load_generations, not_in, read_stream, session, sketched_stats, unseen
 from ..streaming.progress import log_progress, totals, wait_for_end
 from ..streaming.seen import session_stream
 from .search import search
@@ -233,6 +233,17 @@ def stream_index(spark, sf_dir):
     return load_generations(spark, out).stats()
 
 
+def stream_sketches(spark, sf_dir):
+    """Four generations of an index by stream: whether the united sketches' counts are within 2 % of the exact ones, after each."""
+    source, out = fresh_dir(spark, "documents"), fresh_dir(spark, "stream-index")
+    as_documents(table(spark, sf_dir, "documents").repartition(4, "doc_id")).write.parquet(source)
+    index_each_batch(read_stream(spark, source, 1), out, fresh_dir(spark, "checkpoint")).awaitTermination()
+    first = spark.read.parquet(f"{out}/postings").groupBy("term").agg(F.min("generation").alias("generation")).groupBy("generation").agg(F.count("*").alias("new"))
+    exact = first.select("generation", F.sum("new").over(Window.orderBy("generation")).alias("exact"))  # a row a generation
+    close = F.abs(F.col("vocabulary") - F.col("exact")) <= 0.02 * F.col("exact")
+    return sketched_stats(spark, out).join(exact, "generation").select("generation", close.alias("close"))
+
+
 def html_title(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.nullif(F.trim(F.regexp_extract("html", r"(?is)<h1[^>]*>([^<]*)", 1)), F.lit("")).alias("title"))
 
@@ -545,6 +556,6 @@ def query_map() -> dict:
         docs_by_category, doc_lookup, docs_in_category, dedupe_last_wins, seen_url_antijoin, stream_dedupe, stream_index, html_title, html_links, html_content,
         crawl_item, detect_brand_os, pc_subcategories, sink_route, jsonl_roundtrip, uuid5_id, tag_union, index_roundtrip, vector_text_search, vector_add_document, vector_hits, first_filled_text,
         seen_url_sessions, stream_crawl, crawl_traverse, article_title, ql_saved_topk, ql_blockmax_topk, rm1_saved, flagship_saved, saved_stats,
-        paced_pages, vector_graph_recall, stream_seen_sessions, postings_custom_normalizer, sql_extract_links, sql_normalize_tokens, news_articles, news_items, store_lookup, stream_progress, tfidf_ml,
+        paced_pages, vector_graph_recall, stream_seen_sessions, postings_custom_normalizer, sql_extract_links, sql_normalize_tokens, news_articles, news_items, store_lookup, stream_progress, tfidf_ml, stream_sketches,
     )
     return {f.__name__: f for f in functions}

@@ -158,6 +158,7 @@ SELECT min(page_id) AS page_id, url FROM pages WHERE url <> '' AND url NOT LIKE
 UNION ALL SELECT page_id, url FROM pages WHERE url IS NULL OR url = ''""",
         "stream_seen_sessions": """
 SELECT user_id || '/' || event_type AS url, CASE WHEN min(ts) < TIMESTAMP '2024-01-02' THEN 1 ELSE 2 END AS session FROM events GROUP BY 1""",
+        "stream_sketches": "SELECT CAST(i AS INT) AS generation, TRUE AS close FROM range(4) t(i) WHERE (SELECT count(*) FROM documents) > 0",
         "stream_progress": "SELECT count(*) AS rows_in, 'done' AS ended FROM events",
         "store_lookup": """
 WITH d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, coalesce(text, '') AS content, source, lang AS category FROM documents)

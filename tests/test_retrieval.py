@@ -355,3 +355,8 @@ def test_tfidf_stage(spark, corpus, tmp_path):
     assert found == {(r.doc_id, r.term, round(r.w, 9)) for r in TfIdf.fit(build_index(docs), docs, max_features=8).vectors.collect()}
     with pytest.raises(ValueError, match="no tokens"):
         stage.fit(tokens.limit(0))
+
+
+def test_no_model(spark):
+    with pytest.raises(RuntimeError, match="no model"):
+        LanguageModel().retrieve(as_table(spark, {"gato": 1.0}))

@@ -108,6 +108,17 @@ def test_cli(spark, data, tmp_path, capsys):
     assert "Dos" in capsys.readouterr().out
 
 
+def test_cli_auto(spark, data, tmp_path, capsys, monkeypatch):
+    """Builds where there is no model, else answers standard input."""
+    import io
+
+    index, model = str(tmp_path / "index"), str(tmp_path / "model")
+    assert cli.main(["index", data, index]) == 0 and cli.main(["auto", index, model]) == 0
+    monkeypatch.setattr(cli.query, "__defaults__", (5, io.StringIO("perro\nexit\n")))
+    assert cli.main(["auto", index, model]) == 0 and "Dos" in capsys.readouterr().out
+    assert cli.main(["build", str(tmp_path / "none"), model]) == 1
+
+
 def test_stream_deltas(spark, tmp_path):
     source = str(tmp_path / "in")
     for i in range(3):
