@@ -195,3 +195,38 @@ def op13_merkle(spark, sf_dir: str) -> DataFrame:
     proofs = manifest(docs, {"leaf": whole, "changed": F.when(tampered, changed)})
     checked = verified(proofs, F.coalesce("changed", "leaf"))
     return checked.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def _op13_sql(levels: int = 6, tops: int = 4) -> str:
+    """The same for DuckDB, level by level: enough levels for 16**6 rows a group and 16**4 groups."""
+    value = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bit = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    byte = f"list_reduce(list_concat([xor(c, CAST(b AS BIGINT))], range(8)), lambda c, x: {bit})"
+    crc = f"xor(list_reduce(list_concat([4294967295], [ord(d) for d in split(CAST(doc_id AS VARCHAR), '')]), lambda c, b: {byte}), 4294967295)"
+    ctes = [
+        f"leaves AS (SELECT doc_id, coalesce('.' || source, '') AS g, sha256({' || '.join(map(value, COLUMNS))}) AS leaf, "
+        f"CASE WHEN {crc} % 5 = 0 THEN sha256({' || '.join([*map(value, COLUMNS[:-1]), value(lower)])}) END AS changed FROM documents)",
+        "s0 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM leaves)",
+    ]
+
+    def tree(name: str, count: int) -> None:
+        for k in range(count):
+            run = "PARTITION BY g, i // 16 ORDER BY i ROWS BETWEEN"
+            sides = f"CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END AS l, CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') ELSE '' END AS r"
+            ctes.append(f"{name}x{k} AS (SELECT DISTINCT g, i, n, {sides} FROM {name}{k})")
+            ctes.append(f"{name}{k + 1} AS (SELECT g, i // 16 AS i, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h, (n + 15) // 16 AS n FROM {name}{k} GROUP BY g, i // 16, n)")
+
+    tree("s", levels)
+    ctes.append(f"t0 AS (SELECT '' AS g, g AS name, row_number() OVER (ORDER BY g) - 1 AS i, h, count(*) OVER () AS n FROM s{levels})")
+    tree("t", tops)
+    ctes.append(f"w0 AS (SELECT s0.doc_id, s0.g, s0.i, leaf, t0.h AS subroot, t0.i AS j, (SELECT any_value(h) FROM t{tops}) AS root, '' AS proof, coalesce(changed, leaf) AS f FROM s0 JOIN t0 ON t0.name = s0.g)")
+    for k in range(levels + tops):
+        name, at, div = ("s", "w.i", 16**k) if k < levels else ("t", "w.j", 16 ** (k - levels))
+        level = k if k < levels else k - levels
+        on = f"x.i = {at} // {div}" + (" AND x.g = w.g" if name == "s" else "")
+        ctes.append(f"w{k + 1} AS (SELECT w.* EXCLUDE (proof, f), proof || l || r AS proof, CASE WHEN n > 1 THEN sha256(l || f || r) ELSE f END AS f FROM w{k} w JOIN {name}x{level} x ON {on})")
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified FROM w{levels + tops}"
+
+
+OP13_SQL = _op13_sql()

@@ -34,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "line_passages": line_dedup.PASSAGES_SQL,
         "op11_exact_dedup": exact_dedup.OP11_SQL,
         "op12_hard_negatives": hard_negatives.OP12_SQL,
+        "op13_merkle": merkle.OP13_SQL,
     }
