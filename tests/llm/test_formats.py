@@ -297,7 +297,7 @@ def test_pipeline(spark, sf_dir, library):
 
 def test_queries_equal_sql(spark, sf_dir):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     for name, sql in registry.oracle_sql().items():
         found = registry.queries()[name](spark, sf_dir)

@@ -127,21 +127,3 @@ def test_a_change_is_found(spark):
     now = docs.withColumn("text", F.when(F.col("doc_id") == 7, "other").otherwise(F.col("text")))
     rows = merkle.verified(proofs.join(now.select("doc_id", "text"), "doc_id"), merkle.leaf(F.col("doc_id"), F.col("text"))).collect()
     assert {r.doc_id for r in rows if not r.verified} == {7} and len(rows) == 50
-
-
-@pytest.mark.parametrize("name", ["line_passages", "op11_exact_dedup", "op12_hard_negatives", "op13_merkle"])
-def test_queries_equal_sql(spark, sf_dir, name):
-    import os
-
-    import duckdb
-
-    from searchloom.llm import registry
-
-    con = duckdb.connect()
-    for t in ("documents", "embeddings"):
-        path = f"{sf_dir}/{t}.parquet"
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
-    found, relation = registry.queries()[name](spark, sf_dir), con.sql(registry.oracle_sql()[name])
-    assert sorted(relation.columns) == sorted(found.columns)
-    at = [relation.columns.index(c) for c in found.columns]
-    assert sorted((tuple(r[i] for i in at) for r in relation.fetchall()), key=str) == sorted(map(tuple, found.collect()), key=str)
