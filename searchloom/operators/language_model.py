@@ -153,17 +153,18 @@ class StoredModel(LanguageModel):
     def _probabilities(self, queries: DataFrame) -> DataFrame:
         asked = self.index.with_folder(queries.where("weight > 0").select("term").distinct(), "term", self.index.term_folders)
         known = self.table.join(asked, ["folder", "term"]).select("term", "p")
-        return queries.join(known, "term", "left").withColumn("p", F.coalesce("p", F.lit(UNSEEN)))
+        # A row a query and term: written once, so that what they come from (a first retrieval, in feedback) isn't computed again where they are used.
+        return self._settled(queries.join(known, "term", "left").withColumn("p", F.coalesce("p", F.lit(UNSEEN))))
 
     def scores(self, queries: DataFrame, category: str | None = None) -> DataFrame:
         terms = self._probabilities(queries)
         return self._finished(self._added(self.index.blocks_of(terms).join(self._constants(terms), "query_id"), category))
 
-    def _settled(self, docs: DataFrame) -> DataFrame:
-        """Written and read back: a table whose size is known, so that Spark prunes the folders of terms by it."""
-        spark, path = docs.sparkSession, fresh_dir(docs.sparkSession, "feedback")
-        docs.write.parquet(path)
-        return spark.read.schema(docs.schema).parquet(path)
+    def _settled(self, rows: DataFrame) -> DataFrame:
+        """Written and read back: a small table whose size is known, so that Spark prunes folders by it."""
+        spark, path = rows.sparkSession, fresh_dir(rows.sparkSession, "asked")
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
 
     def _blocks(self, queries: DataFrame) -> DataFrame:
         """The queries' posting blocks with ``most``, what a posting of the block adds to a score at most, and the query's constants."""
