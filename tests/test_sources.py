@@ -67,6 +67,11 @@ def test_article():
     assert empty["title"] is None and empty["content"] == "" and empty["tags"] == []
 
 
+def test_references_need_their_semicolon():
+    found = html.article('<h1>a &amp;&lt;&#38; b &amp;lt; &ampx; c&amp</h1><a href="?a=1&copy=2&amp;b">n</a>', html.PLAIN)
+    assert found["title"] == "a &<& b &lt; &ampx; c&amp" and found["links"] == ["?a=1&copy=2&b"]
+
+
 def test_items(spark):
     pages = spark.createDataFrame([("u", PAGE), ("v", None)], "url string, html string")
     clock = F.timestamp_seconds(F.lit(0))
