@@ -72,6 +72,11 @@ def test_references_need_their_semicolon():
     assert found["title"] == "a &<& b &lt; &ampx; c&amp" and found["links"] == ["?a=1&copy=2&b"]
 
 
+def test_traverse_gives_titles_with_cut_references(spark):
+    pages = spark.createDataFrame([("https://e.org/1", "<h1>x &amp;&amp</h1>")], "url string, html string")
+    assert [r.title for r in sources.traverse(pages.select("url"), sources.from_table(pages), html.PLAIN).collect()] == ["x &&amp"]
+
+
 def test_items(spark):
     pages = spark.createDataFrame([("u", PAGE), ("v", None)], "url string, html string")
     clock = F.timestamp_seconds(F.lit(0))
