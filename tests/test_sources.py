@@ -163,6 +163,13 @@ def test_seen_log(spark, tmp_path):
     assert sorted(r.url for r in crawl.remembered(spark, log).collect()) == ["a", "b"]
 
 
+def test_session_keeps_a_keys_least_item(spark, tmp_path):
+    rows = [(None, "u")] + [(i, "u") for i in range(400, 0, -1)] + [(7, "v"), (5, None), (6, "")]
+    items = spark.createDataFrame(rows, "page_id long, url string").repartition(7)
+    found = crawl.session(items, str(tmp_path / "log"))
+    assert sorted((r.page_id, r.url or "") for r in found.collect()) == [(1, "u"), (5, ""), (6, ""), (7, "v")]
+
+
 def test_traverse(spark):
     """Listing, articles and next page; a page is fetched once, and a missing one is left out."""
     link = lambda *urls: "".join(f'<div class="abstract-title"><a href="{u}">x</a></div>' for u in urls)
