@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..session import fresh_dir
+from ..session import in_buckets, settled
 from ..sources import generations
 from .index import Index
 from .stored import StoredIndex, folder_of
@@ -44,7 +44,7 @@ class LanguageModel:
         spark, folder = self.collection.sparkSession, generations.begin(path)
         self.index.save(f"{folder}/index")
         folders = StoredIndex.open(spark, f"{folder}/index").term_folders
-        terms = self.collection.withColumn("folder", folder_of(F.col("term"), folders)).repartitionByRange("folder", "term")
+        terms = self.collection.withColumn("folder", folder_of(F.col("term"), folders)).repartition("folder")
         terms.sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{folder}/collection")
         generations.publish(spark, path, folder, mu=self.mu)
 
@@ -65,8 +65,14 @@ class LanguageModel:
         """The queries' terms with p; raises RuntimeError without a model to ask."""
         if self.collection is None:
             raise RuntimeError("no model: fit one to an index, or load one")
-        # The query table is small against the postings; Spark broadcasts it where its size allows.
-        return queries.join(self.collection.select("term", "p"), "term", "left").withColumn("p", F.coalesce("p", F.lit(UNSEEN)))
+        known = self._known(queries.select("term").distinct())
+        # A row a query and term: written once, so that what they come from (a first retrieval, in feedback) isn't computed
+        # again where they are used, and Spark, which knows their size, moves them to the postings.
+        return settled(queries.join(known, "term", "left").withColumn("p", F.coalesce("p", F.lit(UNSEEN))), "asked")
+
+    def _known(self, asked: DataFrame) -> DataFrame:
+        """(term, p) of those of some distinct terms that the collection has."""
+        return self.collection.select("term", "p").join(settled(asked, "asked"), "term")
 
     def _constants(self, terms: DataFrame) -> DataFrame:
         """(query_id, base, all): what every score of a query has, and the sum of its weights."""
@@ -103,17 +109,13 @@ class LanguageModel:
         """Hits with their documents' info."""
         return self.index.info_of(hits)
 
-    def _settled(self, docs: DataFrame) -> DataFrame:
-        """The feedback documents; k rows a query."""
-        return docs
-
     def relevance_model(self, queries: DataFrame, k: int = FEEDBACK_DOCS) -> DataFrame:
         """(query_id, term, weight): the k best documents' terms, weighted by the documents' posteriors."""
         hits = self.retrieve(queries, k)
         whole = Window.partitionBy("query_id")
         odds = hits.withColumn("odds", F.exp(F.col("score") - F.max("score").over(whole)))
         posterior = odds.select("query_id", "doc_id", "rank", (F.col("odds") / F.sum("odds").over(whole)).alias("weight"))
-        docs = self._settled(self.index.info_of(posterior).select("query_id", "doc_id", "length", "weight"))
+        docs = settled(self.index.info_of(posterior).select("query_id", "doc_id", "length", "weight"), "asked")  # k rows a query
         mass = self.index.terms_of(docs).groupBy("query_id", "term").agg(F.sum(F.col("tf") / F.col("length") * F.col("weight")).alias("mass"))
         return mass.select("query_id", "term", (F.col("mass") / F.sum("mass").over(whole)).alias("weight"))
 
@@ -150,27 +152,25 @@ class StoredModel(LanguageModel):
 
     table: DataFrame | None = None
 
-    def _probabilities(self, queries: DataFrame) -> DataFrame:
-        asked = self.index.with_folder(queries.where("weight > 0").select("term").distinct(), "term", self.index.term_folders)
-        known = self.table.join(asked, ["folder", "term"]).select("term", "p")
-        # A row a query and term: written once, so that what they come from (a first retrieval, in feedback) isn't computed again where they are used.
-        return self._settled(queries.join(known, "term", "left").withColumn("p", F.coalesce("p", F.lit(UNSEEN))))
+    def _known(self, asked: DataFrame) -> DataFrame:
+        some = self.index.with_folder(settled(asked, "asked"), "term", self.index.term_folders)
+        return self.table.join(some.where("term <> ''"), ["folder", "term"]).select("term", "p")
 
     def scores(self, queries: DataFrame, category: str | None = None) -> DataFrame:
         terms = self._probabilities(queries)
         return self._finished(self._added(self.index.blocks_of(terms).join(self._constants(terms), "query_id"), category))
 
-    def _settled(self, rows: DataFrame) -> DataFrame:
-        """Written and read back: a small table whose size is known, so that Spark prunes folders by it."""
-        spark, path = rows.sparkSession, fresh_dir(rows.sparkSession, "asked")
-        rows.write.parquet(path)
-        return spark.read.schema(rows.schema).parquet(path)
+    def _blocks(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The queries' terms' posting blocks, each once, in buckets of ranges; and, for each query, their counts and bounds.
 
-    def _blocks(self, queries: DataFrame) -> DataFrame:
-        """The queries' posting blocks with ``most``, what a posting of the block adds to a score at most, and the query's constants."""
+        ``most`` is what a posting of the block adds to a score at most; constants of the query are with it.
+        """
         terms = self._probabilities(queries)
-        blocks = self.index.blocks_of(terms).join(self._constants(terms), "query_id")
-        return blocks.withColumn("most", F.col("weight") * F.log(1 + F.col("max_tf") / (self.mu * F.col("p"))))
+        parts = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = in_buckets(self.index.distinct_blocks(terms.where("weight > 0")).repartition(parts, "range"), "blocks", "range", parts)
+        asked = settled(terms.where("weight > 0").join(self._constants(terms), "query_id"), "asked")
+        bounds = blocks.select("term", "range", "n", "max_tf", "min_length").join(asked, "term")
+        return blocks.select("term", "range", "postings"), bounds.withColumn("most", F.col("weight") * F.log(1 + F.col("max_tf") / (self.mu * F.col("p"))))
 
     def _seeded(self, blocks: DataFrame, seeds: int) -> DataFrame:
         """(query_id, range) of the ranges of greatest bound."""
@@ -181,11 +181,12 @@ class StoredModel(LanguageModel):
 
     def _added(self, blocks: DataFrame, category: str | None) -> DataFrame:
         """(query_id, doc_id, match, base, all, length, ...) of posting blocks, summed by document; further columns are the range's."""
-        others = [c for c in blocks.columns if c in ("threshold", "rest", "range")]
-        rows = blocks.select("query_id", "weight", "p", "base", "all", *others, F.inline("postings"))
+        others = [c for c in blocks.columns if c in ("threshold", "rest")]
+        rows = blocks.select("query_id", "range", "weight", "p", "base", "all", *others, F.inline("postings"))
         if category:
             rows = rows.where(F.col("category") == category)
-        return rows.groupBy("query_id", "doc_id").agg(F.sum(self._one()).alias("match"), *(F.first(c).alias(c) for c in ("base", "all", "length", *others)))
+        # A document is in one range, by which the blocks are dealt out: no shuffle.
+        return rows.groupBy("query_id", "range", "doc_id").agg(F.sum(self._one()).alias("match"), *(F.first(c).alias(c) for c in ("base", "all", "length", *others)))
 
     def _one(self) -> Column:
         """What a posting adds to its document's score."""
@@ -209,12 +210,13 @@ class StoredModel(LanguageModel):
         3. What is left is scored; documents that can still reach the threshold
            with all that was put aside get that too.
         """
-        blocks = self._blocks(queries)
-        ranges = self._seeded(blocks, seeds or k)
-        seeded = blocks.join(ranges, ["query_id", "range"])
-        known = self._finished(self._added(seeded, category))
-        threshold = _first(known, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("threshold"))
-        others = blocks.join(ranges, ["query_id", "range"], "left_anti")
+        blocks, bounds = self._blocks(queries)
+        whole_block = lambda some: some.join(blocks, ["range", "term"])
+        ranges = settled(self._seeded(bounds, seeds or k), "seeds")
+        seeded = bounds.join(ranges, ["query_id", "range"])
+        known = self._finished(self._added(whole_block(seeded), category))
+        threshold = settled(_first(known, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("threshold")), "threshold")
+        others = bounds.join(ranges, ["query_id", "range"], "left_anti")
         whole = Window.partitionBy("query_id", "range")
         least_first = whole.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
         free = F.col("base") - F.col("all") * F.log(F.min("min_length").over(whole) + self.mu)
@@ -222,13 +224,13 @@ class StoredModel(LanguageModel):
         ranked = others.join(threshold, "query_id", "left").withColumn("sum", F.sum("most").over(least_first))
         ranked = ranked.withColumn("counts", F.col("threshold").isNull() | (F.col("sum") + free >= enough))
         ranked = ranked.withColumn("rest", F.coalesce(F.max(F.when(~F.col("counts"), F.col("sum"))).over(whole), F.lit(0.0)))
-        first = self._added(ranked.where("counts"), category)
+        first = self._added(whole_block(ranked.where("counts")), category)
         alive = first.where(F.col("threshold").isNull() | (self._score() + F.col("rest") >= enough))
         open_ranges = alive.where("rest > 0").select("query_id", "range").distinct()
-        aside = ranked.where(~F.col("counts")).join(open_ranges, ["query_id", "range"]).select("query_id", "weight", "p", F.inline("postings"))
-        late = aside.join(alive.select("query_id", "doc_id"), ["query_id", "doc_id"])
-        added = late.groupBy("query_id", "doc_id").agg(F.sum(self._one()).alias("late"))
-        done = alive.join(added, ["query_id", "doc_id"], "left").withColumn("match", F.col("match") + F.coalesce("late", F.lit(0.0)))
+        aside = whole_block(ranked.where(~F.col("counts")).join(open_ranges, ["query_id", "range"])).select("query_id", "range", "weight", "p", F.inline("postings"))
+        late = aside.join(alive.select("query_id", "range", "doc_id"), ["query_id", "range", "doc_id"])
+        added = late.groupBy("query_id", "range", "doc_id").agg(F.sum(self._one()).alias("late"))
+        done = alive.join(added, ["query_id", "range", "doc_id"], "left").withColumn("match", F.col("match") + F.coalesce("late", F.lit(0.0)))
         return _first(known.unionByName(self._finished(done)), k), {"seeds": seeded, "blocks": ranked.where("counts"), "late": late}
 
     def scored(self, queries: DataFrame, k: int = 10, seeds: int | None = None) -> DataFrame:
@@ -236,4 +238,4 @@ class StoredModel(LanguageModel):
         work = self.pruned(queries, k, seeds=seeds)[1]
         parts = [work["seeds"].select("query_id", "n"), work["blocks"].select("query_id", "n"), work["late"].select("query_id", F.lit(1).cast("long").alias("n"))]
         scored = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("query_id").agg(F.sum("n").alias("scored"))
-        return scored.join(self._blocks(queries).groupBy("query_id").agg(F.sum("n").alias("matching")), "query_id").select("query_id", "scored", "matching")
+        return scored.join(self._blocks(queries)[1].groupBy("query_id").agg(F.sum("n").alias("matching")), "query_id").select("query_id", "scored", "matching")

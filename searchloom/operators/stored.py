@@ -1,6 +1,7 @@
 """A saved index that reads what a query needs: its terms' posting blocks, its hits' documents.
 
-Documents are put into ranges of ``RANGE`` documents of nearly one length.  A row
+Documents are put into ranges of nearly one length, of ``RANGE`` documents or as many
+as make about ``RANGES`` of them, so that a query meets no more blocks of a term than that.  A row
 of ``blocks`` is a term's postings in one range, with their number, the greatest
 tf and the least length, so that a bound of any score in the range needs no
 posting.  Blocks lie in folders by a hash of the term, documents and their terms in
@@ -15,11 +16,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..session import settled
 from ..sources import generations
 from .index import Index
 
-#: Documents of a range, and rows of a folder that its number aims at.
-RANGE, FOLDER_ROWS, MOST_FOLDERS = 16, 20_000, 8192
+#: Documents of a range at least, ranges that their size aims at, and postings of a folder (documents: a fifth) that its number aims at.
+RANGE, RANGES, FOLDER_ROWS, MOST_FOLDERS = 16, 1024, 100_000, 8192
+#: Tasks that write a folder of documents' terms at most.
+SALTS = 16
 #: Columns of a posting in a block.
 _POSTING = ("doc_id", "tf", "length", "category")
 
@@ -28,9 +32,9 @@ def folder_of(key: Column, folders: int) -> Column:
     return F.pmod(F.hash(key), F.lit(folders))
 
 
-def _folders(rows: int) -> int:
+def _folders(rows: int, each: int) -> int:
     """A power of two."""
-    return min(1 << max(rows // FOLDER_ROWS, 1).bit_length() - 1 if rows > FOLDER_ROWS else 1, MOST_FOLDERS)
+    return min(1 << max(rows // each, 1).bit_length() - 1, MOST_FOLDERS)
 
 
 def _write(rows: DataFrame, path: str, key: str, folders: int, *order: str) -> None:
@@ -53,20 +57,30 @@ class StoredIndex(Index):
     def write(cls, index: Index, path: str) -> None:
         """A new generation of the path."""
         spark, folder = index.postings.sparkSession, generations.begin(path)
+        index.doc_info.write.parquet(f"{folder}/info")
+        info = spark.read.schema(index.doc_info.schema).parquet(f"{folder}/info")
+        n_docs = info.count()
         # Ranges of documents by length: partitions by range of length, numbered within.
         place = F.row_number().over(Window.partitionBy("part").orderBy("length", "doc_id")) - 1
-        dealt = index.doc_info.select("doc_id", "length", "category").repartitionByRange("length", "doc_id").withColumn("part", F.spark_partition_id())
+        dealt = info.select("doc_id", "length", "category").repartitionByRange("length", "doc_id").withColumn("part", F.spark_partition_id())
         dealt.write.parquet(f"{folder}/lengths")
-        ranges = spark.read.parquet(f"{folder}/lengths").select("doc_id", "length", "category", (F.col("part").cast("long") * (1 << 32) + F.floor(place / RANGE)).alias("range"))
+        number = (F.col("part").cast("long") * (1 << 32) + F.floor(place / max(RANGE, -(-n_docs // RANGES)))).alias("range")
+        ranges = spark.read.parquet(f"{folder}/lengths").select("doc_id", "length", "category", number)
         index.postings.join(ranges, "doc_id").select("term", "range", *_POSTING).write.parquet(f"{folder}/ranged")
         postings = spark.read.parquet(f"{folder}/ranged")
-        n_postings, n_docs = postings.count(), spark.read.parquet(f"{folder}/lengths").count()
-        term_folders, doc_folders = _folders(n_postings), _folders(n_docs)
-        own = F.array_sort(F.collect_list(F.struct(*_POSTING))).alias("postings")  # RANGE at most
+        n_postings = postings.count()
+        term_folders, doc_folders = _folders(n_postings, FOLDER_ROWS), _folders(n_docs, max(FOLDER_ROWS // 5, 1))
+        own = F.array_sort(F.collect_list(F.struct(*_POSTING))).alias("postings")  # a range's at most
         sums = F.count("*").alias("n"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length")
-        _write(postings.groupBy("term", "range").agg(*sums, own), f"{folder}/blocks", "term", term_folders, "range")
-        _write(index.doc_info, f"{folder}/documents", "doc_id", doc_folders)
-        _write(postings.select("doc_id", "term", "tf"), f"{folder}/terms", "doc_id", doc_folders, "term")
+        # One exchange: a folder's postings, those of a frequent term dealt out by range, are summed and sorted where they arrive.
+        frequent = settled(postings.groupBy("term").agg(F.ceil(F.count("*") / FOLDER_ROWS).alias("tasks")).where("tasks > 1"), "frequent")
+        salt = F.pmod(F.xxhash64("range"), F.coalesce("tasks", F.lit(1))).alias("salt")
+        salted = postings.join(frequent, "term", "left").select(folder_of(F.col("term"), term_folders).alias("folder"), salt, "term", "range", *_POSTING)
+        blocks = salted.repartition("folder", "salt").groupBy("folder", "salt", "term", "range").agg(*sums, own).drop("salt")
+        blocks.sortWithinPartitions("folder", "term", "range").write.partitionBy("folder").parquet(f"{folder}/blocks")
+        _write(info, f"{folder}/documents", "doc_id", doc_folders)
+        terms = postings.select(folder_of(F.col("doc_id"), doc_folders).alias("folder"), "doc_id", "term", "tf").repartition("folder", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+        terms.sortWithinPartitions("folder", "doc_id", "term").write.partitionBy("folder").parquet(f"{folder}/terms")
         generations.publish(spark, path, folder, term_folders=term_folders, doc_folders=doc_folders, normalizer=index.normalizer)
 
     @classmethod
@@ -92,10 +106,17 @@ class StoredIndex(Index):
     def blocks_of(self, terms: DataFrame) -> DataFrame:
         """``terms`` (term, weight, ...) with their blocks; only their folders are read.
 
-        A term of weight 0 adds nothing and is left out, which also lets Spark
-        take the terms for a filter of folders.
+        A term of weight 0 adds nothing and is left out.  The blocks are dealt out by
+        range before each meets the queries that ask for it: frequent terms are many
+        tasks' work, and a document's postings are one's.
         """
-        asked = self.with_folder(terms.where("weight > 0"), "term", self.term_folders)
+        asked = terms.where("weight > 0")
+        return self.distinct_blocks(asked).repartition("range").join(asked, "term")
+
+    def distinct_blocks(self, terms: DataFrame) -> DataFrame:
+        """The blocks of the distinct terms of a table, each once; only their folders are read."""
+        # The condition lets Spark take the terms for a filter of folders.
+        asked = self.with_folder(settled(terms.select("term").distinct(), "asked").where("term <> ''"), "term", self.term_folders)
         return self.blocks.join(asked, ["folder", "term"]).drop("folder")
 
     def terms_of(self, docs: DataFrame) -> DataFrame:
