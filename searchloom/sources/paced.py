@@ -29,6 +29,8 @@ from ..session import ship
 DELAY, AT_ONCE, PER_HOST, STOP = 5.5, 8, 4, 3600.0
 #: Turns of a batch, in each of which a host has one URL at most; and parts that a host's URLs are numbered in.
 BATCH, PARTS = 64, 64
+#: A batch that took less than so many seconds is followed by one of twice as many turns, up to a bound of what a task holds.
+QUICK, MOST_TURNS = 20.0, 16_384
 
 
 def host(url: Column) -> Column:
@@ -111,6 +113,7 @@ class PagesReader(DataSourceStreamReader):
         self.delay, self.per_host = float(options.get("delay", DELAY)), int(options.get("per_host", PER_HOST))
         self.batch, self.stop = int(options.get("batch", BATCH)), float(options.get("stop", STOP))
         self.last: dict | None = None
+        self.planned: float | None = None
 
     def _ends(self) -> dict[str, int]:
         """Turns of each lane."""
@@ -120,10 +123,13 @@ class PagesReader(DataSourceStreamReader):
         return {"begun": time.time(), "lanes": {}}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        """A batch further in every lane, from the last batch that was planned."""
-        last = self.last or self.initialOffset()
-        if time.time() - last["begun"] >= self.stop:
+        """A batch further in every lane, from the last batch that was planned; the number of batches grows with a crawl's time, not with its turns."""
+        last, now = self.last or self.initialOffset(), time.time()
+        if now - last["begun"] >= self.stop:
             return last
+        if self.planned is not None and self.delay * self.batch < QUICK and now - self.planned < QUICK:
+            self.batch = max(self.batch, min(2 * self.batch, MOST_TURNS))
+        self.planned = now
         self.last = {"begun": last["begun"], "lanes": {k: min(last["lanes"].get(k, 0) + self.batch, n) for k, n in self._ends().items()}}
         return self.last
 

@@ -6,6 +6,7 @@ from searchloom.operators import stored
 from searchloom.operators.index import build_index
 from searchloom.operators.language_model import LanguageModel
 from searchloom.plans import catalogue
+from searchloom.sources import paced
 
 
 def plan_of(rows):
@@ -31,3 +32,19 @@ def test_ranges_grow_with_the_collection(spark, tmp_path, monkeypatch):
     assert sorted(found.collect()) == expected == sorted(saved.pruned(asked)[0].collect())
     plan = plan_of(found)
     assert "hashpartitioning(range" in plan and "hashpartitioning(query_id#" in plan and not any("doc_id#" in x.split(")")[0] for x in plan.split("hashpartitioning(")[1:])
+
+
+def test_a_quick_crawl_has_few_batches(monkeypatch):
+    """Turns of a batch double while batches are quick; not where the delay or the pages take their time."""
+    monkeypatch.setattr(paced.PagesReader, "_ends", lambda self: {"0": 200_000, "1": 10})
+
+    def batches(delay, seconds):
+        now = [0.0]
+        monkeypatch.setattr(paced.time, "time", lambda: now[0])
+        reader, n = paced.PagesReader({"path": "p", "fetcher": "f", "delay": str(delay), "batch": "64", "stop": "1e9"}), 0
+        while n < 5000 and (reader.last or {"lanes": {}})["lanes"].get("0", 0) < 200_000:
+            reader.latestOffset()
+            n, now[0] = n + 1, now[0] + seconds
+        return n
+
+    assert batches(0, 1) < 30 and batches(5.5, 400) == batches(0, 60) == 3125
