@@ -49,3 +49,10 @@ class TextTfIdf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, Def
             SQLTransformer(statement=f"SELECT * EXCEPT (`{counts}`, `{weighted}`) FROM __THIS__"),
         ]
         return PipelineModel(stages)
+
+
+def entries(rows: DataFrame, vector: str) -> DataFrame:
+    """A row (..., i, w) for every component but 0 of a vector; a sparse vector's zeros are never made."""
+    v = F.unwrap_udt(F.col(vector))
+    own = F.arrays_zip(F.coalesce(v["indices"], F.sequence(F.lit(0), F.size(v["values"]) - 1)).alias("i"), v["values"].alias("w"))
+    return rows.where(F.size(v["values"]) > 0).select("*", F.inline(own)).where("w <> 0")

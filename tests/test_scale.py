@@ -1,10 +1,12 @@
 """What keeps work in proportion to the input: where rows are moved, how many there are of a kind, and what is never made."""
 
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from searchloom.operators import stored
 from searchloom.operators.index import build_index
 from searchloom.operators.language_model import LanguageModel
+from searchloom.operators.ml import entries
 from searchloom.plans import catalogue
 from searchloom.sources import paced
 
@@ -48,3 +50,9 @@ def test_a_quick_crawl_has_few_batches(monkeypatch):
         return n
 
     assert batches(0, 1) < 30 and batches(5.5, 400) == batches(0, 60) == 3125
+
+
+def test_entries_of_vectors(spark):
+    rows = spark.createDataFrame([(1, Vectors.sparse(9, [2, 7], [0.5, 0.0])), (2, Vectors.dense([0.0, 3.0])), (3, Vectors.sparse(4, [], [])), (4, Vectors.dense([]))], ["id", "v"])
+    found = entries(rows, "v")
+    assert sorted((r.id, r.i, r.w) for r in found.collect()) == [(1, 2, 0.5), (2, 1, 3.0)]
