@@ -73,18 +73,29 @@ def tokenized(docs: DataFrame, language: str = "spanish", contractions: bool = F
 def build_index(docs: DataFrame, language: str = "spanish", contractions: bool = False, normalizer: str | None = None) -> Index:
     """Indexes canonical documents of unique ids; documents without a token are left out.
 
-    One shuffle, of (doc_id, term) counts summed before they are sent; lengths
-    are known where the document is read.  ``normalizer``: the name of another
-    than the language's own.
+    One shuffle, of the texts by document, whose terms are then counted in place;
+    lengths are known where the document is read.  ``normalizer``: the name of
+    another than the language's own.
     """
-    return index_of_tokens(tokenized(docs, language, contractions, normalizer), normalizer or language)
+    named = docs.select("title", "content", document_id(F.col("id"), F.col("url")).alias("id")).withColumn("url", F.lit(""))
+    dealt = tokenized(named.repartition("id"), language, contractions, normalizer).withColumn("doc_id", F.col("id"))
+    postings = dealt.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf")
+    return Index(postings, info_of_tokens(tokenized(docs, language, contractions, normalizer)), normalizer=normalizer or language)
 
 
-def index_of_tokens(words: DataFrame, normalizer: str = "spanish") -> Index:
-    """The index of ``tokenized`` documents; who uses both tables writes these first, so that no text is normalised twice."""
-    postings = words.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    info = words.select("doc_id", F.size("tokens").cast("long").alias("length"), "title", "url", "source", "date", "tags", "category").where("length > 0")
-    return Index(postings, info, normalizer=normalizer)
+def index_of_tokens(words: DataFrame, normalizer: str = "spanish", parts: int | None = None) -> Index:
+    """The index of ``tokenized`` documents; who uses both tables writes these first, so that no text is normalised twice.
+
+    Tokens are dealt out by document, in so many ``parts``, and counted in place.
+    """
+    few = words.select("doc_id", "tokens")
+    dealt = few.repartition(parts, "doc_id") if parts else few.repartition("doc_id")
+    postings = dealt.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf")
+    return Index(postings, info_of_tokens(words), normalizer=normalizer)
+
+
+def info_of_tokens(words: DataFrame) -> DataFrame:
+    return words.select("doc_id", F.size("tokens").cast("long").alias("length"), "title", "url", "source", "date", "tags", "category").where("length > 0")
 
 
 def merge_index(old: Index, docs: DataFrame, language: str = "spanish", contractions: bool = False) -> Index:

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import document_text, normalizer as normalizer_of
+from ..session import settled
 from ..sources import generations
 from .index import Index, document_id, latest
 from .vectors import scalar_columns
@@ -40,7 +41,8 @@ class TfIdf:
         else:
             counted = (n_documents if n_documents is not None else index.doc_info).agg(F.count("*").alias("n"))
             terms, n = terms.crossJoin(F.broadcast(counted)), F.col("n")  # one row
-        vocabulary = terms.select("term", "cf", "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+        # max_features rows, written once: documents and queries are weighted by them.
+        vocabulary = settled(terms.select("term", "cf", "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf")), "vocabulary")
         return cls(vocabulary, cls._weighted(index.postings, vocabulary, "doc_id"), normalizer=index.normalizer)
 
     @staticmethod
@@ -57,7 +59,8 @@ class TfIdf:
 
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """(query_id, rank, doc_id, score): the documents of largest cosine; those that share no term aren't hits."""
-        pairs = self.vectors.join(self.embed(queries).withColumnRenamed("w", "q"), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("q")), DIGITS).alias("score"))
+        asked = settled(self.embed(queries).withColumnRenamed("w", "q"), "asked")  # of known size, so that it moves and the vectors don't
+        pairs = self.vectors.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("q")), DIGITS).alias("score"))
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
         return pairs.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 

@@ -19,6 +19,19 @@ def documents(spark, texts):
     return catalogue.as_documents(spark.createDataFrame([(i, t, "xx", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string"))
 
 
+def test_scores_are_summed_where_postings_are_read(spark, sf_dir):
+    """Neither postings nor what they add to scores is shuffled, in queries by language model and by vectors."""
+    for query in (catalogue.ql_batch_topk, catalogue.flagship_ql_rm3, catalogue.ql_dirichlet_category, catalogue.tfidf_cosine_topk):
+        plan = plan_of(query(spark, sf_dir))
+        assert "Bucketed: true" in plan and "hashpartitioning(doc_id" not in plan and "hashpartitioning(term" not in plan and "hashpartitioning(query_id#" in plan
+        assert not any("doc_id#" in line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines() if "hashpartitioning(" in line)
+
+
+def test_a_terms_counts_are_summed_where_its_document_is(spark, sf_dir):
+    plan = plan_of(catalogue.postings_tf(spark, sf_dir))
+    assert "hashpartitioning(id" in plan and "hashpartitioning(term" not in plan
+
+
 def test_ranges_grow_with_the_collection(spark, tmp_path, monkeypatch):
     """A term has no more blocks in a large collection than ranges are aimed at; scores are the same, frequent terms being several tasks' work."""
     monkeypatch.setattr(stored, "RANGES", 4, raising=False)
