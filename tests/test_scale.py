@@ -9,6 +9,7 @@ from searchloom.operators.language_model import LanguageModel
 from searchloom.operators.ml import entries
 from searchloom.plans import catalogue
 from searchloom.sources import paced
+from searchloom.streaming import crawl
 
 
 def plan_of(rows):
@@ -69,3 +70,16 @@ def test_entries_of_vectors(spark):
     rows = spark.createDataFrame([(1, Vectors.sparse(9, [2, 7], [0.5, 0.0])), (2, Vectors.dense([0.0, 3.0])), (3, Vectors.sparse(4, [], [])), (4, Vectors.dense([]))], ["id", "v"])
     found = entries(rows, "v")
     assert sorted((r.id, r.i, r.w) for r in found.collect()) == [(1, 2, 0.5), (2, 1, 3.0)]
+
+
+def test_generations_move_what_was_replaced(spark, tmp_path):
+    """Postings of all generations stay where they are; only documents that came again leave theirs."""
+    for number, texts in enumerate(({1: "gato perro", 2: "luna"}, {2: "sol sol"})):
+        documents(spark, texts).coalesce(1).write.parquet(str(tmp_path / f"in/{number}"))
+        stream = crawl.read_stream(spark, str(tmp_path / f"in/{number}"))
+        crawl.index_each_batch(stream, str(tmp_path / f"out{number}"), str(tmp_path / f"c{number}")).awaitTermination()
+    for name in ("postings", "doc_info", "ids"):
+        spark.read.parquet(str(tmp_path / f"out1/{name}/generation=0")).write.parquet(str(tmp_path / f"out0/{name}/generation=1"))
+    index = crawl.load_generations(spark, str(tmp_path / "out0"))
+    assert sorted(map(tuple, index.postings.collect())) == [("gato", "1", 1), ("perro", "1", 1), ("sol", "2", 2)]
+    assert "hashpartitioning" not in plan_of(index.postings)
