@@ -46,13 +46,14 @@ def resolve(base: Column, href: Column) -> Column:
     return F.when(part(1) != "", F.concat(F.lower(part(1)), _without_dots(part(2)), F.coalesce(part(3), F.lit(""))))
 
 
-def from_table(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """A fetcher that finds (url, html) in a table, of several pages of one URL the least by html; ``paced`` asks live sites."""
-    return lambda urls: pages.join(urls, "url", "left_semi").groupBy("url").agg(F.min("html").alias("html"))
+def from_table(pages: DataFrame, every: bool = False) -> Callable[[DataFrame], DataFrame]:
+    """A fetcher that finds (url, html) in a table, of several pages of one URL the least by html, or ``every`` one; ``paced`` asks live sites."""
+    found = lambda urls: pages.join(urls, "url", "left_semi")
+    return found if every else lambda urls: found(urls).groupBy("url").agg(F.min("html").alias("html"))
 
 
 def traverse(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], profile: Profile = NEWS, max_depth: int | None = None) -> DataFrame:
-    """(url, depth, the fields of an article) of every page reached from the seeds (url), each once.
+    """(url, depth, the fields of an article) of every page reached from the seeds (url), each URL fetched once.
 
     A round fetches a whole frontier; what it found is written, so a lost
     executor costs a round at most.  The links and next pages that no round had
