@@ -11,11 +11,12 @@ from ..functions.text import document_text, normalize, normalizer as normalizer_
 
 @dataclass(frozen=True)
 class Index:
-    """postings(term, doc_id, tf), doc_info(doc_id, length, ...), and what is counted from them; ``normalizer`` names what made the terms."""
+    """postings(term, doc_id, tf), doc_info(doc_id, length, ...), and what is counted from them; ``normalizer`` names what made the terms, and ``written`` tells that both are files, to be read again and again."""
 
     postings: DataFrame
     doc_info: DataFrame
     normalizer: str = field(default="spanish", kw_only=True)
+    written: bool = field(default=False, kw_only=True)
 
     def stats(self) -> DataFrame:
         """One row: documents, vocabulary, tokens."""
@@ -83,13 +84,13 @@ def build_index(docs: DataFrame, language: str = "spanish", contractions: bool =
     return Index(postings, info_of_tokens(tokenized(docs, language, contractions, normalizer)), normalizer=normalizer or language)
 
 
-def index_of_tokens(words: DataFrame, normalizer: str = "spanish", parts: int | None = None) -> Index:
+def index_of_tokens(words: DataFrame, normalizer: str = "spanish", bucketed: bool = False) -> Index:
     """The index of ``tokenized`` documents; who uses both tables writes these first, so that no text is normalised twice.
 
-    Tokens are dealt out by document, in so many ``parts``, and counted in place.
+    Tokens are dealt out by document, unless they lie in buckets of documents, and counted in place.
     """
     few = words.select("doc_id", "tokens")
-    dealt = few.repartition(parts, "doc_id") if parts else few.repartition("doc_id")
+    dealt = few if bucketed else few.repartition("doc_id")
     postings = dealt.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf")
     return Index(postings, info_of_tokens(words), normalizer=normalizer)
 

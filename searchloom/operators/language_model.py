@@ -17,14 +17,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..session import in_buckets, settled
+from ..session import brief_shuffles, in_buckets, settled
 from ..sources import generations
 from .index import Index
-from .stored import StoredIndex, folder_of
+from .stored import RANGES, StoredIndex, folder_of
 
 #: Smoothing, probability of a term the collection lacks, feedback documents, terms and mixing weight.
 MU, UNSEEN, FEEDBACK_DOCS, FEEDBACK_TERMS, ALPHA = 2000.0, 1e-9, 5, 10, 0.5
 DIGITS = 6
+#: Postings that a task adds up by query and document.
+TASK_MATCHES = 500_000
 
 
 @dataclass(frozen=True)
@@ -45,7 +47,8 @@ class LanguageModel:
         self.index.save(f"{folder}/index")
         folders = StoredIndex.open(spark, f"{folder}/index").term_folders
         terms = self.collection.withColumn("folder", folder_of(F.col("term"), folders)).repartition("folder")
-        terms.sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{folder}/collection")
+        with brief_shuffles(spark):
+            terms.sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{folder}/collection")
         generations.publish(spark, path, folder, mu=self.mu)
 
     @classmethod
@@ -154,11 +157,19 @@ class StoredModel(LanguageModel):
 
     def _known(self, asked: DataFrame) -> DataFrame:
         some = self.index.with_folder(settled(asked, "asked"), "term", self.index.term_folders)
-        return self.table.join(some.where("term <> ''"), ["folder", "term"]).select("term", "p")
+        return self.table.join(some.where("term <> ''"), ["folder", "term"]).select("term", "p", "df")
+
+    def _parts(self, terms: DataFrame) -> int:
+        """Into how many parts the blocks of a query table's terms are dealt out, by range: as many as make ``TASK_MATCHES`` matches each.
+
+        A part's sums are held at once.  There is no use in many more parts than ranges.
+        """
+        matches = terms.where("weight > 0").agg(F.sum("df")).first()[0] or 0
+        return min(max(-(-matches // TASK_MATCHES), terms.sparkSession.sparkContext.defaultParallelism), 4 * RANGES)
 
     def scores(self, queries: DataFrame, category: str | None = None) -> DataFrame:
         terms = self._probabilities(queries)
-        return self._finished(self._added(self.index.blocks_of(terms).join(self._constants(terms), "query_id"), category))
+        return self._finished(self._added(self.index.blocks_of(terms, self._parts(terms)).join(self._constants(terms), "query_id"), category))
 
     def _blocks(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The queries' terms' posting blocks, each once, in buckets of ranges; and, for each query, their counts and bounds.

@@ -16,12 +16,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..session import settled
+from ..session import brief_shuffles, scratch, settled
 from ..sources import generations
 from .index import Index
 
 #: Documents of a range at least, ranges that their size aims at, and postings of a folder (documents: a fifth) that its number aims at.
 RANGE, RANGES, FOLDER_ROWS, MOST_FOLDERS = 16, 1024, 100_000, 8192
+#: Postings that a task sorts.
+TASK_ROWS = 500_000
 #: Tasks that write a folder of documents' terms at most.
 SALTS = 16
 #: Columns of a posting in a block.
@@ -57,31 +59,35 @@ class StoredIndex(Index):
     def write(cls, index: Index, path: str) -> None:
         """A new generation of the path."""
         spark, folder = index.postings.sparkSession, generations.begin(path)
-        index.doc_info.write.parquet(f"{folder}/info")
-        info = spark.read.schema(index.doc_info.schema).parquet(f"{folder}/info")
-        n_docs = info.count()
+        with scratch(spark), brief_shuffles(spark):
+            term_folders, doc_folders = cls._write_tables(index, folder)
+        generations.publish(spark, path, folder, term_folders=term_folders, doc_folders=doc_folders, normalizer=index.normalizer)
+
+    @staticmethod
+    def _write_tables(index: Index, folder: str) -> tuple[int, int]:
+        """The tables of a generation; the numbers of their folders."""
+        info, postings = (index.doc_info, index.postings) if index.written else (settled(index.doc_info, "info"), settled(index.postings, "postings"))
+        n_docs, n_postings = info.count(), postings.count()
+        term_folders, doc_folders = _folders(n_postings, FOLDER_ROWS), _folders(n_docs, max(FOLDER_ROWS // 5, 1))
+        # Tasks are as many as the postings need, however many partitions the session sets, so that none sorts more than its memory holds.
+        tasks = max(-(-n_postings // TASK_ROWS), info.sparkSession.sparkContext.defaultParallelism)
         # Ranges of documents by length: partitions by range of length, numbered within.
         place = F.row_number().over(Window.partitionBy("part").orderBy("length", "doc_id")) - 1
         dealt = info.select("doc_id", "length", "category").repartitionByRange("length", "doc_id").withColumn("part", F.spark_partition_id())
-        dealt.write.parquet(f"{folder}/lengths")
         number = (F.col("part").cast("long") * (1 << 32) + F.floor(place / max(RANGE, -(-n_docs // RANGES)))).alias("range")
-        ranges = spark.read.parquet(f"{folder}/lengths").select("doc_id", "length", "category", number)
-        index.postings.join(ranges, "doc_id").select("term", "range", *_POSTING).write.parquet(f"{folder}/ranged")
-        postings = spark.read.parquet(f"{folder}/ranged")
-        n_postings = postings.count()
-        term_folders, doc_folders = _folders(n_postings, FOLDER_ROWS), _folders(n_docs, max(FOLDER_ROWS // 5, 1))
-        own = F.array_sort(F.collect_list(F.struct(*_POSTING))).alias("postings")  # a range's at most
+        ranges = settled(settled(dealt, "lengths").select("doc_id", "length", "category", number), "ranges")
+        own = F.sort_array(F.collect_list(F.struct(*_POSTING))).alias("postings")  # a range's at most
         sums = F.count("*").alias("n"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length")
         # One exchange: a folder's postings, those of a frequent term dealt out by range, are summed and sorted where they arrive.
         frequent = settled(postings.groupBy("term").agg(F.ceil(F.count("*") / FOLDER_ROWS).alias("tasks")).where("tasks > 1"), "frequent")
         salt = F.pmod(F.xxhash64("range"), F.coalesce("tasks", F.lit(1))).alias("salt")
-        salted = postings.join(frequent, "term", "left").select(folder_of(F.col("term"), term_folders).alias("folder"), salt, "term", "range", *_POSTING)
-        blocks = salted.repartition("folder", "salt").groupBy("folder", "salt", "term", "range").agg(*sums, own).drop("salt")
+        salted = postings.join(ranges, "doc_id").join(frequent, "term", "left").select(folder_of(F.col("term"), term_folders).alias("folder"), salt, "term", "range", *_POSTING)
+        blocks = salted.repartition(tasks, "folder", "salt").groupBy("folder", "salt", "term", "range").agg(*sums, own).drop("salt")
         blocks.sortWithinPartitions("folder", "term", "range").write.partitionBy("folder").parquet(f"{folder}/blocks")
         _write(info, f"{folder}/documents", "doc_id", doc_folders)
-        terms = postings.select(folder_of(F.col("doc_id"), doc_folders).alias("folder"), "doc_id", "term", "tf").repartition("folder", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+        terms = postings.select(folder_of(F.col("doc_id"), doc_folders).alias("folder"), "doc_id", "term", "tf").repartition(tasks, "folder", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
         terms.sortWithinPartitions("folder", "doc_id", "term").write.partitionBy("folder").parquet(f"{folder}/terms")
-        generations.publish(spark, path, folder, term_folders=term_folders, doc_folders=doc_folders, normalizer=index.normalizer)
+        return term_folders, doc_folders
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> StoredIndex:
@@ -103,15 +109,15 @@ class StoredIndex(Index):
     def with_folder(self, rows: DataFrame, key: str, folders: int) -> DataFrame:
         return rows.withColumn("folder", folder_of(F.col(key), folders))
 
-    def blocks_of(self, terms: DataFrame) -> DataFrame:
-        """``terms`` (term, weight, ...) with their blocks; only their folders are read.
+    def blocks_of(self, terms: DataFrame, parts: int) -> DataFrame:
+        """``terms`` (term, weight, ...) with their blocks, in so many parts; only their folders are read.
 
         A term of weight 0 adds nothing and is left out.  The blocks are dealt out by
         range before each meets the queries that ask for it: frequent terms are many
         tasks' work, and a document's postings are one's.
         """
         asked = terms.where("weight > 0")
-        return self.distinct_blocks(asked).repartition("range").join(asked, "term")
+        return self.distinct_blocks(asked).repartition(parts, "range").join(asked, "term")
 
     def distinct_blocks(self, terms: DataFrame) -> DataFrame:
         """The blocks of the distinct terms of a table, each once; only their folders are read."""

@@ -3,7 +3,8 @@
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from searchloom.operators import stored
+from searchloom import session
+from searchloom.operators import language_model, stored
 from searchloom.operators.index import build_index
 from searchloom.operators.language_model import LanguageModel
 from searchloom.operators.ml import entries
@@ -83,3 +84,35 @@ def test_generations_move_what_was_replaced(spark, tmp_path):
     index = crawl.load_generations(spark, str(tmp_path / "out0"))
     assert sorted(map(tuple, index.postings.collect())) == [("gato", "1", 1), ("perro", "1", 1), ("sol", "2", 2)]
     assert "hashpartitioning" not in plan_of(index.postings)
+
+
+def test_a_saved_model_leaves_its_own_tables_alone(spark, sf_dir):
+    """The index that a model is saved from is gone when it is loaded, and a generation holds what queries read."""
+    from pathlib import Path
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "searchloom"
+    before = set(folder.glob("*"))
+    model = catalogue.saved_model(spark, sf_dir)
+    (saved,) = set(folder.glob("*")) - before
+    assert {p.name for p in saved.glob("generations/*/index/generations/*/*")} == {"blocks", "documents", "terms"} and model.stats().first().documents > 0
+
+
+def test_shuffles_of_a_save_go_with_its_writes(spark):
+    """Settings hold during a write alone."""
+    names = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.requireAllClusterKeysForCoPartition"
+    before = [spark.conf.get(n) for n in names]
+    with session.brief_shuffles(spark), session.joins_in_place(spark):
+        assert [spark.conf.get(n) for n in names] == ["true", "false"]
+    assert [spark.conf.get(n) for n in names] == before
+
+
+def test_parts_of_a_query_follow_its_matches(spark, tmp_path, monkeypatch):
+    """However few partitions the session sets, a task adds up so many matches."""
+    model = LanguageModel.fit(build_index(documents(spark, {i: f"gato {'perro ' * (i % 3)} palabra{i % 7} solo{i}" for i in range(600)})))
+    model.save(str(tmp_path / "m"))
+    saved = LanguageModel.load(spark, str(tmp_path / "m"))
+    asked = spark.createDataFrame([(1, "gato", 0.5), (1, "perro", 0.5), (2, "perro", 1.0)], "query_id long, term string, weight double")
+    monkeypatch.setattr(language_model, "TASK_MATCHES", 100)
+    found = saved.retrieve(asked)
+    assert "hashpartitioning(range#" in plan_of(found) and ", 14)" in plan_of(found)  # 600 and twice 400 matches
+    assert sorted(found.collect()) == sorted(model.retrieve(asked).collect())
