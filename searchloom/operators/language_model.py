@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..session import brief_shuffles, in_buckets, settled
+from ..session import brief_shuffles, in_buckets, joins_in_place, settled
 from ..sources import generations
 from .index import Index
 from .stored import RANGES, StoredIndex, folder_of
@@ -171,17 +171,17 @@ class StoredModel(LanguageModel):
         terms = self._probabilities(queries)
         return self._finished(self._added(self.index.blocks_of(terms, self._parts(terms)).join(self._constants(terms), "query_id"), category))
 
-    def _blocks(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The queries' terms' posting blocks, each once, in buckets of ranges; and, for each query, their counts and bounds.
+    def _blocks(self, queries: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+        """The queries' terms' posting blocks, each once, in buckets of ranges; for each query, their counts and bounds; and the number of buckets.
 
         ``most`` is what a posting of the block adds to a score at most; constants of the query are with it.
         """
         terms = self._probabilities(queries)
-        parts = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = self._parts(terms)
         blocks = in_buckets(self.index.distinct_blocks(terms.where("weight > 0")).repartition(parts, "range"), "blocks", "range", parts)
         asked = settled(terms.where("weight > 0").join(self._constants(terms), "query_id"), "asked")
         bounds = blocks.select("term", "range", "n", "max_tf", "min_length").join(asked, "term")
-        return blocks.select("term", "range", "postings"), bounds.withColumn("most", F.col("weight") * F.log(1 + F.col("max_tf") / (self.mu * F.col("p"))))
+        return blocks.select("term", "range", "postings"), bounds.withColumn("most", F.col("weight") * F.log(1 + F.col("max_tf") / (self.mu * F.col("p")))), parts
 
     def _seeded(self, blocks: DataFrame, seeds: int) -> DataFrame:
         """(query_id, range) of the ranges of greatest bound."""
@@ -220,8 +220,14 @@ class StoredModel(LanguageModel):
            is out; a range without any other block is passed over whole.
         3. What is left is scored; documents that can still reach the threshold
            with all that was put aside get that too.
+
+        All of it lies in buckets of ranges, where it is joined and summed; the result is written.
         """
-        blocks, bounds = self._blocks(queries)
+        with joins_in_place(queries.sparkSession):
+            return self._pruned(queries, k, category, seeds)
+
+    def _pruned(self, queries: DataFrame, k: int, category: str | None, seeds: int | None) -> tuple[DataFrame, dict[str, DataFrame]]:
+        blocks, bounds, parts = self._blocks(queries)
         whole_block = lambda some: some.join(blocks, ["range", "term"])
         ranges = settled(self._seeded(bounds, seeds or k), "seeds")
         seeded = bounds.join(ranges, ["query_id", "range"])
@@ -236,13 +242,14 @@ class StoredModel(LanguageModel):
         ranked = ranked.withColumn("counts", F.col("threshold").isNull() | (F.col("sum") + free >= enough))
         ranked = ranked.withColumn("rest", F.coalesce(F.max(F.when(~F.col("counts"), F.col("sum"))).over(whole), F.lit(0.0)))
         first = self._added(whole_block(ranked.where("counts")), category)
-        alive = first.where(F.col("threshold").isNull() | (self._score() + F.col("rest") >= enough))
+        alive = in_buckets(first.where(F.col("threshold").isNull() | (self._score() + F.col("rest") >= enough)), "alive", "range", parts)
         open_ranges = alive.where("rest > 0").select("query_id", "range").distinct()
         aside = whole_block(ranked.where(~F.col("counts")).join(open_ranges, ["query_id", "range"])).select("query_id", "range", "weight", "p", F.inline("postings"))
         late = aside.join(alive.select("query_id", "range", "doc_id"), ["query_id", "range", "doc_id"])
         added = late.groupBy("query_id", "range", "doc_id").agg(F.sum(self._one()).alias("late"))
         done = alive.join(added, ["query_id", "range", "doc_id"], "left").withColumn("match", F.col("match") + F.coalesce("late", F.lit(0.0)))
-        return _first(known.unionByName(self._finished(done)), k), {"seeds": seeded, "blocks": ranked.where("counts"), "late": late}
+        found = settled(_first(self._finished(done), k), "found").unionByName(settled(_first(known, k), "found"))  # k rows a query each
+        return _first(found, k), {"seeds": seeded, "blocks": ranked.where("counts"), "late": late}
 
     def scored(self, queries: DataFrame, k: int = 10, seeds: int | None = None) -> DataFrame:
         """(query_id, scored, matching): how many postings ``pruned`` scores, and how many match."""

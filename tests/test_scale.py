@@ -107,7 +107,7 @@ def test_shuffles_of_a_save_go_with_its_writes(spark):
 
 
 def test_parts_of_a_query_follow_its_matches(spark, tmp_path, monkeypatch):
-    """However few partitions the session sets, a task adds up so many matches."""
+    """However few partitions the session sets, a task adds up so many matches; bounds are joined to their blocks where these lie."""
     model = LanguageModel.fit(build_index(documents(spark, {i: f"gato {'perro ' * (i % 3)} palabra{i % 7} solo{i}" for i in range(600)})))
     model.save(str(tmp_path / "m"))
     saved = LanguageModel.load(spark, str(tmp_path / "m"))
@@ -115,4 +115,8 @@ def test_parts_of_a_query_follow_its_matches(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(language_model, "TASK_MATCHES", 100)
     found = saved.retrieve(asked)
     assert "hashpartitioning(range#" in plan_of(found) and ", 14)" in plan_of(found)  # 600 and twice 400 matches
-    assert sorted(found.collect()) == sorted(model.retrieve(asked).collect())
+    pruned, work = saved.pruned(asked)
+    assert sorted(found.collect()) == sorted(pruned.collect()) == sorted(model.retrieve(asked).collect())
+    with session.joins_in_place(spark):
+        late = plan_of(work["late"].select("range"))
+    assert "Bucketed: true" in late and "hashpartitioning" not in late
