@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..session import brief_shuffles, scratch, settled
+from ..session import brief_shuffles, scratch, settled, sums_in_order
 from ..sources import generations
 from .index import Index
 
@@ -76,14 +76,16 @@ class StoredIndex(Index):
         dealt = info.select("doc_id", "length", "category").repartitionByRange("length", "doc_id").withColumn("part", F.spark_partition_id())
         number = (F.col("part").cast("long") * (1 << 32) + F.floor(place / max(RANGE, -(-n_docs // RANGES)))).alias("range")
         ranges = settled(settled(dealt, "lengths").select("doc_id", "length", "category", number), "ranges")
-        own = F.sort_array(F.collect_list(F.struct(*_POSTING))).alias("postings")  # a range's at most
+        own = F.collect_list(F.struct(*_POSTING)).alias("postings")  # a range's at most, in the order they are sorted in
         sums = F.count("*").alias("n"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length")
-        # One exchange: a folder's postings, those of a frequent term dealt out by range, are summed and sorted where they arrive.
+        # One exchange: a folder's postings, those of a frequent term dealt out by range, are sorted where they arrive, and summed in that order.
         frequent = settled(postings.groupBy("term").agg(F.ceil(F.count("*") / FOLDER_ROWS).alias("tasks")).where("tasks > 1"), "frequent")
         salt = F.pmod(F.xxhash64("range"), F.coalesce("tasks", F.lit(1))).alias("salt")
         salted = postings.join(ranges, "doc_id").join(frequent, "term", "left").select(folder_of(F.col("term"), term_folders).alias("folder"), salt, "term", "range", *_POSTING)
-        blocks = salted.repartition(tasks, "folder", "salt").groupBy("folder", "salt", "term", "range").agg(*sums, own).drop("salt")
-        blocks.sortWithinPartitions("folder", "term", "range").write.partitionBy("folder").parquet(f"{folder}/blocks")
+        block = ("folder", "term", "range", "salt")
+        with sums_in_order(info.sparkSession):
+            blocks = salted.repartition(tasks, "folder", "salt").sortWithinPartitions(*block, "doc_id").groupBy(*block).agg(*sums, own).drop("salt")
+            blocks.write.partitionBy("folder").parquet(f"{folder}/blocks")
         _write(info, f"{folder}/documents", "doc_id", doc_folders)
         terms = postings.select(folder_of(F.col("doc_id"), doc_folders).alias("folder"), "doc_id", "term", "tf").repartition(tasks, "folder", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
         terms.sortWithinPartitions("folder", "doc_id", "term").write.partitionBy("folder").parquet(f"{folder}/terms")

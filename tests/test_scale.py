@@ -120,3 +120,15 @@ def test_parts_of_a_query_follow_its_matches(spark, tmp_path, monkeypatch):
     with session.joins_in_place(spark):
         late = plan_of(work["late"].select("range"))
     assert "Bucketed: true" in late and "hashpartitioning" not in late
+
+
+def test_blocks_are_summed_in_the_order_of_their_rows(spark, tmp_path):
+    """Sorted rows are neither hashed nor sorted again; a block's postings are in order, whatever their number."""
+    rows = spark.range(100).selectExpr("id % 7 AS k", "id").repartition(3, "k").sortWithinPartitions("k", "id")
+    with session.sums_in_order(spark):
+        plan = plan_of(rows.groupBy("k").agg(F.collect_list("id")))
+    assert "ObjectHashAggregate" not in plan and plan.count("Sort [") == 1
+    model = LanguageModel.fit(build_index(documents(spark, {i: f"gato palabra{i % 3} solo{i}" for i in range(300)})))
+    model.save(str(tmp_path / "m"))
+    blocks = LanguageModel.load(spark, str(tmp_path / "m")).index.blocks.selectExpr("n", "postings.doc_id AS ids").collect()
+    assert sum(b.n for b in blocks) == 900 and all(b.ids == sorted(b.ids) and len(b.ids) == b.n for b in blocks)
